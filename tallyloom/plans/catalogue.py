@@ -1,17 +1,4 @@
-"""Every registered query of the purchase engine with the SQL it is held against."""
+"""Every query of the purchase engine with the SQL it is held against."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def spend_month_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"spend_month_category": spend_month_category}
-SQL: dict[str, str] = {}
+from tallyloom.plans import replication, selections, spending, values  # noqa: F401  they register their queries
+from tallyloom.plans.registry import QUERIES, SQL  # noqa: F401
