@@ -88,7 +88,9 @@ def _flatten(image: np.ndarray) -> np.ndarray:
     k = max(1, min(h, w) // 16)
     hh, ww = -(-h // k) * k, -(-w // k) * k
     tiles = np.pad(image, ((0, hh - h), (0, ww - w)), mode="edge").reshape(hh // k, k, ww // k, k).max(axis=(1, 3))
-    background = np.kron(tiles, np.ones((k, k)))[:h, :w]
+    y, x = np.arange(tiles.shape[0]) * k + k / 2, np.arange(tiles.shape[1]) * k + k / 2
+    across = np.array([np.interp(np.arange(w), x, row) for row in tiles])
+    background = np.array([np.interp(np.arange(h), y, column) for column in across.T]).T
     flat = np.clip(image / np.maximum(background, 1) * 255, 0, 255)
     low, high = np.percentile(flat, [2, 98])
     return np.clip((flat - low) / max(high - low, 1) * 255, 0, 255).astype(np.uint8)
