@@ -42,16 +42,18 @@ def outcomes(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return incoming.join(s, ["kind", "id"], "left").withColumn("outcome", F.when(F.col("_stored").isNull() | (mine > F.col("_stored")), "applied").otherwise("stale")).drop("_stored")
 
 
-def revisions(applied: DataFrame, base: int, order: Sequence[Column], group: str = "kind") -> DataFrame:
+def revisions(applied: DataFrame, base: int, order: Sequence[Column], group: str = "kind", split: Column | None = None) -> DataFrame:
     """applied with gapless revisions after base: kinds in order, then order.
 
-    Each kind is numbered by itself and the kinds' counts give where it starts, so that only as many rows as there
-    are kinds are put in one sequence.
+    Rows are numbered within their kind and split, a column that never falls along order, such as a key divided by
+    a million; the counts of the splits before give where each starts. So only one row for each kind and split is put
+    in sequence, and a large kind is numbered in many tasks.
     """
-    counts = applied.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(group, (F.coalesce(F.sum("_n").over(before), F.lit(0)) + base).alias("_start"))
-    return applied.withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy(*order))).join(starts, group).withColumn("new_rev", F.col("_k") + F.col("_start")).drop("_k", "_start")
+    df = applied.withColumn("_s", F.lit(0) if split is None else split)
+    counts = df.groupBy(group, "_s").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(group, "_s").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(group, "_s", (F.coalesce(F.sum("_n").over(before), F.lit(0)) + base).alias("_start"))
+    return df.withColumn("_k", F.row_number().over(Window.partitionBy(group, "_s").orderBy(*order))).join(starts, [group, "_s"]).withColumn("new_rev", F.col("_k") + F.col("_start")).drop("_k", "_s", "_start")
 
 
 def pull(changes: DataFrame, since: int, rows: int) -> DataFrame:

@@ -65,7 +65,7 @@ def push_validate(d: Domain) -> DataFrame:
 
 @query("assign_rev", "SELECT rev, 100 + row_number() OVER (ORDER BY kind, rev) AS new_rev FROM changes")
 def assign_rev(d: Domain) -> DataFrame:
-    return replicate.revisions(d.changes, 100, [F.col("rev")]).select("rev", "new_rev")
+    return replicate.revisions(d.changes, 100, [F.col("rev")], split=F.floor(F.col("rev") / 1000)).select("rev", "new_rev")
 
 
 @query("ack_push", ", w AS (SELECT kind, id, max(updated_at) AS updated_at FROM changes GROUP BY 1, 2) SELECT kind, id, CASE WHEN id % 3 <> 0 AND id % 2 = 0 THEN 0 ELSE 1 END AS dirty FROM w")

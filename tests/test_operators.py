@@ -213,3 +213,42 @@ def test_flattening(spark):
     df = spark.createDataFrame([(1, 64, 64, bytearray(page.astype("uint8").tobytes()))], "id long, width int, height int, pixels binary")
     out = np.frombuffer(vision.flatten(df).first()["pixels"], np.uint8).reshape(64, 64)
     assert out[40].std() < page[40].std() and out[21, 30] < 100 < out[40, 30]
+
+
+def test_records(spark):
+    from tallyloom.operators import records
+
+    seeds = records.seed_categories(spark)
+    assert seeds.count() == 19 and seeds.select("id").distinct().count() == 19
+    tags = spark.createDataFrame([("t1", "Mat", 0), ("t2", "resa", 5), ("t3", "Resa", 7)], "id string, name string, deleted_at long")
+    wanted = spark.createDataFrame([("mat",), ("RESA",), ("ny",)], "name string")
+    got = {r["name"]: (r["id"], r["action"]) for r in records.create_or_revive(tags, wanted).collect()}
+    assert got["mat"] == ("t1", "keep") and got["RESA"] == ("t2", "revive") and got["ny"][1] == "create"
+    items = spark.createDataFrame([(1, "a", "a", 1, 0), (2, "b", "b", 1, 0), (3, None, None, 1, 0)], "id int, name string, search_name string, updated_at long, dirty int")
+    names = spark.createDataFrame([(1, "Röd Äpple!"), (2, "b"), (3, "c")], "id int, new_name string")
+    out = {r["id"]: (r["name"], r["search_name"], r["updated_at"], r["dirty"]) for r in records.renamed(items, names, 9).collect()}
+    assert out == {1: ("Röd Äpple!", "röd äpple", 9, 1), 2: ("b", "b", 1, 0), 3: ("c", "c", 9, 1)}
+    a = records.stable_json(spark.createDataFrame([(1, None)], "b int, a string"), ["b", "a"]).first()["json"]
+    assert a == '{"a":null,"b":1}'
+
+
+def test_a_reading_replaces_lines(spark):
+    from tallyloom.operators import records
+
+    receipts = spark.createDataFrame([(1, "draft", None, "x", 1), (2, "draft", "Lund", "y", 1)], "id int, status string, city string, merchant string, updated_at long")
+    items = spark.createDataFrame([(1, 0, "old", 0), (1, 1, "gone", 5), (2, 0, "stays", 0)], "receipt_id int, line_no int, name string, deleted_at long")
+    readings = spark.createDataFrame([(1, "Malmö", None, [("n1",), ("n2",)])], "id int, city string, merchant string, items array<struct<name:string>>")
+    heads, lines = records.apply_extraction(receipts, items, readings, ("city", "merchant"), 9)
+    assert {r["id"]: (r["status"], r["city"], r["merchant"], r["updated_at"]) for r in heads.collect()} == {1: ("parsed", "Malmö", "x", 9), 2: ("draft", "Lund", "y", 1)}
+    assert sorted((r["receipt_id"], r["line_no"], r["name"], r["deleted_at"]) for r in lines.collect()) == [(1, 0, "n1", 0), (1, 0, "old", 9), (1, 1, "gone", 5), (1, 1, "n2", 0), (2, 0, "stays", 0)]
+
+
+def test_addresses_and_registry(spark):
+    from tallyloom.operators import records
+
+    urls = spark.createDataFrame([("http://localhost:8080//",), ("https://a.se/x/",), (None,)], "u string")
+    assert [tuple(r) for r in urls.select(records.base_url(F.col("u")), records.is_loopback(F.col("u"))).collect()] == [("http://localhost:8080", True), ("https://a.se/x", False), (None, False)]
+    raw = spark.createDataFrame([('{"data": {"organization_number": "5560125790", "name": "Volvo", "status": "Active", "sni_codes": [{"description": "cars"}]}}',), ('{"data": {"organization_number": "1", "name": "No"}}',), ("x",)], "raw string")
+    got = records.flatten_registry(raw).collect()
+    assert [(r["id"], r["name"], r["active"], r["industry"]) for r in got] == [("556012-5790", "Volvo", True, "cars")]
+    assert records.search_registry(records.flatten_registry(raw), "VOL").count() == 1
