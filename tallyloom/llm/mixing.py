@@ -63,13 +63,13 @@ def _with_rate(docs: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs with _size, _source_size, _target and _copies; a document belongs in the mix _copies times.
+    """row, the whole row of docs as a struct, with _size, _source_size, _target and _copies: how often it is taken.
 
     Null texts have size 0, a null source is a source of its own and a null id is hashed as "null"; rows with one id
     and source share their draw. An empty table gives no rows.
     """
-    kept = docs.select("*", F.col(source_col).alias("_src"), n_words(F.col(text_col)).alias("_size"))
-    small = cut(kept.select(F.col(id_col).alias("_id"), "_src", "_size"), "mix-sizes")
+    kept = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), n_words(F.col(text_col)).alias("_size"))
+    small = cut(kept.select("_id", "_src", "_size"), "mix-sizes")
     sizes = small.groupBy("_src").agg(F.sum("_size").alias("source_size")).withColumnRenamed("_src", "source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     sources = cut(targets(sizes, weights, share, most).withColumn("_rate", rate), "mix-targets")
@@ -81,16 +81,16 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     best = F.array_min(F.array(*[F.struct(F.abs(whole + F.col(f"_t{k}") - F.col("target")).alias("off"), F.lit(k).alias("seed")) for k in range(SEEDS)]))["seed"]
     seeded = cut(_with_rate(totals, sources).select(F.col("_src").alias("source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_rate", best.alias("_seed")), "mix-seeds")
 
-    u = F.element_at(F.array(*draws(doc_key(F.col(id_col)))), F.col("_seed") + 1)
+    u = F.element_at(F.array(*draws(doc_key(F.col("_id")))), F.col("_seed") + 1)
     copies = F.floor("_rate") + F.when(u < fraction, 1).otherwise(0)
-    return _with_rate(kept, seeded).withColumn("_copies", copies.cast("int")).drop("_src", "_rate", "_seed")
+    return _with_rate(kept, seeded).withColumn("_copies", copies.cast("int")).select("row", "_size", "_source_size", "_target", "_copies")
 
 
 def taken(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
-    return mix(docs.select("doc_id", "text", "source")).select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
+    return mix(docs.select("doc_id", "text", "source")).select("row.doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
 def emit(docs: DataFrame) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of docs."""
-    return mix(docs).withColumn("_", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return mix(docs).withColumn("_", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select("row.*")

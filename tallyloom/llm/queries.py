@@ -67,4 +67,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
 }
 
-SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+#: The crc32 of a text's UTF-8 bytes: table-driven, the table made by the rule.
+_CRC = """crc AS (SELECT list(c ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+bytes AS (SELECT doc_id, text, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+hashed AS (SELECT doc_id, CAST(n + 16 AS BIGINT) AS size, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+  list_transform(range(1, n + 1), lambda i: CAST('0x' || substr(h, 2 * i - 1, 2) AS BIGINT))),
+  lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) AS text_crc32 FROM bytes, crc)"""
+
+SQL: dict[str, str] = {
+    "op2_mixing": f"""WITH s AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k FROM documents),
+a AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS i FROM s GROUP BY 1),
+b AS (SELECT *, [5, 2, 1][(i - 1) % 3 + 1] AS weight, 2 * source_size AS cap, 2 * source_size / [5, 2, 1][(i - 1) % 3 + 1] AS r FROM a),
+c AS (SELECT *, (CAST(1.5 AS DOUBLE) * CAST(sum(source_size) OVER () AS DOUBLE) - CAST(coalesce(sum(cap) OVER w, 0) AS DOUBLE)) / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS DOUBLE) AS level
+  FROM b WINDOW w AS (ORDER BY r, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+o AS (SELECT first(level ORDER BY r, i) AS final FROM c WHERE level * weight < cap),
+d AS (SELECT source, source_size, CASE WHEN level * weight < cap THEN weight * final ELSE CAST(cap AS DOUBLE) END AS target FROM c, o),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM d),
+u AS (SELECT doc_id, source, size, k, seed, CAST('0x' || substr(md5((seed // 4) || ':' || k), 1 + 8 * (seed % 4), 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS u FROM s, range(16) q(seed)),
+t AS (SELECT u.source, seed, sum(CASE WHEN u < rate - floor(rate) THEN size ELSE 0 END) AS extra FROM u JOIN e ON u.source IS NOT DISTINCT FROM e.source GROUP BY 1, 2),
+f AS (SELECT e.source, source_size, target, rate, first(seed ORDER BY abs(floor(rate) * source_size + extra - target), seed) AS seed FROM t JOIN e ON t.source IS NOT DISTINCT FROM e.source GROUP BY ALL)
+SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM u JOIN f ON u.source IS NOT DISTINCT FROM f.source AND u.seed = f.seed""",
+    "op9_substrings": f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+win AS (SELECT doc_id, s, array_to_string(ws[s:s + 19], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM w WHERE len(ws) >= 20)),
+late AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS r FROM win) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM late),
+word AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS p FROM w),
+left_over AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS kept, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN left_over USING (doc_id)""",
+    "op10_sharding": f"""WITH {_CRC},
+u AS (SELECT doc_id, j, -ln(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || (j // 2)), 1 + 16 * (j % 2), 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) + 0.5 / CAST(4503599627370496 AS DOUBLE)) AS score FROM documents, range(41) q(j)),
+p AS (SELECT doc_id, first(j ORDER BY score, j) FILTER (j < 40) AS shard, first(j ORDER BY score, j) AS grown_shard FROM u GROUP BY 1)
+SELECT h.doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard, CAST(grown_shard AS INTEGER) AS grown_shard,
+  row_number() OVER (PARTITION BY shard ORDER BY CAST('0x' || substr(md5(coalesce(CAST(h.doc_id AS VARCHAR), 'null')), 1, 4) AS BIGINT) % 256, h.doc_id, text_crc32, size) - 1 AS slot
+FROM hashed h JOIN p USING (doc_id)""",
+}

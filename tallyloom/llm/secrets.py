@@ -43,8 +43,9 @@ DIGIT = r"[0-9]"
 
 
 def flagged(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with _text (null: empty) and one flag for each pattern, so that only few texts are searched in full."""
-    docs = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
+    """row, the whole row of docs as a struct, with _text (null: empty) and one flag for each pattern, so that only
+    few texts are searched in full."""
+    docs = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     text = F.col("_text")
     sign = F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))
     return docs.withColumns(
@@ -186,7 +187,8 @@ def thresholds(docs: DataFrame, text_col: str = "text", alpha: float = ALPHA) ->
 
 
 def scan(docs: DataFrame, text_col: str = "text", limits: dict[tuple[str, int], float] | None = None) -> DataFrame:
-    """docs with _assign, _access, _hex and _random: arrays of structs (start, kind, end), ends exclusive.
+    """row, the whole row of docs, with _assign, _access, _hex and _random: arrays of structs (start, kind, end), ends
+    exclusive.
 
     Null texts are empty and have no spans; a random span that meets a fixed one is left out. Rows are independent of
     each other but for the thresholds.
@@ -199,7 +201,7 @@ def scan(docs: DataFrame, text_col: str = "text", limits: dict[tuple[str, int],
     passes = lambda c: c["p"] >= _limit(c, limits)
     clear = lambda c: ~F.exists(F.col("_taken"), lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
     random = F.transform(F.filter("_candidates", lambda c: passes(c) & clear(c)), lambda c: F.struct(c["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), c["end"].alias("end")))
-    return out.withColumn("_taken", taken).withColumn("_random", random).drop("_taken", "_candidates", "_text", *[f"_has_{k}" for k in KINDS])
+    return out.withColumn("_taken", taken).withColumn("_random", random).select("row", "_text", *[f"_{k}" for k in KINDS])
 
 
 def _limit(c: Column, limits: dict[tuple[str, int], float]) -> Column:
@@ -220,7 +222,7 @@ def secrets(docs: DataFrame) -> DataFrame:
     found = scan(docs.select("doc_id", "text"))
     base = F.concat("_assign", "_access", "_hex")
     return found.select(
-        "doc_id", *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS[:3]],
+        "row.doc_id", *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS[:3]],
         F.sha2(written(base), 256).alias("base_sha256"), written(F.concat(base, F.col("_random"))).alias("spans"),
     )
 
@@ -233,9 +235,9 @@ def redact(docs: DataFrame, mark: str = MARK) -> DataFrame:
     # substring counts from 1; a span that starts inside the last one only carries its end on
     step = lambda a, s: F.struct(
         F.greatest(a["at"], s["end"]).alias("at"),
-        F.when(s["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.col("text").substr(a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).alias("out"),
+        F.when(s["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.col("_text").substr(a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).alias("out"),
     )
-    rest = lambda a: F.concat(a["out"], F.col("text").substr(a["at"] + 1, F.length("text")))
-    cleaned = F.when(F.size("_spans") > 0, F.aggregate("_spans", start, step, rest)).otherwise(F.col("text"))
-    columns = [F.col(c) if c != "text" else F.col("_clean").alias("text") for c in docs.columns]
+    rest = lambda a: F.concat(a["out"], F.col("_text").substr(a["at"] + 1, F.length("_text")))
+    cleaned = F.when(F.size("_spans") > 0, F.aggregate("_spans", start, step, rest)).otherwise(F.col("row.text"))
+    columns = [F.col(f"row.`{c}`") if c != "text" else F.col("_clean").alias("text") for c in docs.columns]
     return found.withColumn("_spans", spans).withColumn("_clean", cleaned).select(*columns)

@@ -37,7 +37,7 @@ def numbered(df: DataFrame, group: str, order: Sequence[str], key: str, name: st
     Rows of a group are split by a hash of key into ranges, each is numbered by itself, and the counts of the ranges
     before are added. The table of offsets has at most (number of groups) x ranges rows and is aggregated beforehand.
     """
-    df = df.withColumn("_range", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(ranges)).cast("int"))
+    df = df.withColumn("_range", (F.conv(F.substring(F.md5(doc_key(F.col(key))), 1, 4), 16, 10).cast("int") % ranges))
     counts = df.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(group, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

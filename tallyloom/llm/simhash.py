@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -111,7 +111,14 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id",
 
 
 def kept(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest doc_id stays, of equal ids one row."""
-    found = deduplicate(docs, shingle)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(stay, "doc_id", "left_semi")
+    """docs without near-duplicates: of each component one row stays, that with the smallest doc_id.
+
+    Of rows that share an id, and of rows without one, the smaller text hash comes first; rows without an id come
+    after all others. Rows that are the same in id and text count as one.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+    rows = docs.select(F.struct("*").alias("row"), "text", key.alias("key"))
+    found = deduplicate(rows, shingle, "key")
+    stay = found.where(F.col("key") == F.col("component_id")).select("key").distinct()
+    one = Window.partitionBy("key").orderBy(F.xxhash64("row"))
+    return rows.join(stay, "key", "left_semi").withColumn("_r", F.row_number().over(one)).where("_r = 1").select("row.*")

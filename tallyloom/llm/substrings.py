@@ -67,7 +67,7 @@ def rolling(h: np.ndarray, size: int, m: np.uint64 = _M1) -> np.ndarray:
 
 def _bytes(a: np.ndarray, width: int | None = None) -> bytes:
     """Values by byte, lowest byte of all first: sorted or small values then compress well."""
-    b = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1)
+    b = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize)
     return np.ascontiguousarray(b[:, :width].T).tobytes()
 
 
