@@ -5,7 +5,7 @@ to tell a vector's part. Every row is indexed in the part the classifier names.
 parts until their probabilities add up to a share that is calibrated on held-out sample queries to the wanted recall;
 rows of visited parts are scored exactly.
 
-Parts are split into blocks of bounded size, queries of a part likewise, so that neither a hot part nor a vector
+Parts are split into blocks of bounded size, and queries into turns, so that neither a hot part nor a vector
 repeated many times meets in one task: a block sends on at most K rows a query, which are all that can be in its K
 nearest.
 """
@@ -213,9 +213,11 @@ def search(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_i
     index = good.groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q")).select("id", "v", "q", part("v").alias("part"))
     # blocks by a hash of the id: enough that each holds about BLOCK rows if parts are even, and no part is one block
     spread = max(1, -(-rows // (BLOCK * max(1, len(router.second_b)))) * 2)
+    asked = max(1, -(-good.where("q").count() // (8 * QUERIES)))
     block = F.pmod(F.xxhash64("id"), F.lit(spread)).cast("int")
-    stored = index.select("part", block.alias("block"), "id", "v")
-    routed = index.where("q").select("id", "v", F.explode(visited("v")).alias("part")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    turn = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(asked)).cast("int")
+    stored = index.select("part", block.alias("block"), "id", "v").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))))
+    routed = index.where("q").select("id", "v", turn.alias("turn"), F.explode(visited("v")).alias("part")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
 
     def meet(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -227,6 +229,6 @@ def search(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_i
             parts.append(pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), _best(_matrix(some["v"]), some["id"].to_numpy(), v, ids, k), strict=True))))
         return pd.concat(parts)
 
-    met = routed.groupBy("part", "block").cogroup(stored.groupBy("part", "block")).applyInPandas(meet, FOUND)
+    met = routed.groupBy("part", "block", "turn").cogroup(stored.groupBy("part", "block", "turn")).applyInPandas(meet, FOUND)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

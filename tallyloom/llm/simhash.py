@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -34,18 +34,24 @@ BITS, BLOCKS, RADIUS, CELL, SHINGLE, SEED = 64, 4, 2, 48, 3, 42
 PIVOTS = [0, *[(1 << b) - ((1 << 64) if b == 63 else 0) for b in range(BITS)]]
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Signed 64-bit SimHash; of no words zero."""
+def _shingles(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of every shingle of lower-cased words; fewer words are one shingle."""
     words = (text or "").encode().lower().split()  # bytes: lower() and split() know ASCII only, as the words are defined
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     n = max(1, len(words) - shingle + 1)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = [0, *ends[: n - 1].tolist()]
     stops = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), "<u8", n)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), "<u8", n)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Signed 64-bit SimHash; of no words zero."""
+    h = _shingles(text, shingle)
+    n = len(h)
     counts = np.zeros(64, np.int64)
     for at in range(0, n, 65536):
         counts += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -72,7 +78,7 @@ def links(fps: DataFrame) -> DataFrame:
     rows = fps.select("fp").distinct().withColumn("d", distance)
     width = BITS // BLOCKS
 
-    def group(block: int) -> F.Column:
+    def group(block: int) -> Column:
         # distance to the pivots of the block, less that to zero: what other blocks add is taken away
         return F.transform(F.slice("d", 2 + block * width, width), lambda x: x - F.col("d")[0])
 
@@ -110,15 +116,100 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id",
     return fps.join(of, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def kept(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """docs without near-duplicates: of each component one row stays, that with the smallest doc_id.
+#: Near-duplicates by similarity: words of 64 bits in the wide fingerprint, samples and shingles in each.
+WIDE, SAMPLES, DRAWN = 4, 16, 4
+_MIX = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th independent hash of shingle hashes."""
+    x = h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * _MIX[0]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[1]
+    return x ^ (x >> np.uint64(31))
+
+
+def wide(text: str | None, shingle: int) -> tuple[list[int], list[int]]:
+    """A fingerprint of WIDE longs of a text's distinct shingles, and SAMPLES fingerprints of DRAWN shingles each,
+    those with the smallest hashes under one more hash: texts that share most shingles share some sample exactly."""
+    h = np.unique(_shingles(text, shingle))
+    if not len(h):
+        return [0] * WIDE, [0] * SAMPLES
+    words = []
+    for k in range(WIDE):
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(h), 65536):
+            counts += np.unpackbits(_mixed(h[at : at + 65536], k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        words.append(int(np.packbits(counts * 2 > len(h), bitorder="little").view("<i8")[0]))
+    samples = []
+    for t in range(SAMPLES):
+        x = _mixed(h, WIDE + t)
+        few = np.sort(np.partition(x, DRAWN - 1)[:DRAWN] if len(x) > DRAWN else x)
+        samples.append(xxhash.xxh64_intdigest(few.tobytes(), t) - 2**63)
+    return words, samples
+
+
+def most_bits(similarity: float) -> int:
+    """Bits in which wide fingerprints of texts of that Jaccard similarity may differ: one and a half deviations over the mean."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    n = 64 * WIDE
+    return int(n * p + 1.5 * np.sqrt(n * p * (1 - p)))
+
+
+def similar(rows: DataFrame, key: str, shingle: int, similarity: float, text_col: str = "text") -> DataFrame:
+    """(key, node, label): rows linked by near-duplicates share the label, equal fingerprints the node.
+
+    Texts that share a sample's fingerprint are candidates. They are not paired with each other: in each sample all
+    are held against the one whose samples are the most common, which in a family of copies is what they were copied
+    from. Pairs are discarded by the largest difference in their distances to the pivots, then verified on all bits.
+    """
+
+    @F.pandas_udf("words array<long>, samples array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([wide(t, shingle) for t in texts], columns=["words", "samples"])
+
+    signed = rows.select(key, of(F.col(text_col)).alias("s")).select(key, "s.words", "s.samples")
+    signed = cut(signed.select(key, F.xxhash64("words", "samples").alias("node"), "words", "samples"), "signed")
+    nodes = signed.groupBy("node").agg(F.first("words").alias("words"), F.first("samples").alias("samples"))
+    drawn = nodes.select("node", F.posexplode("samples").alias("sample", "value"))
+    shared = cut(drawn.groupBy("sample", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    met = cut(drawn.join(shared, ["sample", "value"]), "met")
+    common = met.groupBy("node").agg(F.sum("n").alias("common"))
+    middle = cut(met.join(common, "node").groupBy("sample", "value").agg(F.max(F.struct("common", "node"))["node"].alias("to")), "middle")
+    pairs = met.join(middle, ["sample", "value"]).where(F.col("node") != F.col("to")).select("node", "to").distinct()
+
+    words = cut(nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "words"), "words")
+    limit = most_bits(similarity)
+    both = pairs.join(words, "node").join(words.select(F.col("node").alias("to"), F.col("words").alias("to_words")), "to")
+    apart = F.array_max(F.zip_with(_distances(F.col("words")), _distances(F.col("to_words")), lambda a, b: F.abs(a - b)))
+    differ = F.aggregate(F.zip_with("words", "to_words", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
+    edges = both.where(apart <= limit).where(differ <= limit).select(F.col("node").alias("u"), F.col("to").alias("v"))
+    labels = cut(components(edges).withColumnRenamed("node", "_node"), "labels")  # written, so that hot nodes can be split
+    return signed.select(key, "node").join(labels, F.col("node") == F.col("_node"), "left").select(key, "node", F.coalesce("label", "node").alias("label"))
+
+
+#: Reference fingerprints for the wide table: each word of a pivot repeats one of these patterns.
+WIDE_PIVOTS = [0, 0x00000000FFFFFFFF, 0x0000FFFF0000FFFF, 0x00FF00FF00FF00FF, 0x0F0F0F0F0F0F0F0F, 0x3333333333333333, 0x5555555555555555]
+
+
+def _distances(words: Column) -> Column:
+    """Hamming distances of a wide fingerprint to each pivot."""
+
+    def to(pivot: int) -> Column:
+        return F.aggregate(words, F.lit(0), lambda s, x: s + F.bit_count(x.bitwiseXOR(F.lit(pivot))))
+
+    return F.array(*[to(p) for p in WIDE_PIVOTS])
+
+
+def kept(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without near-duplicates: of each group of linked rows one stays, that with the smallest doc_id.
 
     Of rows that share an id, and of rows without one, the smaller text hash comes first; rows without an id come
-    after all others. Rows that are the same in id and text count as one.
+    after all others. Rows that are the same in id and text count as one. Null texts have no shingles and are alike.
     """
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
     rows = docs.select(F.struct("*").alias("row"), "text", key.alias("key"))
-    found = deduplicate(rows, shingle, "key")
-    stay = found.where(F.col("key") == F.col("component_id")).select("key").distinct()
+    stay = cut(similar(rows, "key", shingle, similarity).groupBy("label").agg(F.min("key").alias("key")).select("key"), "stay")
     one = Window.partitionBy("key").orderBy(F.xxhash64("row"))
     return rows.join(stay, "key", "left_semi").withColumn("_r", F.row_number().over(one)).where("_r = 1").select("row.*")
