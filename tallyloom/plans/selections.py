@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import display
@@ -11,23 +11,28 @@ from tallyloom.operators.filters import PurchaseFilter, ReceiptFilter
 from tallyloom.plans.registry import query
 from tallyloom.sources.adapter import Domain, decode, live
 
-MONEY = F.col("total").cast("double").alias("total")
-PRICE = F.col("total_price").cast("double").alias("total_price")
+
+def _money() -> Column:
+    return F.col("total").cast("double").alias("total")
+
+
+def _price() -> Column:
+    return F.col("total_price").cast("double").alias("total_price")
 
 
 @query("live_scan", "SELECT id, purchased_at, CAST(total AS DOUBLE) AS total, status FROM live")
 def live_scan(d: Domain) -> DataFrame:
-    return live(d.receipts).select("id", "purchased_at", MONEY, "status")
+    return live(d.receipts).select("id", "purchased_at", _money(), "status")
 
 
 @query("point_lookup", "SELECT id, merchant, CAST(total AS DOUBLE) AS total FROM receipts WHERE id = 7")
 def point_lookup(d: Domain) -> DataFrame:
-    return d.receipts.where("id = 7").select("id", "merchant", MONEY)
+    return d.receipts.where("id = 7").select("id", "merchant", _money())
 
 
 @query("receipt_lines", "SELECT receipt_id, line_no, name, CAST(total_price AS DOUBLE) AS total_price FROM items WHERE receipt_id BETWEEN 10 AND 60")
 def receipt_lines(d: Domain) -> DataFrame:
-    return d.items.where("receipt_id between 10 and 60").select("receipt_id", "line_no", "name", PRICE)
+    return d.items.where("receipt_id between 10 and 60").select("receipt_id", "line_no", "name", _price())
 
 
 @query("count_live_items", "SELECT CAST(count(*) AS BIGINT) AS n FROM changes WHERE kind = 'purchase' AND deleted_at = 0 AND CAST(json_extract(payload, '$.k') AS BIGINT) >= 10")
@@ -62,7 +67,7 @@ def share_line(d: Domain) -> DataFrame:
 
 
 def _receipts(d: Domain, spec: ReceiptFilter) -> DataFrame:
-    return filters.receipts_where(d.receipts, spec, d.receipt_tags, d.items).select("id", "purchased_at", MONEY, "status")
+    return filters.receipts_where(d.receipts, spec, d.receipt_tags, d.items).select("id", "purchased_at", _money(), "status")
 
 
 def _selected(where: str, extra: str = "") -> str:
@@ -110,7 +115,7 @@ def this_month(d: Domain) -> DataFrame:
 
 
 def _purchases(d: Domain, spec: PurchaseFilter = PurchaseFilter()) -> DataFrame:  # noqa: B008
-    return filters.purchases(d.items, d.receipts, spec).select("receipt_id", "line_no", "part_id", "name", PRICE, "merchant", "purchased_at")
+    return filters.purchases(d.items, d.receipts, spec).select("receipt_id", "line_no", "part_id", "name", _price(), "merchant", "purchased_at")
 
 
 _BOUGHT = "SELECT receipt_id, line_no, part_id, name, CAST(total_price AS DOUBLE) AS total_price, merchant, purchased_at FROM bought"
@@ -171,7 +176,7 @@ def purchases_sorted(d: Domain) -> DataFrame:
 
 @query("purchases_page", "SELECT receipt_id, line_no, part_id, CAST(total_price AS DOUBLE) AS total_price FROM bought ORDER BY bought.total_price DESC, receipt_id, line_no, part_id LIMIT 450")
 def purchases_page(d: Domain) -> DataFrame:
-    return filters.page(filters.purchases(d.items, d.receipts), filters.purchase_order("price", True), 3).select("receipt_id", "line_no", "part_id", PRICE)
+    return filters.page(filters.purchases(d.items, d.receipts), filters.purchase_order("price", True), 3).select("receipt_id", "line_no", "part_id", _price())
 
 
 @query(
@@ -186,7 +191,7 @@ def receipt_bundle(d: Domain) -> DataFrame:
     key = F.col("c_custkey")
     companies = d.table("customer").select(key.alias("id"), F.concat(F.lit("Company "), key.cast("string")).alias("name"), F.when(key % 4 == 0, 1).otherwise(0).alias("deleted_at"))
     b = store.bundle(d.receipts, d.items, d.receipt_tags, tags, companies, 11)
-    return b.select("id", MONEY, F.size("items").cast("bigint").alias("n_items"), F.array_join("tags", ",").alias("tags"), "company")
+    return b.select("id", _money(), F.size("items").cast("bigint").alias("n_items"), F.array_join("tags", ",").alias("tags"), "company")
 
 
 @query("tags_by_receipt", "SELECT receipt_id, string_agg(tag_id, ',' ORDER BY tag_id) AS tags FROM receipt_tags GROUP BY 1")

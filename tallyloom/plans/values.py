@@ -14,7 +14,13 @@ from tallyloom.operators.replicate import overlay
 from tallyloom.plans.registry import query
 from tallyloom.sources.adapter import Domain
 
-K, C = F.col("o_orderkey"), F.col("o_custkey")
+
+def _k() -> F.Column:
+    return F.col("o_orderkey")
+
+
+def _c() -> F.Column:
+    return F.col("o_custkey")
 
 
 def _s(c) -> F.Column:
@@ -28,7 +34,7 @@ def _pad(c, n: int) -> F.Column:
 @query("round_money", "SELECT o_orderkey AS id, floor(o_totalprice / 7 * 100 + 0.5) / 100 AS up, floor(-o_totalprice / 7 * 100 + 0.5) / 100 AS down FROM orders", plain=True)
 def round_money(d: Domain) -> DataFrame:
     v = F.col("o_totalprice") / 7
-    return d.table("orders").select(K.alias("id"), money.round_half_up(v).alias("up"), money.round_half_up(-F.col("o_totalprice") / 7).alias("down"))
+    return d.table("orders").select(_k().alias("id"), money.round_half_up(v).alias("up"), money.round_half_up(-F.col("o_totalprice") / 7).alias("down"))
 
 
 @query("parse_amount", """SELECT o_orderkey AS id, CASE o_orderkey % 7
@@ -36,35 +42,35 @@ def round_money(d: Domain) -> DataFrame:
   WHEN 2 THEN -CAST(o_orderkey * 100 + o_custkey % 100 AS DOUBLE) / 100 WHEN 3 THEN -CAST(o_orderkey * 100 + o_custkey % 100 AS DOUBLE) / 100
   WHEN 4 THEN CAST(o_orderkey AS DOUBLE) WHEN 5 THEN CAST(1000 + o_orderkey % 1000 AS DOUBLE) END AS amount FROM orders WHERE o_orderkey % 7 <> 1""", plain=True)
 def parse_amount(d: Domain) -> DataFrame:
-    cents = _pad(C % 100, 2)
+    cents = _pad(_c() % 100, 2)
     printed = (
-        F.when(K % 7 == 0, F.concat(_s(K), F.lit(","), cents, F.lit(" kr")))
-        .when(K % 7 == 2, F.concat(_s(K), F.lit("."), cents, F.lit("-")))
-        .when(K % 7 == 3, F.concat(F.lit("("), _s(K), F.lit(","), cents, F.lit(")")))
-        .when(K % 7 == 4, F.concat(_s(K), F.lit(":-")))
-        .when(K % 7 == 5, F.concat(F.lit("1 "), _pad(K % 1000, 3), F.lit(" SEK")))
+        F.when(_k() % 7 == 0, F.concat(_s(_k()), F.lit(","), cents, F.lit(" kr")))
+        .when(_k() % 7 == 2, F.concat(_s(_k()), F.lit("."), cents, F.lit("-")))
+        .when(_k() % 7 == 3, F.concat(F.lit("("), _s(_k()), F.lit(","), cents, F.lit(")")))
+        .when(_k() % 7 == 4, F.concat(_s(_k()), F.lit(":-")))
+        .when(_k() % 7 == 5, F.concat(F.lit("1 "), _pad(_k() % 1000, 3), F.lit(" SEK")))
         .otherwise("moms")
     )
-    return d.table("orders").where(K % 7 != 1).select(K.alias("id"), money.parse_amount(printed).alias("amount"))
+    return d.table("orders").where(_k() % 7 != 1).select(_k().alias("id"), money.parse_amount(printed).alias("amount"))
 
 
 @query("parse_grouped", "SELECT o_orderkey AS id, CAST((1000 + o_orderkey % 1000) * 100 + o_custkey % 100 AS DOUBLE) / 100 AS both, CAST(1000 + o_orderkey % 1000 AS DOUBLE) AS lone FROM orders", plain=True)
 def parse_grouped(d: Domain) -> DataFrame:
-    head = F.concat(F.lit("1."), _pad(K % 1000, 3))
-    return d.table("orders").select(K.alias("id"), money.parse_amount(F.concat(head, F.lit(","), _pad(C % 100, 2))).alias("both"), money.parse_amount(head).alias("lone"))
+    head = F.concat(F.lit("1."), _pad(_k() % 1000, 3))
+    return d.table("orders").select(_k().alias("id"), money.parse_amount(F.concat(head, F.lit(","), _pad(_c() % 100, 2))).alias("both"), money.parse_amount(head).alias("lone"))
 
 
 @query("parse_quantity", "SELECT o_orderkey AS id, CASE WHEN o_custkey % 1000 = 0 THEN 1.0 ELSE CAST(o_custkey % 1000 AS DOUBLE) / 1000 END AS quantity, CASE o_orderkey % 4 WHEN 0 THEN 'kg' WHEN 1 THEN 'förp' WHEN 2 THEN 'st' ELSE 'other' END AS unit FROM orders", plain=True)
 def parse_quantity(d: Domain) -> DataFrame:
-    unit = F.when(K % 4 == 0, " Kg").when(K % 4 == 1, " frp").when(K % 4 == 2, "").otherwise(" burk")
-    q = money.parse_quantity(F.concat(F.lit("0,"), _pad(C % 1000, 3), unit))
-    return d.table("orders").select(K.alias("id"), q["quantity"].alias("quantity"), q["unit"].alias("unit"))
+    unit = F.when(_k() % 4 == 0, " Kg").when(_k() % 4 == 1, " frp").when(_k() % 4 == 2, "").otherwise(" burk")
+    q = money.parse_quantity(F.concat(F.lit("0,"), _pad(_c() % 1000, 3), unit))
+    return d.table("orders").select(_k().alias("id"), q["quantity"].alias("quantity"), q["unit"].alias("unit"))
 
 
 @query("vat_rate", "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 12.0 WHEN 1 THEN 25.0 WHEN 2 THEN 0.0 END AS rate FROM orders", plain=True)
 def vat_rate(d: Domain) -> DataFrame:
-    v = F.when(K % 4 == 0, 0.12).when(K % 4 == 1, -25.0).when(K % 4 == 2, 0.0).otherwise(250.0)
-    return d.table("orders").select(K.alias("id"), money.vat_rate(v).alias("rate"))
+    v = F.when(_k() % 4 == 0, 0.12).when(_k() % 4 == 1, -25.0).when(_k() % 4 == 2, 0.0).otherwise(250.0)
+    return d.table("orders").select(_k().alias("id"), money.vat_rate(v).alias("rate"))
 
 
 @query("derive_unit_price", "SELECT receipt_id, line_no, part_id, CASE WHEN is_discount THEN NULL ELSE floor(CAST(total_price AS DOUBLE) / quantity * 100 + 0.5) / 100 END AS unit_price FROM items WHERE quantity > 0")
@@ -75,12 +81,12 @@ def derive_unit_price(d: Domain) -> DataFrame:
 
 @query("derive_gross", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 5.0 ELSE floor((o_totalprice + 1.5) * 100 + 0.5) / 100 END AS gross FROM orders", plain=True)
 def derive_gross(d: Domain) -> DataFrame:
-    return d.table("orders").select(K.alias("id"), money.gross(F.when(K % 2 == 0, 5.0), F.col("o_totalprice"), F.lit(1.5)).alias("gross"))
+    return d.table("orders").select(_k().alias("id"), money.gross(F.when(_k() % 2 == 0, 5.0), F.col("o_totalprice"), F.lit(1.5)).alias("gross"))
 
 
 @query("backoff_ceiling", "SELECT o_orderkey AS id, least(30000.0 * CAST(power(2, o_orderkey % 9) AS DOUBLE), 1800000.0) AS ceiling FROM orders", plain=True)
 def backoff(d: Domain) -> DataFrame:
-    return d.table("orders").select(K.alias("id"), money.backoff_ceiling(K % 9 + 1).alias("ceiling"))
+    return d.table("orders").select(_k().alias("id"), money.backoff_ceiling(_k() % 9 + 1).alias("ceiling"))
 
 
 @query("search_name", "SELECT c_custkey AS id, trim(regexp_replace(lower(c_name), '[^\\pL\\pN]+', ' ', 'g')) AS name FROM customer", plain=True)
@@ -107,37 +113,37 @@ def significant_tokens(d: Domain) -> DataFrame:
 
 @query("classify_line", "SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'deposit' WHEN 1 THEN 'discount' WHEN 2 THEN 'discount' WHEN 3 THEN 'product' ELSE 'discount' END AS kind FROM orders", plain=True)
 def classify_line(d: Domain) -> DataFrame:
-    name = F.when(K % 5 == 0, "PANT burk rabatt").when(K % 5 == 1, "Medlemspris").when(K % 5 == 2, "rea tröja").when(K % 5 == 3, "realtid pantry").otherwise("Banan")
-    return d.table("orders").select(K.alias("id"), quality.line_class(name, F.when(K % 5 == 4, -1.0).otherwise(1.0)).alias("kind"))
+    name = F.when(_k() % 5 == 0, "PANT burk rabatt").when(_k() % 5 == 1, "Medlemspris").when(_k() % 5 == 2, "rea tröja").when(_k() % 5 == 3, "realtid pantry").otherwise("Banan")
+    return d.table("orders").select(_k().alias("id"), quality.line_class(name, F.when(_k() % 5 == 4, -1.0).otherwise(1.0)).alias("kind"))
 
 
 @query("guess_category", "SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'mejeri' WHEN 1 THEN 'frukt-gront' WHEN 2 THEN 'kott-fisk' WHEN 3 THEN 'pant' END AS slug FROM orders", plain=True)
 def guess_category(d: Domain) -> DataFrame:
-    name = F.when(K % 5 == 0, "mellanmjölk ris").when(K % 5 == 1, "banan eko").when(K % 5 == 2, "falukorv salt").when(K % 5 == 3, "pant").otherwise("zzz")
-    return d.table("orders").select(K.alias("id"), guess(name).alias("slug"))
+    name = F.when(_k() % 5 == 0, "mellanmjölk ris").when(_k() % 5 == 1, "banan eko").when(_k() % 5 == 2, "falukorv salt").when(_k() % 5 == 3, "pant").otherwise("zzz")
+    return d.table("orders").select(_k().alias("id"), guess(name).alias("slug"))
 
 
 @query("clean_codes", "SELECT o_orderkey AS id, CASE WHEN length('73' || o_orderkey) BETWEEN 8 AND 14 THEN '73' || o_orderkey END AS ean, right('12' || lpad(CAST(o_custkey AS VARCHAR), 6, '0'), 4) AS last4 FROM orders", plain=True)
 def clean_codes(d: Domain) -> DataFrame:
-    return d.table("orders").select(K.alias("id"), codes.ean(F.concat(F.lit("7-3 "), _s(K))).alias("ean"), codes.last4(F.concat(F.lit("*12** "), _pad(C, 6))).alias("last4"))
+    return d.table("orders").select(_k().alias("id"), codes.ean(F.concat(F.lit("7-3 "), _s(_k()))).alias("ean"), codes.last4(F.concat(F.lit("*12** "), _pad(_c(), 6))).alias("last4"))
 
 
 @query("null_placeholders", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 = 5 THEN 'nothing' END AS value FROM orders", plain=True)
 def null_placeholders(d: Domain) -> DataFrame:
-    v = F.element_at(F.array(*[F.lit(x) for x in (" N/A", "okänd ", "null", "--", "  ", " nothing ")]), (K % 6 + 1).cast("int"))
-    return d.table("orders").select(K.alias("id"), text.nothing_to_null(v).alias("value"))
+    v = F.element_at(F.array(*[F.lit(x) for x in (" N/A", "okänd ", "null", "--", "  ", " nothing ")]), (_k() % 6 + 1).cast("int"))
+    return d.table("orders").select(_k().alias("id"), text.nothing_to_null(v).alias("value"))
 
 
 _ORG = "lpad(CAST((o_orderkey * 7919 + o_custkey * 104729) % 10000000000 AS VARCHAR), 10, '0')"
 
 
 def _org() -> F.Column:
-    return F.lpad(_s((K * 7919 + C * 104729) % 10000000000), 10, "0")
+    return F.lpad(_s((_k() * 7919 + _c() * 104729) % 10000000000), 10, "0")
 
 
 @query("org_vat_number", f"WITH t AS (SELECT o_orderkey AS id, {_ORG} AS n FROM orders) SELECT id, substr(n, 1, 6) || '-' || substr(n, 7) AS org, 'SE' || n || '01' AS vat FROM t", plain=True)
 def org_vat_number(d: Domain) -> DataFrame:
-    return d.table("orders").select(K.alias("id"), codes.org_number(F.concat(F.lit("16"), F.substring(_org(), 1, 6), F.lit(" - "), F.substring(_org(), 7, 4))).alias("org"), codes.vat_number(F.concat(F.lit(" "), _org())).alias("vat"))
+    return d.table("orders").select(_k().alias("id"), codes.org_number(F.concat(F.lit("16"), F.substring(_org(), 1, 6), F.lit(" - "), F.substring(_org(), 7, 4))).alias("org"), codes.vat_number(F.concat(F.lit(" "), _org())).alias("vat"))
 
 
 _LUHN = "(SELECT sum(CASE WHEN i % 2 = 1 THEN (CASE WHEN d * 2 > 9 THEN d * 2 - 9 ELSE d * 2 END) ELSE d END) % 10 FROM (SELECT i, CAST(substr(n, i, 1) AS INTEGER) AS d FROM (SELECT unnest(range(1, 11)) AS i)))"
@@ -145,18 +151,18 @@ _LUHN = "(SELECT sum(CASE WHEN i % 2 = 1 THEN (CASE WHEN d * 2 > 9 THEN d * 2 -
 
 @query("luhn", f"WITH t AS (SELECT o_orderkey AS id, {_ORG} AS n FROM orders) SELECT id, {_LUHN} = 0 AS valid FROM t", plain=True)
 def luhn(d: Domain) -> DataFrame:
-    return d.table("orders").select(K.alias("id"), codes.luhn(_org()).alias("valid"))
+    return d.table("orders").select(_k().alias("id"), codes.luhn(_org()).alias("valid"))
 
 
 @query("check_org_number", f"""WITH t AS (SELECT o_orderkey AS id, {_ORG} AS n FROM orders)
 SELECT id, CASE WHEN substr(n, 1, 1) NOT IN ('1','2','3','5','6','7','8','9') THEN 'group-digit' WHEN CAST(substr(n, 3, 2) AS INTEGER) < 20 THEN 'not-an-org-number' WHEN {_LUHN} <> 0 THEN 'checksum' END AS reason FROM t""", plain=True)
 def check_org_number(d: Domain) -> DataFrame:
-    return d.table("orders").select(K.alias("id"), codes.check_org_number(_org())["reason"].alias("reason"))
+    return d.table("orders").select(_k().alias("id"), codes.check_org_number(_org())["reason"].alias("reason"))
 
 
 @query("org_score", "SELECT o_orderkey AS id, round(0.7 + CASE WHEN o_orderkey % 2 = 0 THEN 0.25 ELSE 0 END + CASE WHEN o_orderkey % 10 = 5 THEN 0.05 WHEN o_orderkey % 10 IN (1, 3, 6) THEN -0.15 ELSE 0 END - CASE WHEN o_custkey % 2 = 0 THEN 0.2 ELSE 0 END, 6) AS score FROM orders", plain=True)
 def org_score(d: Domain) -> DataFrame:
-    return d.table("orders").select(K.alias("id"), F.round(codes.org_score(K % 2 == 0, C % 2 == 0, _s(K % 10)), 6).alias("score"))
+    return d.table("orders").select(_k().alias("id"), F.round(codes.org_score(_k() % 2 == 0, _c() % 2 == 0, _s(_k() % 10)), 6).alias("score"))
 
 
 @query("digest", "SELECT c_custkey AS id, sha256(c_name) AS digest, true AS ok FROM customer", plain=True)
@@ -172,10 +178,10 @@ def parse_date(d: Domain) -> DataFrame:
     form = lambda f: F.date_format(at, f)
     month = F.element_at(F.array(*[F.lit(v[-1]) for v in dates.MONTHS.values()]), F.month(at))
     printed = (
-        F.when(K % 6 == 0, form("yyyy/M/d")).when(K % 6 == 1, form("d.M.yyyy")).when(K % 6 == 2, F.concat(F.lit("Datum "), form("yyMMdd")))
-        .when(K % 6 == 3, F.concat(form("yyyy-MM-dd"), F.lit(" 9:05"))).when(K % 6 == 4, F.concat(F.lit("11 "), month)).otherwise("2024-02-31")
+        F.when(_k() % 6 == 0, form("yyyy/M/d")).when(_k() % 6 == 1, form("d.M.yyyy")).when(_k() % 6 == 2, F.concat(F.lit("Datum "), form("yyMMdd")))
+        .when(_k() % 6 == 3, F.concat(form("yyyy-MM-dd"), F.lit(" 9:05"))).when(_k() % 6 == 4, F.concat(F.lit("11 "), month)).otherwise("2024-02-31")
     )
-    return d.table("orders").select(K.alias("id"), dates.parse_date(printed, "2026-01-01").alias("value"))
+    return d.table("orders").select(_k().alias("id"), dates.parse_date(printed, "2026-01-01").alias("value"))
 
 
 @query("date_keys", "SELECT id, substr(purchased_at, 1, 7) AS month, substr(purchased_at, 1, 10) AS d, date_diff('day', CAST(purchased_at AS DATE), DATE '2001-08-01') <= 400 AS recent FROM receipts")
@@ -187,18 +193,18 @@ def date_keys(d: Domain) -> DataFrame:
 @query("relative_time", """WITH t AS (SELECT o_orderkey AS id, CAST(o_orderkey * 97 % 4000000 AS DOUBLE) AS s FROM orders), m AS (SELECT *, floor(s / 60 + 0.5) AS mi FROM t), h AS (SELECT *, floor(mi / 60 + 0.5) AS ho FROM m), d AS (SELECT *, floor(ho / 24 + 0.5) AS da FROM h)
 SELECT id, CASE WHEN s < 45 THEN 'nyss' WHEN s < 90 THEN 'för en minut sedan' WHEN mi < 60 THEN 'för ' || CAST(mi AS BIGINT) || ' min sedan' WHEN ho < 24 THEN 'för ' || CAST(ho AS BIGINT) || ' tim sedan' WHEN da < 30 THEN 'för ' || CAST(da AS BIGINT) || ' dagar sedan' END AS ago FROM d""", plain=True)
 def relative_time(d: Domain) -> DataFrame:
-    return d.table("orders").select(K.alias("id"), dates.relative_time((K * 97 % 4000000).cast("double")).alias("ago"))
+    return d.table("orders").select(_k().alias("id"), dates.relative_time((_k() * 97 % 4000000).cast("double")).alias("ago"))
 
 
 @query("format_money", "SELECT o_orderkey AS id, CASE WHEN o_orderkey >= 1000 THEN CAST(o_orderkey // 1000 AS VARCHAR) || chr(160) || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') ELSE CAST(o_orderkey AS VARCHAR) END || ',' || lpad(CAST(o_custkey % 100 AS VARCHAR), 2, '0') || chr(160) || 'kr' AS money FROM orders WHERE o_orderkey < 1000000", plain=True)
 def format_money(d: Domain) -> DataFrame:
-    v = (K * 100 + C % 100).cast("decimal(18,0)") / 100
-    return d.table("orders").where(K < 1000000).select(K.alias("id"), display.format_money(v.cast("decimal(18,2)")).alias("money"))
+    v = (_k() * 100 + _c() % 100).cast("decimal(18,0)") / 100
+    return d.table("orders").where(_k() < 1000000).select(_k().alias("id"), display.format_money(v.cast("decimal(18,2)")).alias("money"))
 
 
 @query("format_bytes", "WITH t AS (SELECT o_orderkey AS id, o_orderkey * o_custkey * 37 % 50000000 AS n FROM orders) SELECT id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN CAST(CAST(floor(n / 1024.0 + 0.5) AS BIGINT) AS VARCHAR) || ' kB' ELSE replace(CAST(floor(n * 10 / 1048576.0 + 0.5) / 10 AS VARCHAR), '.', ',') || ' MB' END AS size FROM t", plain=True)
 def format_bytes(d: Domain) -> DataFrame:
-    return d.table("orders").select(K.alias("id"), display.format_bytes(K * C * 37 % 50000000).alias("size"))
+    return d.table("orders").select(_k().alias("id"), display.format_bytes(_k() * _c() * 37 % 50000000).alias("size"))
 
 
 @query("format_month", "SELECT id, CASE substr(purchased_at, 6, 2) WHEN '01' THEN 'Januari' WHEN '02' THEN 'Februari' WHEN '03' THEN 'Mars' WHEN '04' THEN 'April' WHEN '05' THEN 'Maj' WHEN '06' THEN 'Juni' WHEN '07' THEN 'Juli' WHEN '08' THEN 'Augusti' WHEN '09' THEN 'September' WHEN '10' THEN 'Oktober' WHEN '11' THEN 'November' ELSE 'December' END || ' ' || substr(purchased_at, 1, 4) AS label FROM receipts")
@@ -215,9 +221,9 @@ def json_pick(d: Domain) -> DataFrame:
 
 @query("keep_known", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'new' ELSE 'old' END AS name, CASE WHEN o_orderkey % 3 = 0 THEN 'here' ELSE 'there' END AS city FROM orders", plain=True)
 def keep_known(d: Domain) -> DataFrame:
-    new = F.struct(F.when(K % 2 == 0, "new").alias("name"), F.when(K % 3 == 0, "here").alias("city"))
+    new = F.struct(F.when(_k() % 2 == 0, "new").alias("name"), F.when(_k() % 3 == 0, "here").alias("city"))
     old = F.struct(F.lit("old").alias("name"), F.lit("there").alias("city"))
-    return d.table("orders").select(K.alias("id"), overlay(new, old, ("name", "city")).alias("m")).select("id", "m.name", "m.city")
+    return d.table("orders").select(_k().alias("id"), overlay(new, old, ("name", "city")).alias("m")).select("id", "m.name", "m.city")
 
 
 @query("redact", "SELECT event_id AS id, 'token: \"[redacted]\" user=' || user_id AS line FROM events", plain=True)

@@ -48,3 +48,12 @@ def test_entry(spark, sf_dir):
 def test_pushdown(spark, sf_dir):
     plan = catalogue.QUERIES["changes_since"](spark, sf_dir)._jdf.queryExecution().toString()
     assert "PushedFilters" in plan and "ReadSchema" in plan
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__spark_entry__.__file__).parent
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], cwd=root, check=True, timeout=120)
