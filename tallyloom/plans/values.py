@@ -269,5 +269,5 @@ def purchase_dates(d: Domain) -> DataFrame:
 @query("company_matches", None)
 def company_matches(d: Domain) -> DataFrame:
     companies = d.table("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), (F.col("n_nationkey") % 4 != 0).alias("active"))
-    texts = d.table("supplier").join(d.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), F.concat_ws(" ", F.lit("Kvitto"), "n_name", "s_name").alias("text"))
+    texts = d.table("supplier").join(d.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), F.concat_ws(" ", F.lit("Tack"), "n_name", "s_name").alias("text"))
     return names.match_companies(texts, companies)
