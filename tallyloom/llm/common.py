@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -14,19 +15,17 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _written: list[tuple[SparkSession, str]] = []
+_own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is named."""
+    """The folder that driver and executors share; a temporary one only where the session names none, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
-        spark.conf.set("spark.checkpoint.dir", at) if _settable(spark) else None
-    return at.rstrip("/")
-
-
-def _settable(spark: SparkSession) -> bool:
-    return bool(spark.conf.isModifiable("spark.checkpoint.dir"))
+    if at:
+        return at.rstrip("/")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="tallyloom-"))
+    return f"file://{_own[0]}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -60,6 +59,8 @@ def _tidy() -> None:
         with contextlib.suppress(Exception):
             if spark.sparkContext._jsc is not None:
                 _remove(spark, path)
+    for path in _own:
+        shutil.rmtree(path, ignore_errors=True)
 
 
 def n_words(text: Column) -> Column:
