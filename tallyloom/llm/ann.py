@@ -5,9 +5,9 @@ to tell a vector's part. Every row is indexed in the part the classifier names.
 parts until their probabilities add up to a share that is calibrated on held-out sample queries to the wanted recall;
 rows of visited parts are scored exactly.
 
-Parts are split into blocks of bounded size, and queries into turns, so that neither a hot part nor a vector
-repeated many times meets in one task: a block sends on at most K rows a query, which are all that can be in its K
-nearest.
+Parts are gathered on shelves or split into blocks of bounded size, and queries into turns, so that neither a hot
+part nor a vector repeated many times meets in one task: a block sends on at most K rows a query, which are all that
+can be in its K nearest.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ K = 20
 #: Sample for graph and classifier; rows a part should hold at least and most parts; graph degree; held-out queries.
 SAMPLE, PART_ROWS, MOST_PARTS, DEGREE, PROBES = 6000, 1000, 64, 16, 300
 #: Recall that the visited probability is calibrated to on the sample; rows of an index or query block.
-WANTED, BLOCK, QUERIES = 0.95, 4096, 1024
+WANTED, BLOCK, QUERIES = 0.95, 32_768, 1024
 
 
 @dataclass
@@ -211,24 +211,34 @@ def search(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_i
             yield pd.Series([np.flatnonzero(x).astype("int32") for x in r.visits(_unit(_matrix(v)))]) if len(v) else pd.Series([], dtype=object)
 
     index = good.groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q")).select("id", "v", "q", part("v").alias("part"))
-    # blocks by a hash of the id: enough that each holds about BLOCK rows if parts are even, and no part is one block
-    spread = max(1, -(-rows // (BLOCK * max(1, len(router.second_b)))) * 2)
+    # Small parts share a shelf and large ones are split into blocks by a hash of the id, so that about BLOCK rows meet
+    # at most turns of queries; a query goes to the shelves of the parts it visits, and gets k rows from each block.
+    parts = len(router.second_b)
+    shelves = max(1, min(parts, -(-rows // BLOCK)))
+    spread = max(1, -(-2 * rows // (BLOCK * shelves)) if rows > BLOCK else 1)
     asked = max(1, -(-good.where("q").count() // (8 * QUERIES)))
     block = F.pmod(F.xxhash64("id"), F.lit(spread)).cast("int")
     turn = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(asked)).cast("int")
-    stored = index.select("part", block.alias("block"), "id", "v").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))))
-    routed = index.where("q").select("id", "v", turn.alias("turn"), F.explode(visited("v")).alias("part")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    stored = index.select((F.col("part") % shelves).alias("shelf"), block.alias("block"), "id", "v", "part").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))))
+    routed = index.where("q").select("id", "v", turn.alias("turn"), visited("v").alias("parts"))
+    routed = routed.withColumn("shelf", F.explode(F.array_distinct(F.transform("parts", lambda p: p % shelves)))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
 
     def meet(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        v, ids = _matrix(right["v"]), right["id"].to_numpy()
-        parts = []
-        for at in range(0, len(left), QUERIES):
-            some = left.iloc[at : at + QUERIES]
-            parts.append(pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), _best(_matrix(some["v"]), some["id"].to_numpy(), v, ids, k), strict=True))))
-        return pd.concat(parts)
-
-    met = routed.groupBy("part", "block", "turn").cogroup(stored.groupBy("part", "block", "turn")).applyInPandas(meet, FOUND)
+        found = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
+        if len(left) and len(right):
+            v, ids, part = _matrix(right["v"]), right["id"].to_numpy(), right["part"].to_numpy()
+            q, asking = _matrix(left["v"]), left["id"].to_numpy()
+            visits = np.zeros((len(left), parts), bool)
+            for i, some in enumerate(left["parts"]):
+                visits[i, some] = True
+            for p in np.unique(part):
+                at, who = np.flatnonzero(part == p), np.flatnonzero(visits[:, p])
+                for few in np.array_split(who, max(1, -(-len(who) // QUERIES))):
+                    if len(few):
+                        found.append(pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), _best(q[few], asking[few], v[at], ids[at], k), strict=True))))
+        out = pd.concat(found).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+        return out[out.groupby("query_id").cumcount() < k]
+
+    met = routed.groupBy("shelf", "block", "turn").cogroup(stored.groupBy("shelf", "block", "turn")).applyInPandas(meet, FOUND)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
