@@ -22,6 +22,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard as zs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -118,6 +119,8 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id",
 
 #: Near-duplicates by similarity: words of 64 bits in the wide fingerprint, samples and shingles in each.
 WIDE, SAMPLES, DRAWN = 4, 16, 4
+#: Shingles from which on a text's wide fingerprint tells of its similarity; texts a task keeps open while it verifies.
+TELLS, OPEN = 64, 64
 _MIX = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -129,10 +132,9 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def wide(text: str | None, shingle: int) -> tuple[list[int], list[int]]:
+def wide(h: np.ndarray) -> tuple[list[int], list[int]]:
     """A fingerprint of WIDE longs of a text's distinct shingles, and SAMPLES fingerprints of DRAWN shingles each,
     those with the smallest hashes under one more hash: texts that share most shingles share some sample exactly."""
-    h = np.unique(_shingles(text, shingle))
     if not len(h):
         return [0] * WIDE, [0] * SAMPLES
     words = []
@@ -150,10 +152,38 @@ def wide(text: str | None, shingle: int) -> tuple[list[int], list[int]]:
 
 
 def most_bits(similarity: float) -> int:
-    """Bits in which wide fingerprints of texts of that Jaccard similarity may differ: one and a half deviations over the mean."""
+    """Bits in which wide fingerprints of texts of that Jaccard similarity may differ: four deviations over the mean,
+    so that about one such pair in 30,000 is lost. It lets dissimilar pairs by, and alone decides nothing."""
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     n = 64 * WIDE
-    return int(n * p + 1.5 * np.sqrt(n * p * (1 - p)))
+    return int(n * p + 4 * np.sqrt(n * p * (1 - p)))
+
+
+def _verified(pairs: DataFrame, bodies: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose texts' sets of shingles have that Jaccard similarity at least, counted exactly."""
+
+    @F.pandas_udf("boolean")
+    def alike(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        press, open_ = zs.ZstdDecompressor(), {}
+
+        def shingles(node: int, body: bytes) -> np.ndarray:
+            if node not in open_:
+                if len(open_) >= OPEN:
+                    open_.pop(next(iter(open_)))
+                open_[node] = np.unique(_shingles(press.decompress(body).decode(), shingle))
+            return open_[node]
+
+        for us, vs, bodies_u, bodies_v in batches:
+            out = []
+            for u, v, body_u, body_v in zip(us, vs, bodies_u, bodies_v, strict=True):
+                b, a = shingles(v, body_v), shingles(u, body_u)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                out.append(both >= similarity * (len(a) + len(b) - both))
+            yield pd.Series(out, dtype=bool)
+
+    first = pairs.join(bodies.select(F.col("node").alias("v"), F.col("body").alias("body_v")), "v")
+    both = first.join(bodies.select(F.col("node").alias("u"), F.col("body").alias("body_u")), "u")
+    return both.where(alike("u", "v", "body_u", "body_v")).select("u", "v")
 
 
 def similar(rows: DataFrame, key: str, shingle: int, similarity: float, text_col: str = "text") -> DataFrame:
@@ -161,34 +191,46 @@ def similar(rows: DataFrame, key: str, shingle: int, similarity: float, text_col
 
     Texts that share a sample's fingerprint are candidates. They are not paired with each other: in each sample all
     are held against the one whose samples are the most common, which in a family of copies is what they were copied
-    from. Pairs are discarded by the largest difference in their distances to the pivots, then verified on all bits.
+    from. Pairs are discarded by their numbers of shingles and, unless they have few, by the differing bits of their
+    fingerprints; the shingles of all that are left are compared. Texts travel compressed.
     """
 
-    @F.pandas_udf("words array<long>, samples array<long>")
+    @F.pandas_udf("node long, n int, words array<long>, samples array<long>, body binary")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        press = zs.ZstdCompressor(level=3)
         for texts in batches:
-            yield pd.DataFrame([wide(t, shingle) for t in texts], columns=["words", "samples"])
-
-    signed = rows.select(key, of(F.col(text_col)).alias("s")).select(key, "s.words", "s.samples")
-    signed = cut(signed.select(key, F.xxhash64("words", "samples").alias("node"), "words", "samples"), "signed")
-    nodes = signed.groupBy("node").agg(F.first("words").alias("words"), F.first("samples").alias("samples"))
+            out = []
+            for t in texts:
+                h = np.unique(_shingles(t, shingle))
+                out.append((xxhash.xxh64_intdigest(h.tobytes(), SEED) - 2**63, len(h), *wide(h), press.compress((t or "").encode())))
+            yield pd.DataFrame(out, columns=["node", "n", "words", "samples", "body"])
+
+    signed = cut(rows.select(key, of(F.col(text_col)).alias("s")).select(key, "s.*"), "signed")
+    nodes = signed.groupBy("node").agg(F.first("n").alias("n"), F.first("words").alias("words"), F.first("samples").alias("samples"))
     drawn = nodes.select("node", F.posexplode("samples").alias("sample", "value"))
     shared = cut(drawn.groupBy("sample", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
     met = cut(drawn.join(shared, ["sample", "value"]), "met")
     common = met.groupBy("node").agg(F.sum("n").alias("common"))
     middle = cut(met.join(common, "node").groupBy("sample", "value").agg(F.max(F.struct("common", "node"))["node"].alias("to")), "middle")
-    pairs = met.join(middle, ["sample", "value"]).where(F.col("node") != F.col("to")).select("node", "to").distinct()
+    pairs = met.join(middle, ["sample", "value"]).where(F.col("node") != F.col("to")).select(F.least("node", "to").alias("u"), F.greatest("node", "to").alias("v")).distinct()
 
-    words = cut(nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "words"), "words")
-    limit = most_bits(similarity)
-    both = pairs.join(words, "node").join(words.select(F.col("node").alias("to"), F.col("words").alias("to_words")), "to")
-    apart = F.array_max(F.zip_with(_distances(F.col("words")), _distances(F.col("to_words")), lambda a, b: F.abs(a - b)))
-    differ = F.aggregate(F.zip_with("words", "to_words", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
-    edges = both.where(apart <= limit).where(differ <= limit).select(F.col("node").alias("u"), F.col("to").alias("v"))
+    words = cut(nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "n", "words"), "words")
+    bodies = cut(signed.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("body").alias("body")), "bodies")
+    edges = _verified(cut(_near(pairs, words, similarity), "near"), bodies, shingle, similarity)
     labels = cut(components(edges).withColumnRenamed("node", "_node"), "labels")  # written, so that hot nodes can be split
     return signed.select(key, "node").join(labels, F.col("node") == F.col("_node"), "left").select(key, "node", F.coalesce("label", "node").alias("label"))
 
 
+def _near(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) that numbers of shingles, distances to the pivots and differing bits do not tell apart."""
+    sides = [words.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("words").alias(f"words_{x}")) for x in "uv"]
+    both = pairs.join(sides[0], "u").join(sides[1], "v").where(F.least("n_u", "n_v") >= similarity * F.greatest("n_u", "n_v"))
+    limit = most_bits(similarity)
+    apart = F.array_max(F.zip_with(_distances(F.col("words_u")), _distances(F.col("words_v")), lambda a, b: F.abs(a - b)))
+    differ = F.aggregate(F.zip_with("words_u", "words_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
+    return both.where((F.least("n_u", "n_v") < TELLS) | (apart <= limit) & (differ <= limit)).select("u", "v")
+
+
 #: Reference fingerprints for the wide table: each word of a pivot repeats one of these patterns.
 WIDE_PIVOTS = [0, 0x00000000FFFFFFFF, 0x0000FFFF0000FFFF, 0x00FF00FF00FF00FF, 0x0F0F0F0F0F0F0F0F, 0x3333333333333333, 0x5555555555555555]
 

@@ -200,6 +200,34 @@ def test_near_copies_are_linked(make):
     assert len(pairs) > 100 and np.mean([got[i] == got[j] for i, j in pairs]) > 0.97
 
 
+def labels_of(make, rows):
+    return {r["doc_id"]: r["label"] for r in simhash.similar(make(rows).select("doc_id", "text"), "doc_id", 5, 0.8).collect()}
+
+
+def five(text):
+    w = text.split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
+def test_similarity_is_exact_on_both_sides_of_the_bound(make):
+    rng = np.random.default_rng(8)
+    rows, like = [], {}
+    for k in range(600):
+        words = [f"w{k}x{x}" for x in range(int(rng.integers(30, 320)))]
+        whole = " ".join(words)
+        # the last words are others: a share of the shingles that puts the pair within a few hundredths of 0.8
+        aim = rng.uniform(0.8, 0.82) if k % 2 else rng.uniform(0.72, 0.795)
+        n = len(words) - 4
+        gone = int(n - 2 * aim / (1 + aim) * n) if k % 2 else int(np.ceil(n - 2 * aim / (1 + aim) * n))
+        other = " ".join(words[: len(words) - gone] + [f"v{k}x{x}" for x in range(gone)])
+        rows += [(2 * k, whole, "s"), (2 * k + 1, other, "s")]
+        a, b = five(whole), five(other)
+        like[k] = len(a & b) / len(a | b)
+    assert sum(x >= 0.8 for x in like.values()) > 250 and sum(0.7 < x < 0.8 for x in like.values()) > 250
+    got = labels_of(make, rows)
+    assert [k for k, x in like.items() if (got[2 * k] == got[2 * k + 1]) != (x >= 0.8)] == []
+
+
 # ---- 4 secrets
 
 
