@@ -121,6 +121,8 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id",
 WIDE, SAMPLES, DRAWN = 4, 16, 4
 #: Shingles from which on a text's wide fingerprint tells of its similarity; texts a task keeps open while it verifies.
 TELLS, OPEN = 64, 64
+#: Members of a bucket that its others are held against in the second round; each further round takes so many times more.
+HUBS = 16
 _MIX = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -189,10 +191,13 @@ def _verified(pairs: DataFrame, bodies: DataFrame, shingle: int, similarity: flo
 def similar(rows: DataFrame, key: str, shingle: int, similarity: float, text_col: str = "text") -> DataFrame:
     """(key, node, label): rows linked by near-duplicates share the label, equal fingerprints the node.
 
-    Texts that share a sample's fingerprint are candidates. They are not paired with each other: in each sample all
-    are held against the one whose samples are the most common, which in a family of copies is what they were copied
-    from. Pairs are discarded by their numbers of shingles and, unless they have few, by the differing bits of their
-    fingerprints; the shingles of all that are left are compared. Texts travel compressed.
+    Texts that share a sample's fingerprint are a bucket, and in the end any two of a bucket are linked or have been
+    compared. First all are held against the one whose samples are the most common, which in a family of copies is
+    what they were copied from. Members that are not linked to it then take its place, some in each round and more
+    from round to round, until each has either been linked to it or been held against all members it is not linked
+    to. So a family of copies costs a pair for each copy, and only members unlike the rest cost more. Pairs are
+    discarded by their numbers of shingles and, unless they have few, by the differing bits of their fingerprints;
+    the shingles of all that are left are compared. Texts travel compressed.
     """
 
     @F.pandas_udf("node long, n int, words array<long>, samples array<long>, body binary")
@@ -212,15 +217,45 @@ def similar(rows: DataFrame, key: str, shingle: int, similarity: float, text_col
     met = cut(drawn.join(shared, ["sample", "value"]), "met")
     common = met.groupBy("node").agg(F.sum("n").alias("common"))
     middle = cut(met.join(common, "node").groupBy("sample", "value").agg(F.max(F.struct("common", "node"))["node"].alias("to")), "middle")
-    pairs = met.join(middle, ["sample", "value"]).where(F.col("node") != F.col("to")).select(F.least("node", "to").alias("u"), F.greatest("node", "to").alias("v")).distinct()
-
     words = cut(nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "n", "words"), "words")
     bodies = cut(signed.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("body").alias("body")), "bodies")
-    edges = _verified(cut(_near(pairs, words, similarity), "near"), bodies, shingle, similarity)
-    labels = cut(components(edges).withColumnRenamed("node", "_node"), "labels")  # written, so that hot nodes can be split
+    tried = labels = None
+    state = met.join(middle, ["sample", "value"]).select("sample", "value", "node", "to", F.lit(False).alias("was"), (F.col("node") == F.col("to")).alias("hub"), F.col("node").alias("label"))
+    hubs = 1
+    while True:
+        state = cut(state, "state")
+        ends = [state.where(c).select("sample", "value", F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for c, x in (("hub", "h"), ("not was", "m"))]
+        pairs = ends[0].join(ends[1], ["sample", "value"]).where("h <> m and label_h <> label_m").select(F.least("h", "m").alias("u"), F.greatest("h", "m").alias("v")).distinct()
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = cut(_verified(cut(_near(pairs, words, similarity), "near"), bodies, shingle, similarity), "found")
+        if labels is None or not found.isEmpty():
+            known = found if labels is None else found.unionByName(labels.select(F.col("_node").alias("u"), F.col("label").alias("v")))
+            labels = cut(components(known).withColumnRenamed("node", "_node"), "labels")  # written, so that hot nodes can be split
+        state, hubs, left = _next_hubs(state, labels, hubs)
+        if not left:
+            break
     return signed.select(key, "node").join(labels, F.col("node") == F.col("_node"), "left").select(key, "node", F.coalesce("label", "node").alias("label"))
 
 
+def _next_hubs(state: DataFrame, labels: DataFrame, hubs: int) -> tuple[DataFrame, int, bool]:
+    """The state of the next round, the hubs its buckets take at about, and whether any bucket needs it.
+
+    Open are the members that neither are linked to the first hub of their bucket nor have been hubs. Buckets without
+    open members are left out. A bucket of at most the wanted number of open members takes them all; of others a
+    share is drawn by a hash, and the largest in any case.
+    """
+    hubs *= HUBS
+    of = labels.withColumnRenamed("label", "now")
+    new = state.drop("label").join(of, F.col("node") == F.col("_node"), "left").select(*[c for c in state.columns if c not in ("was", "hub", "label")], (F.col("was") | F.col("hub")).alias("was"), F.coalesce("now", "node").alias("label"))
+    to = of.select(F.col("_node").alias("to"), F.col("now").alias("main"))
+    new = cut(new.join(to, "to", "left").withColumn("open", ~F.col("was") & (F.col("label") != F.coalesce("main", "to"))).drop("main"), "new")
+    open_ = cut(new.where("open").groupBy("sample", "value").agg(F.count(F.lit(1)).alias("n_open"), F.max("node").alias("last")), "open")
+    drawn = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(F.col("n_open") / hubs))) == 0
+    state = new.join(open_, ["sample", "value"]).select("sample", "value", "node", "to", "was", (F.col("open") & (drawn | (F.col("node") == F.col("last")))).alias("hub"), "label")
+    return state, hubs, not open_.isEmpty()
+
+
 def _near(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) that numbers of shingles, distances to the pivots and differing bits do not tell apart."""
     sides = [words.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("words").alias(f"words_{x}")) for x in "uv"]
