@@ -1,17 +1,18 @@
 """Near-duplicates by SimHash fingerprints and pivot distance tables.
 
-Fingerprints have 64 bits, one for each bit position of the XXH64 of a text's word shingles. The pivots are reference
-fingerprints: zero, and one for each bit. A fingerprint's row of the pivot table holds its Hamming distance to every
-pivot; by the triangle inequality two fingerprints within RADIUS differ by at most RADIUS in every coordinate.
-
-Coordinates come in BLOCKS groups of pivots with disjoint bits. Changing a bit moves, against the pivot zero, only
-coordinates of its own group, so two fingerprints within RADIUS = 2 agree in all but two groups. For each choice of
-two of the four groups, fingerprints with equal coordinates in both meet in one cell; pairs of a cell are discarded
-by their largest coordinate difference over the table and the survivors verified bit by bit.
-
-A cell of more than CELL fingerprints is not compared by pairs. Its members each announce the 65 fingerprints within
-one bit; those that announce the same are within two bits of each other, and hang on the smallest of them. Both ways
-are exact, so every link is found and no group is expanded into all its pairs.
+Fingerprints have 64 bits, one for each bit position of the XXH64 of a text's word shingles. The pivots are PIVOTS
+reference fingerprints, spread out at random; a fingerprint's row of the pivot table holds its Hamming distance to
+each. By the triangle inequality two fingerprints within RADIUS differ by at most RADIUS in every coordinate.
+
+Two fingerprints within RADIUS = 2 agree in two of their BLOCKS = 4 blocks of bits, and meet in the cell of those two.
+Pairs of a cell are discarded by their largest coordinate difference over the pivot table, and what survives is
+verified bit by bit. (The coordinates alone cannot bring pairs together: two unrelated fingerprints lie within RADIUS
+in a third of all coordinates, so a window over them would hold a fixed share of all pairs.)
+
+Cells of more than CELL fingerprints are hot and are split by pivots of their own: the table is extended by every
+fingerprint within one bit of a member, and only distances 0 and 1 to those are kept. Two members with a common such
+pivot are within 1 + 1 = RADIUS by the triangle inequality, and every linked pair has one; members hang on the
+smallest fingerprint at their pivot. Both ways are exact, and no group is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -27,12 +28,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tallyloom.llm.common import cut
+from tallyloom.llm.common import cut, drop
 from tallyloom.llm.components import components
 
 BITS, BLOCKS, RADIUS, CELL, SHINGLE, SEED = 64, 4, 2, 48, 3, 42
-#: Reference fingerprints: zero, then each single bit, as signed longs.
-PIVOTS = [0, *[(1 << b) - ((1 << 64) if b == 63 else 0) for b in range(BITS)]]
+#: Reference fingerprints: hashes of 0 to 127, as signed longs; coordinates that are looked at before all others.
+PIVOTS, AHEAD = [xxhash.xxh64_intdigest(i.to_bytes(8, "little"), SEED) - 2**63 for i in range(128)], 8
+#: What a fingerprint differs in from those within one bit of it.
+WITHIN_ONE = [0, *[(1 << b) - ((1 << 64) if b == 63 else 0) for b in range(BITS)]]
 
 
 def _shingles(text: str | None, shingle: int) -> np.ndarray:
@@ -70,32 +73,45 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
     return docs.select(F.col(id_col), of(F.col(text_col)).alias("fp"))
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Edges (u, v) among the distinct longs in fps.fp, connecting all that differ in RADIUS bits or fewer.
+def _coordinates(fp: Column) -> Column:
+    return F.array(*[F.bit_count(fp.bitwiseXOR(F.lit(p))).cast("tinyint") for p in PIVOTS])
 
-    Pairs from small cells are edges themselves; large cells give edges to the smallest of each meeting.
-    """
-    distance = F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("tinyint") for p in PIVOTS])
-    rows = fps.select("fp").distinct().withColumn("d", distance)
-    width = BITS // BLOCKS
 
-    def group(block: int) -> Column:
-        # distance to the pivots of the block, less that to zero: what other blocks add is taken away
-        return F.transform(F.slice("d", 2 + block * width, width), lambda x: x - F.col("d")[0])
+def candidates(cells: DataFrame) -> DataFrame:
+    """Pairs (u, v, du, dv) of the fingerprints fp that share a cell, u below v, with their rows of the pivot table."""
+    few = cells.select("fp", "cell", _coordinates(F.col("fp")).alias("d"))
+    a, b = few.select(F.col("fp").alias("u"), "cell", F.col("d").alias("du")), few.select(F.col("fp").alias("v"), "cell", F.col("d").alias("dv"))
+    return a.join(b, "cell").where("u < v").drop("cell")
 
-    cells = F.array(*[F.struct(F.lit(t).alias("table"), F.xxhash64(F.lit(t), group(a), group(b)).alias("cell")) for t, (a, b) in enumerate(combinations(range(BLOCKS), 2))])
-    keyed = rows.select("fp", F.explode(cells).alias("c")).select("fp", "c.table", "c.cell")
-    counted = keyed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = cut(keyed.join(counted, "cell").select("fp", "cell", "n"), "cells")
 
-    few = met.where(F.col("n") <= CELL).select("fp", "cell").withColumn("d", distance)
-    a, b = few.select(F.col("fp").alias("u"), "cell", F.col("d").alias("du")), few.select(F.col("fp").alias("v"), "cell", F.col("d").alias("dv"))
-    # the largest coordinate difference over the pivot table, before the fingerprints themselves are compared
-    apart = F.array_max(F.zip_with("du", "dv", lambda x, y: F.abs(x - y)))
-    pairs = a.join(b, "cell").where("u < v").where(apart <= RADIUS).where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS).select("u", "v")
+def near_pivots(pairs: DataFrame) -> DataFrame:
+    """The pairs that differ by RADIUS or less in every coordinate; a few coordinates discard nearly all others."""
+    for k in range(AHEAD):
+        pairs = pairs.where(F.abs(F.col("du")[k] - F.col("dv")[k]) <= RADIUS)
+    return pairs.where(F.array_max(F.zip_with("du", "dv", lambda x, y: F.abs(x - y))) <= RADIUS)
+
+
+def cells_of(fps: DataFrame) -> DataFrame:
+    """(fp, cell, n): each distinct fingerprint in the cells, of n fingerprints, that hold another one too."""
+    width, tables = BITS // BLOCKS, []
+    for a, b in combinations(range(BLOCKS), 2):
+        mask = (((1 << width) - 1) << (a * width)) | (((1 << width) - 1) << (b * width))
+        agreed = F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
+        tables.append(F.xxhash64(F.lit(len(tables)), agreed))
+    keyed = fps.select("fp").distinct().select("fp", F.explode(F.array(*tables)).alias("cell"))
+    return keyed.join(keyed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "cell").select("fp", "cell", "n")
+
+
+def links(fps: DataFrame) -> DataFrame:
+    """Edges (u, v) among the distinct longs in fps.fp, connecting all that differ in RADIUS bits or fewer.
+
+    Pairs from small cells are edges themselves; hot cells give edges to the smallest fingerprint at each pivot.
+    """
+    met = cut(cells_of(fps), "cells")
+    pairs = near_pivots(candidates(met.where(F.col("n") <= CELL))).where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS).select("u", "v")
 
     many = met.where(F.col("n") > CELL).select("fp").distinct()
-    near = many.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(p)) for p in PIVOTS])).alias("at"))
+    near = many.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(p)) for p in WITHIN_ONE])).alias("at"))
     smallest = near.groupBy("at").agg(F.min("fp").alias("v"), F.max("fp").alias("most")).where("v < most").select("at", "v")
     stars = near.join(smallest, "at").where("fp > v").select(F.col("fp").alias("u"), "v")
     return pairs.unionByName(stars).distinct()
@@ -121,8 +137,6 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id",
 WIDE, SAMPLES, DRAWN = 4, 16, 4
 #: Shingles from which on a text's wide fingerprint tells of its similarity; texts a task keeps open while it verifies.
 TELLS, OPEN = 64, 64
-#: Members of a bucket that its others are held against in the second round; each further round takes so many times more.
-HUBS = 16
 _MIX = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -161,43 +175,97 @@ def most_bits(similarity: float) -> int:
     return int(n * p + 4 * np.sqrt(n * p * (1 - p)))
 
 
+class Shingled(dict):
+    """Distinct sorted shingles of the texts that a task has seen last, by node."""
+
+    def __init__(self, shingle: int):
+        super().__init__()
+        self.shingle, self.press = shingle, zs.ZstdDecompressor()
+
+    def of(self, node: int, body: bytes) -> np.ndarray:
+        if node not in self:
+            if len(self) >= OPEN:
+                self.pop(next(iter(self)))
+            self[node] = np.unique(_shingles(self.press.decompress(body).decode(), self.shingle))
+        return self[node]
+
+
+def _with_bodies(pairs: DataFrame, bodies: DataFrame, u: str, v: str) -> DataFrame:
+    first = pairs.join(bodies.select(F.col("node").alias(v), F.col("body").alias("body_v")), v)
+    return first.join(bodies.select(F.col("node").alias(u), F.col("body").alias("body_u")), u)
+
+
 def _verified(pairs: DataFrame, bodies: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (u, v) of nodes whose texts' sets of shingles have that Jaccard similarity at least, counted exactly."""
 
     @F.pandas_udf("boolean")
     def alike(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        press, open_ = zs.ZstdDecompressor(), {}
-
-        def shingles(node: int, body: bytes) -> np.ndarray:
-            if node not in open_:
-                if len(open_) >= OPEN:
-                    open_.pop(next(iter(open_)))
-                open_[node] = np.unique(_shingles(press.decompress(body).decode(), shingle))
-            return open_[node]
-
-        for us, vs, bodies_u, bodies_v in batches:
+        seen = Shingled(shingle)
+        for columns in batches:
             out = []
-            for u, v, body_u, body_v in zip(us, vs, bodies_u, bodies_v, strict=True):
-                b, a = shingles(v, body_v), shingles(u, body_u)
+            for u, v, body_u, body_v in zip(*columns, strict=True):
+                a, b = seen.of(u, body_u), seen.of(v, body_v)
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 out.append(both >= similarity * (len(a) + len(b) - both))
             yield pd.Series(out, dtype=bool)
 
-    first = pairs.join(bodies.select(F.col("node").alias("v"), F.col("body").alias("body_v")), "v")
-    both = first.join(bodies.select(F.col("node").alias("u"), F.col("body").alias("body_u")), "u")
-    return both.where(alike("u", "v", "body_u", "body_v")).select("u", "v")
+    return _with_bodies(pairs, bodies, "u", "v").where(alike("u", "v", "body_u", "body_v")).select("u", "v")
+
+
+def _rest(members: DataFrame, bodies: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """members (hub, node, ...) with n, the node's number of shingles, same, how many of them its hub has, and rest:
+    those smallest ones of the others of which any text that is similar enough must have one too.
+
+    Let s be the similarity. A text v that reaches it has s n shingles of u at least. At most as many of these as u or
+    v has of the hub are in the hub, so s n - same are not, and of a set of r shingles that shares c with another one
+    the r - c + 1 smallest hold a common one. Only where c may be 0 this says nothing; contained() finds those pairs.
+    """
+
+    @F.pandas_udf("n int, same int, rest array<long>")
+    def measured(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        seen = Shingled(shingle)
+        for columns in batches:
+            out = []
+            for node, hub, body_u, body_v in zip(*columns, strict=True):
+                a = seen.of(node, body_u)
+                others = np.setdiff1d(a, seen.of(hub, body_v), assume_unique=True)
+                same = len(a) - len(others)
+                some = len(others) - max(1, int(np.ceil(similarity * len(a) - 1e-9)) - same) + 1
+                out.append((len(a), same, others[: max(0, some)].view("<i8")))
+            yield pd.DataFrame(out, columns=["n", "same", "rest"])
+
+    at = _with_bodies(members, bodies, "node", "hub").withColumn("m", measured("node", "hub", "body_u", "body_v"))
+    return at.select(*members.columns, "m.*")
+
+
+def _contained(rest: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) of one hub, not yet linked, that may be similar by shingles of the hub alone."""
+    a = rest.where(F.col("same") >= similarity * F.col("n")).select("hub", F.col("node").alias("u"), F.col("label").alias("label_u"), F.col("n").alias("n_u"), F.col("same").alias("same_u"), F.col("apart").alias("apart_u"))
+    b = a.select("hub", *[F.col(f"{c}u").alias(f"{c}v") for c in ("", "label_", "n_", "same_", "apart_")])
+    needed = similarity / (1 + similarity) * (F.col("n_u") + F.col("n_v")) - 1e-9
+    met = (F.col("label_u") != F.col("label_v")) & (F.col("apart_u") & (~F.col("apart_v") | (F.col("u") < F.col("v")))) & (F.least("same_u", "same_v") >= needed)
+    return a.join(b, "hub").where(met).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _hubs(met: DataFrame, on: list[str]) -> DataFrame:
+    """(hub, node) of the groups of on that nodes meet in: a group's hub is the node that meets the most."""
+    common = met.groupBy("node").agg(F.count(F.lit(1)).alias("common"))
+    middle = met.join(common, "node").groupBy(*on).agg(F.max(F.struct("common", "node"))["node"].alias("_to"))
+    return met.join(middle, on).where("node <> _to").select(F.col("_to").alias("hub"), "node").distinct()
 
 
 def similar(rows: DataFrame, key: str, shingle: int, similarity: float, text_col: str = "text") -> DataFrame:
     """(key, node, label): rows linked by near-duplicates share the label, equal fingerprints the node.
 
-    Texts that share a sample's fingerprint are a bucket, and in the end any two of a bucket are linked or have been
-    compared. First all are held against the one whose samples are the most common, which in a family of copies is
-    what they were copied from. Members that are not linked to it then take its place, some in each round and more
-    from round to round, until each has either been linked to it or been held against all members it is not linked
-    to. So a family of copies costs a pair for each copy, and only members unlike the rest cost more. Pairs are
-    discarded by their numbers of shingles and, unless they have few, by the differing bits of their fingerprints;
-    the shingles of all that are left are compared. Texts travel compressed.
+    Texts that share a sample's fingerprint are a group, and in the end any two of a group are linked, compared or
+    proven apart. All are compared with the group's hub, which in a family of copies is what they were copied from.
+    The hub serves as a pivot: two texts share no more of its shingles than either has, so where that is too little
+    they must also share a shingle that the hub lacks. Members that are not linked to their hub therefore meet the
+    others again by such shingles, in groups with hubs of their own, until no group has members of different labels.
+    So a family of copies costs a pair for each copy, a passage that many documents share costs one for each of them,
+    and no group is expanded into its pairs. Pairs are discarded by their numbers of shingles and, unless they have
+    few, by distances to pivots and the differing bits of their wide fingerprints; the shingles of all that are left
+    are compared. Texts travel compressed.
     """
 
     @F.pandas_udf("node long, n int, words array<long>, samples array<long>, body binary")
@@ -213,47 +281,52 @@ def similar(rows: DataFrame, key: str, shingle: int, similarity: float, text_col
     signed = cut(rows.select(key, of(F.col(text_col)).alias("s")).select(key, "s.*"), "signed")
     nodes = signed.groupBy("node").agg(F.first("n").alias("n"), F.first("words").alias("words"), F.first("samples").alias("samples"))
     drawn = nodes.select("node", F.posexplode("samples").alias("sample", "value"))
-    shared = cut(drawn.groupBy("sample", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
-    met = cut(drawn.join(shared, ["sample", "value"]), "met")
-    common = met.groupBy("node").agg(F.sum("n").alias("common"))
-    middle = cut(met.join(common, "node").groupBy("sample", "value").agg(F.max(F.struct("common", "node"))["node"].alias("to")), "middle")
-    words = cut(nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "n", "words"), "words")
-    bodies = cut(signed.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("body").alias("body")), "bodies")
-    tried = labels = None
-    state = met.join(middle, ["sample", "value"]).select("sample", "value", "node", "to", F.lit(False).alias("was"), (F.col("node") == F.col("to")).alias("hub"), F.col("node").alias("label"))
-    hubs = 1
+    shared = drawn.groupBy("sample", "value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = cut(drawn.join(shared, ["sample", "value"]).select("sample", "value", "node"), "met")
+    some = cut(met.select("node").distinct(), "some")
+    words = cut(nodes.join(some, "node", "left_semi").select("node", "n", "words"), "words")
+    bodies = cut(signed.join(some, "node", "left_semi").groupBy("node").agg(F.first("body").alias("body")), "bodies")
+    members = cut(_hubs(met, ["sample", "value"]), "members")
+    labels = cut(met.sparkSession.createDataFrame([], "_node long, label long"), "labels")
+    used = [met, some]
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """labels with the links among pairs."""
+        near = cut(_near(pairs, words, similarity), "near")
+        found = cut(_verified(near, bodies, shingle, similarity), "found")
+        known = found.unionByName(labels.select(F.col("_node").alias("u"), F.col("label").alias("v")))
+        out = labels if found.isEmpty() else cut(components(known).withColumnRenamed("node", "_node"), "labels")
+        used.extend([near, found, *([] if out is labels else [labels])])
+        return out
+
     while True:
-        state = cut(state, "state")
-        ends = [state.where(c).select("sample", "value", F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for c, x in (("hub", "h"), ("not was", "m"))]
-        pairs = ends[0].join(ends[1], ["sample", "value"]).where("h <> m and label_h <> label_m").select(F.least("h", "m").alias("u"), F.greatest("h", "m").alias("v")).distinct()
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = cut(_verified(cut(_near(pairs, words, similarity), "near"), bodies, shingle, similarity), "found")
-        if labels is None or not found.isEmpty():
-            known = found if labels is None else found.unionByName(labels.select(F.col("_node").alias("u"), F.col("label").alias("v")))
-            labels = cut(components(known).withColumnRenamed("node", "_node"), "labels")  # written, so that hot nodes can be split
-        state, hubs, left = _next_hubs(state, labels, hubs)
-        if not left:
+        sides = _labelled(_labelled(members, labels, "hub"), labels, "node")
+        labels = linked(sides.where("label_hub <> label_node").select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")).distinct())
+        sides = _labelled(_labelled(members, labels, "hub"), labels, "node").select("hub", "node", F.col("label_node").alias("label"), (F.col("label_hub") != F.col("label_node")).alias("apart"))
+        sides = cut(sides, "sides")
+        open_ = sides.where("apart").groupBy("hub").agg(F.count(F.lit(1)).alias("_n"))
+        rest = cut(_rest(sides.join(open_, "hub", "left_semi"), bodies, shingle, similarity), "rest")
+        used.extend([members, sides])
+        direct = cut(_contained(rest, similarity), "contained")
+        labels = linked(direct)
+        tokens = rest.select("hub", "node", "label", F.explode("rest").alias("token"))
+        again = tokens.groupBy("hub", "token").agg(F.min("label").alias("_least"), F.max("label").alias("_most")).where("_least <> _most").select("hub", "token")
+        met = cut(tokens.join(again, ["hub", "token"]).select(F.col("hub").alias("group"), "token", "node"), "met")
+        used.extend([rest, direct])
+        if met.isEmpty():
             break
+        members = cut(_hubs(met, ["group", "token"]), "members")
+        used.append(met)
+        for table in used:
+            drop(table)
+        used = []
     return signed.select(key, "node").join(labels, F.col("node") == F.col("_node"), "left").select(key, "node", F.coalesce("label", "node").alias("label"))
 
 
-def _next_hubs(state: DataFrame, labels: DataFrame, hubs: int) -> tuple[DataFrame, int, bool]:
-    """The state of the next round, the hubs its buckets take at about, and whether any bucket needs it.
-
-    Open are the members that neither are linked to the first hub of their bucket nor have been hubs. Buckets without
-    open members are left out. A bucket of at most the wanted number of open members takes them all; of others a
-    share is drawn by a hash, and the largest in any case.
-    """
-    hubs *= HUBS
-    of = labels.withColumnRenamed("label", "now")
-    new = state.drop("label").join(of, F.col("node") == F.col("_node"), "left").select(*[c for c in state.columns if c not in ("was", "hub", "label")], (F.col("was") | F.col("hub")).alias("was"), F.coalesce("now", "node").alias("label"))
-    to = of.select(F.col("_node").alias("to"), F.col("now").alias("main"))
-    new = cut(new.join(to, "to", "left").withColumn("open", ~F.col("was") & (F.col("label") != F.coalesce("main", "to"))).drop("main"), "new")
-    open_ = cut(new.where("open").groupBy("sample", "value").agg(F.count(F.lit(1)).alias("n_open"), F.max("node").alias("last")), "open")
-    drawn = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(F.col("n_open") / hubs))) == 0
-    state = new.join(open_, ["sample", "value"]).select("sample", "value", "node", "to", "was", (F.col("open") & (drawn | (F.col("node") == F.col("last")))).alias("hub"), "label")
-    return state, hubs, not open_.isEmpty()
+def _labelled(members: DataFrame, labels: DataFrame, column: str) -> DataFrame:
+    """members with label_<column>, a node without links being its own label."""
+    of = labels.select(F.col("_node"), F.col("label").alias("_label"))
+    return members.join(of, F.col(column) == F.col("_node"), "left").withColumn(f"label_{column}", F.coalesce("_label", column)).drop("_node", "_label")
 
 
 def _near(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
@@ -286,7 +359,9 @@ def kept(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFram
     after all others. Rows that are the same in id and text count as one. Null texts have no shingles and are alike.
     """
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
-    rows = docs.select(F.struct("*").alias("row"), "text", key.alias("key"))
-    stay = cut(similar(rows, "key", shingle, similarity).groupBy("label").agg(F.min("key").alias("key")).select("key"), "stay")
+    keyed = docs.select("text", key.alias("key"))
+    stay = cut(similar(keyed, "key", shingle, similarity).groupBy("label").agg(F.min("key").alias("key")).select("key"), "stay")
+    # Repeats of a row go ahead of the shuffle, task by task, so none gathers; what is left is one row for each key.
     one = Window.partitionBy("key").orderBy(F.xxhash64("row"))
-    return rows.join(stay, "key", "left_semi").withColumn("_r", F.row_number().over(one)).where("_r = 1").select("row.*")
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key"))
+    return rows.withColumn("_r", F.row_number().over(one)).where("_r = 1").join(stay, "key", "left_semi").select("row.*")
