@@ -1,10 +1,17 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on the words that set toxic documents apart, one on ordinary text. A
-window is one word with its blanks, lower-cased and widened to UTF-16, which halves the rounding of lengths to bytes;
-words over WINDOW characters are cut into several windows. What a window gains from the toxic dictionary, the length
-under the ordinary one less that under the toxic one, is held against calibrated thresholds, and the counts of windows
-above them and the highest gains give the document's score through a logistic curve fitted on the training documents.
+Two zstandard dictionaries are trained on windows of text: one on toxic documents, one on ordinary ones. A window is
+one word with its blanks, lower-cased and widened to UTF-16, which halves the rounding of lengths to bytes; words over
+WINDOW characters are cut into several windows. A window's gain is its compressed length under the ordinary dictionary
+less that under the toxic one.
+
+Most of a toxic document is ordinary prose, so a dictionary of all its windows tells little. Training therefore goes
+in rounds over three folds of the training documents: dictionaries of two folds measure the windows of the third, and
+of toxic documents only windows stay that gain more than all but a share of the ordinary ones; ordinary windows that
+gain as much are learned HARD times more, as counterexamples. No fold is measured by dictionaries that hold its own
+text. The last dictionaries come from two folds. On the third the thresholds at which windows count are set to
+quantiles of ordinary windows' gains, a logistic curve joins the counts and highest gains of a document, and it is
+moved so that a share FALSE of the ordinary documents scores CUT or more.
 
 Equal windows have equal lengths, so each task compresses a distinct window once.
 """
@@ -13,9 +20,8 @@ from __future__ import annotations
 
 import pickle
 import random
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -23,14 +29,16 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: At most so many training documents of each label and characters of each, drawn by hash.
-DOCS, CHARS = 2000, 20_000
-#: Windows: longest in characters. Dictionaries: bytes and level. Distinct windows kept in a task's memory.
-WINDOW, DICTIONARY, LEVEL, CACHED = 48, 32_768, 12, 500_000
-#: Letter runs taken as signs of toxic text: their lengths, least documents, least z and least ratio of shares.
-RUNS, LEAST_DOCS, LEAST_Z, LEAST_RATIO = (4, 5, 6), 4, 5.5, 8
-#: Gains, in bytes, at which windows count.
-STEPS = (2, 4, 6)
+#: At most so many labelled documents of each label are learned from, drawn by hash of their ids; whole texts.
+DOCS = 2000
+#: Windows: longest in characters. Dictionaries: bytes, level, windows drawn from each fold at first.
+WINDOW, DICTIONARY, LEVEL, DRAWN = 48, 32_768, 12, 20_000
+#: Folds; shares of ordinary windows over which toxic ones must lie, by round; weight of ordinary counterexamples.
+FOLDS, SHARES, HARD = 3, (0.05, 0.02), 2
+#: Quantiles of ordinary windows' gains at which windows count; ordinary documents at CUT or more.
+STEPS, FALSE, CUT = (0.99, 0.997, 0.999, 0.9997), 0.005, 0.7
+#: Distinct windows kept in a task's memory.
+CACHED = 500_000
 
 
 def windows(text: str | None) -> list[str]:
@@ -44,14 +52,14 @@ def _bytes(window: str) -> bytes:
     return f" {window} ".encode("utf-16-le", "surrogatepass")
 
 
-def _dictionary(words: list[str], rng: random.Random) -> bytes:
-    words = list(words)
-    rng.shuffle(words)
-    samples = [b"".join(_bytes(w) for w in words[i : i + 8]) for i in range(0, len(words), 8)][:40_000]
+def _dictionary(samples: list[str]) -> bytes:
+    """A dictionary of windows; of too little text to train on the text itself."""
+    samples = [_bytes(w) for w in samples]
+    random.Random(1).shuffle(samples)
     size = min(DICTIONARY, max(1024, sum(map(len, samples)) // 8))
     try:
         return zs.train_dictionary(size, samples, level=LEVEL).as_bytes()
-    except zs.ZstdError:  # too little text to train on: the text itself serves
+    except zs.ZstdError:
         return (b"".join(samples) or b"\0" * 8)[-size:]
 
 
@@ -79,10 +87,11 @@ class Gains(dict):
 class Model:
     toxic: bytes
     ordinary: bytes
-    weights: list[float] | None  # None: one label only was seen
-    centre: list[float]
-    scale: list[float]
     share: float
+    weights: list[float] | None = None  # None: one label only was seen
+    centre: list[float] = field(default_factory=list)
+    scale: list[float] = field(default_factory=list)
+    steps: list[float] = field(default_factory=list)
 
     def gains(self) -> Gains:
         return Gains(self.toxic, self.ordinary)
@@ -94,69 +103,82 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def features(text: str | None, gains: Gains) -> list[float]:
+def features(text: str | None, gains: Gains, steps: list[float]) -> list[float]:
     """What the score is made of; a text without windows counts as one window without gain."""
     x = np.array([gains[w] for w in windows(text)] or [0], float)
     top = np.sort(np.partition(x, -min(3, len(x)))[-3:])
-    above = [float((x >= s).sum()) for s in STEPS]
+    above = [float((x >= s).sum()) for s in steps]
     return [top[-1], top.mean(), *np.log1p(above), *np.log(np.array(above) / len(x) + 1e-4), x.mean(), np.log1p(len(x))]
 
 
-def _runs(words: set[str]) -> set[str]:
-    out = set()
-    for w in words:
-        w = f" {w} "
-        out.update(w[i : i + n] for n in RUNS for i in range(len(w) - n + 1))
-    return out
+def _some(docs: list[list[str]]) -> list[str]:
+    every = [w for d in docs for w in d]
+    return every if len(every) <= DRAWN else random.Random(2).sample(every, DRAWN)
 
 
-def fit(toxic: list[str], ordinary: list[str], share: float) -> Model:
-    """A model from training texts; share is that of toxic ones among all labelled."""
-    rng = random.Random(1)
-    if not toxic or not ordinary:
-        return Model(b"\0" * 8, b"\0" * 8, None, [], [], float(bool(toxic)) if toxic or ordinary else 0.0)
-    nt, no = len(toxic), len(ordinary)
-    seen, runs = (Counter(), Counter()), (Counter(), Counter())
-    for side, texts in enumerate((toxic, ordinary)):
-        for t in texts:
-            words = set(windows(t))
-            seen[side].update(words)
-            runs[side].update(_runs(words))
-    signs = set()
-    for r, a in runs[0].items():
-        b = runs[1].get(r, 0)
-        p = (a + b) / (nt + no)
-        if a >= LEAST_DOCS and a / nt > LEAST_RATIO * (b + 0.5) / no and 0 < p < 1 and (a / nt - b / no) / np.sqrt(p * (1 - p) * (1 / nt + 1 / no)) > LEAST_Z:
-            signs.add(r)
-    marked = {w: n for w, n in sorted(seen[0].items()) if n > 3 * seen[1].get(w, 0) and _runs({w}) & signs}
-    plain = {w: n for w, n in sorted(seen[1].items(), key=lambda x: (-x[1], x[0]))[:20_000] if w not in marked}
-    model = Model(_dictionary([w for w, n in marked.items() for _ in range(min(n, 200))], rng), _dictionary([w for w, n in plain.items() for _ in range(min(n, 20))], rng), None, [], [], share)
-    gains = model.gains()
-    x = np.array([features(t, gains) for t in [*toxic, *ordinary]])
-    y = np.r_[np.ones(nt), np.zeros(no)]
-    weight = np.where(y == 1, share * (nt + no) / nt, (1 - share) * (nt + no) / no)
-    model.centre, model.scale = x.mean(0).tolist(), (x.std(0) + 1e-6).tolist()
-    a = np.c_[(x - model.centre) / model.scale, np.ones(len(x))]
+def _curve(x: np.ndarray, y: np.ndarray, share: float) -> np.ndarray:
+    """Weights of a logistic curve by Newton's method, the classes weighted to their true share."""
+    weight = np.where(y == 1, share * len(y) / y.sum(), (1 - share) * len(y) / (1 - y).sum())
+    a = np.c_[x, np.ones(len(x))]
     w = np.zeros(a.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         w = w - np.linalg.solve(a.T @ (a * (weight * p * (1 - p))[:, None]) + 0.5 * np.eye(len(w)), a.T @ (weight * (p - y)) + 0.5 * w)
+    return w
+
+
+def fit(toxic: list[str], ordinary: list[str], share: float) -> Model:
+    """A model from training texts; share is that of toxic ones among all labelled. Equal texts count once.
+
+    With fewer than FOLDS texts of a label the folds are the same.
+    """
+    if not toxic or not ordinary:
+        return Model(b"\0" * 8, b"\0" * 8, float(bool(toxic)) if toxic or ordinary else 0.0)
+    texts = [list(dict.fromkeys(t)) for t in (toxic, ordinary)]
+    folds = [[t[k::FOLDS] or t for k in range(FOLDS)] for t in texts]
+    split = [[[sorted(set(windows(t))) for t in fold] for fold in side] for side in folds]
+    drawn = [[_some(fold) for fold in side] for side in split]
+
+    def trained(of: list[int]) -> tuple[bytes, bytes]:
+        return tuple(_dictionary([w for k in of for w in side[k]]) for side in drawn)
+
+    for share_over in SHARES:
+        new: list[list[list[str]]] = [[], []]
+        for k in range(FOLDS):
+            gains = Gains(*trained([j for j in range(FOLDS) if j != k]))
+            limit = np.quantile([gains[w] for d in split[1][k] for w in d] or [0], 1 - share_over)
+            new[0].append([w for d in split[0][k] for w in d if gains[w] > limit])
+            new[1].append(_some(split[1][k]) + [w for d in split[1][k] for w in d if gains[w] >= limit] * HARD)
+        if not any(new[0]):
+            break  # nothing stands out any more
+        drawn = new
+    model = Model(*trained(list(range(FOLDS - 1))), share)
+    gains = model.gains()
+    model.steps = sorted({float(s) for s in np.quantile([gains[w] for d in split[1][-1] for w in d] or [0], STEPS)})
+    kept = [*folds[0][-1], *folds[1][-1]]
+    x = np.array([features(t, gains, model.steps) for t in kept])
+    y = np.r_[np.ones(len(folds[0][-1])), np.zeros(len(folds[1][-1]))]
+    model.centre, model.scale = x.mean(0).tolist(), (x.std(0) + 1e-6).tolist()
+    x = (x - model.centre) / model.scale
+    w = _curve(x, y, share)
+    z = x @ w[:-1] + w[-1]
+    # Documents reach CUT where ordinary ones become rare, but never below the odds of a document nothing is known of.
+    w[-1] += np.log(CUT / (1 - CUT)) - max(np.quantile(z[y == 0], 1 - FALSE) + 1e-6, np.log(share / (1 - share)) if 0 < share < 1 else 0.0)
     model.weights = w.tolist()
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, docs_most: int = DOCS, chars: int = CHARS) -> Model:
-    """Fits on a bounded sample of labelled documents: docs_most of each label, chars characters of each at a place
-    that its hash gives. labels has doc_id and toxic; only its rows are learned from."""
+def train(docs: DataFrame, labels: DataFrame, docs_most: int = DOCS) -> Model:
+    """Fits on a bounded sample of labelled documents, docs_most of each label, drawn by hash of the id.
+
+    labels has doc_id and toxic; only its rows are learned from. An id with both labels counts as toxic, and of several
+    texts of one id the one that sorts first is learned from.
+    """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    drawn = None
-    for label in (0, 1):
-        some = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs_most)
-        drawn = some if drawn is None else drawn.unionByName(some)
-    at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - chars)).cast("int") + 1
-    ids = F.broadcast(drawn)  # 2 x docs_most rows at most
-    rows = docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "toxic", F.col("text").substr(at, F.lit(chars)).alias("text")).dropDuplicates(["doc_id"]).collect()
+    some = [known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs_most) for label in (0, 1)]
+    ids = F.broadcast(some[0].unionByName(some[1]))  # 2 x docs_most rows at most
+    rows = docs.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     total = counts.get(0, 0) + counts.get(1, 0)
     return fit([r["text"] or "" for r in rows if r["toxic"] == 1], [r["text"] or "" for r in rows if r["toxic"] == 0], counts.get(1, 0) / total if total else 0.0)
@@ -182,7 +204,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         held, gains = _held(packed)
         for texts in batches:
-            yield pd.Series(held.score(np.array([features(t, gains) for t in texts]))) if len(texts) else pd.Series([], dtype="float64")
+            yield pd.Series(held.score(np.array([features(t, gains, held.steps) for t in texts]))) if len(texts) else pd.Series([], dtype="float64")
 
     return docs.withColumn(name, of(F.col(text_col)))
 
