@@ -4,7 +4,8 @@ Tokens are runs of letters, digits or other signs. A token's index vector has a
 gives; its word vector sums the index vectors of its neighbours in the training texts, shifted by one for those
 before it. Tokens outside the vocabulary share the vector of their shape. A document is pooled to the mean and spread
 of its vectors and the mean step from one to the next, so that monotony shows as well as vocabulary. The network's
-logits are divided by a temperature fitted on training documents kept aside, and moved to the labels' true odds.
+logits are divided by a temperature fitted on training documents kept aside, against targets a little short of 0 and 1
+so that it is finite where the labels are told apart without error, and moved to the labels' true odds.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: At most so many training documents of each label, and characters of each at a place that its hash gives.
-DOCS, CHARS = 2000, 6000
+#: At most so many labelled documents of each label are learned from, drawn by hash of their ids; whole texts.
+DOCS = 2000
 #: Vector size, ones in an index vector, vocabulary, neighbours on each side.
 SIZE, ONES, VOCABULARY, NEAR = 64, 6, 20_000, 2
 HIDDEN, EPOCHS, DECAY = 64, 40, 1e-4
-#: Tokens pooled at once, which bounds memory for long texts; tokens from which on a text counts as long.
-BATCH, LONG = 50_000, 800
+#: Tokens pooled at once, which bounds memory for long texts.
+BATCH = 50_000
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
 
@@ -85,10 +86,10 @@ class Places(dict):
 
 
 def pool(text: str | None, places: Places, vectors: np.ndarray) -> np.ndarray:
-    """Mean, spread and mean step of a whole text's vectors, and its logarithmic length; zeros for no tokens."""
+    """Mean, spread and mean step of a whole text's vectors; zeros for no tokens."""
     at = np.array([places[t] for t in TOKEN.findall(text or "")], np.int64)
     if not len(at):
-        return np.zeros(3 * SIZE + 1)
+        return np.zeros(3 * SIZE)
     total, square, step = np.zeros(SIZE), np.zeros(SIZE), np.zeros(SIZE)
     for i in range(0, len(at), BATCH):
         v = vectors[at[i : i + BATCH + 1]]
@@ -98,7 +99,7 @@ def pool(text: str | None, places: Places, vectors: np.ndarray) -> np.ndarray:
         square += (v * v).sum(0)
     n = len(at)
     mean = total / n
-    return np.concatenate([mean, np.sqrt(np.maximum(square / n - mean * mean, 0)), step / max(1, n - 1), [np.log1p(min(n, LONG))]])
+    return np.concatenate([mean, np.sqrt(np.maximum(square / n - mean * mean, 0)), step / max(1, n - 1)])
 
 
 def _logits(layers: list[np.ndarray], x: np.ndarray) -> np.ndarray:
@@ -172,23 +173,28 @@ def fit(good: list[str], poor: list[str], share: float) -> Model:
     aside = np.arange(len(x)) % 5 == 0
     if 0 < y[aside].sum() < aside.sum() and 0 < y[~aside].sum() < (~aside).sum():
         z = _logits(_train(x[~aside], y[~aside]), x[aside])
-        heats = np.exp(np.linspace(np.log(0.3), np.log(10), 60))
-        loss = [np.logaddexp(0, -z[y[aside] == 1] / t).mean() + np.logaddexp(0, z[y[aside] == 0] / t).mean() for t in heats]
+        heats = np.exp(np.linspace(np.log(0.05), np.log(50), 200))
+        # Each label's target: the share of its documents that one more of either label would leave it.
+        sides = [(z[y[aside] == v] * (1 if v else -1), (y[aside] == v).sum()) for v in (0, 1)]
+        loss = [sum(((n + 1) / (n + 2) * np.logaddexp(0, -m / t) + np.logaddexp(0, m / t) / (n + 2)).mean() for m, n in sides) for t in heats]
         model.temperature = float(heats[int(np.argmin(loss))])
     model.layers = _train(x, y)
     model.shift = float(np.log(share / (1 - share))) if 0 < share < 1 else 0.0
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, docs_most: int = DOCS, chars: int = CHARS) -> Model:
-    """Fits on a bounded sample of labelled documents: docs_most of each label, chars characters of each."""
+def train(docs: DataFrame, labels: DataFrame, docs_most: int = DOCS) -> Model:
+    """Fits on a bounded sample of labelled documents, docs_most of each label, drawn by hash of the id.
+
+    labels has doc_id and quality; only its rows are learned from. An id with both labels counts as good, and of
+    several texts of one id the one that sorts first is learned from.
+    """
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     some = [known.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs_most) for label in (0, 1)]
     ids = F.broadcast(some[0].unionByName(some[1]))  # 2 x docs_most rows at most
-    at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - chars)).cast("int") + 1
-    rows = docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "quality", F.col("text").substr(at, F.lit(chars)).alias("text")).dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: (r["doc_id"]))
+    rows = docs.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
     total = counts.get(0, 0) + counts.get(1, 0)
     return fit([r["text"] or "" for r in rows if r["quality"] == 1], [r["text"] or "" for r in rows if r["quality"] == 0], counts.get(1, 0) / total if total else 0.0)
 
