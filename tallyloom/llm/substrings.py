@@ -9,10 +9,14 @@ packed, to hash buckets, with the batch's reference blocks. A bucket tells which
 other than themselves. A hash that a batch holds many times is sent once, and its blocks are known to be met at once,
 so that a passage in a third of all documents costs its bucket one entry a batch.
 
-Extension: only documents with met blocks are read again, and only windows of 20 words around such blocks are hashed
-(96 bits). Windows of one batch are compared there; of each distinct one the earliest goes to its bucket, where the
+Extension: only documents with met blocks are read again, and only windows of 20 words around such blocks are hashed,
+to 128 bits; windows count as equal if those are (over 10^13 windows the chance of any mistake is about 10^-13).
+Windows of one batch are compared there; of each distinct one the earliest goes to its bucket, where the
 earliest of all is found and the rest are marked. Runs of marked windows are the maximal exact repeats; the words
 they cover are removed.
+
+Buckets grow in number with the text. A task sends to at most FANOUT ranges of them at once, and if there are more
+buckets, ranges are split again in further passes, so that the rows sent stay large and their cost a hash the same.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import cut
@@ -31,6 +35,8 @@ from tallyloom.llm.common import cut
 WINDOW, BLOCK = 20, 10
 #: Hashes that a task sorts at a time, hashes that a bucket should hold, fewest buckets.
 BATCH, BUCKET, LEAST_BUCKETS = 1_500_000, 1_500_000, 256
+#: Ranges of buckets that one pass sends to, and tasks that share a range in the next one.
+FANOUT, SHARED = 1024, 16
 #: Stands for a null id, which thereby counts as the smallest.
 NULL_ID = -(2**63)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -82,10 +88,102 @@ def _values(body: bytes, at: int, n: int, kind: str, width: int | None = None) -
 SENT = "bucket int, kind int, n int, m int, body binary"
 
 
-def _split(h: np.ndarray, buckets: int) -> np.ndarray:
-    """Where sorted hashes pass from bucket to bucket: buckets + 1 places."""
-    edges = np.array([(b << 64) // buckets for b in range(buckets)], dtype=np.uint64)
-    return np.append(np.searchsorted(h, edges), len(h))
+def _runs(h: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of each bucket that sorted hashes touch, by their highest bits; buckets is a power of two."""
+    if not len(h):
+        return []
+    at = (h >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64) if buckets > 1 else np.zeros(len(h), np.int64)
+    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    return list(zip(at[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(h)], strict=True))
+
+
+def _blocks_sent(u: np.ndarray, repeated: np.ndarray, of: np.ndarray, ids: np.ndarray, numbers: np.ndarray, buckets: int) -> list[tuple]:
+    """Rows for buckets: sorted 48-bit hashes u, whether each is known to be repeated, and blocks, of[i] being the
+    place in u of block i's hash, in ascending order."""
+    out = []
+    for b, x, y in _runs(u << np.uint64(16), buckets):
+        o = slice(*np.searchsorted(of, [x, y]))
+        body = _bytes(u[x:y], 6) + np.packbits(repeated[x:y]).tobytes() + _bytes((of[o] - x).astype(np.int32)) + _bytes(ids[o]) + _bytes(numbers[o])
+        out.append((b, 0, y - x, o.stop - o.start, body))
+    return out
+
+
+def _blocks_read(n: int, m: int, body: bytes) -> tuple[np.ndarray, ...]:
+    u, at = _values(body, 0, n, "<u8", 6)
+    repeated = np.unpackbits(np.frombuffer(body, np.uint8, -(-n // 8), at))[:n].astype(bool)
+    of, at = _values(body, at + -(-n // 8), m, "<i4")
+    ids, at = _values(body, at, m, "<i8")
+    numbers, _ = _values(body, at, m, "<i4")
+    return u, repeated, of.astype(np.int64), ids, numbers
+
+
+def _blocks_merged(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+    """Several rows as one; a hash in two of them is repeated."""
+    us, repeats, ofs, ids, numbers = zip(*rows, strict=True)
+    base = np.cumsum([0, *map(len, us)])
+    u, inverse = np.unique(np.concatenate(us), return_inverse=True)
+    repeated = np.bincount(inverse, weights=1.0 + np.concatenate(repeats), minlength=len(u)) > 1
+    of = inverse[np.concatenate([o + b for o, b in zip(ofs, base, strict=False)])]
+    order = np.argsort(of, kind="stable")
+    return u, repeated, of[order], np.concatenate(ids)[order], np.concatenate(numbers)[order]
+
+
+def _windows_sent(columns: tuple[np.ndarray, ...], buckets: int) -> list[tuple]:
+    return [(b, 0, y - x, 0, b"".join(_bytes(c[x:y]) for c in columns)) for b, x, y in _runs(columns[0], buckets)]
+
+
+WINDOW_KINDS, LATE_KINDS = ("<u8", "<u8", "<i8", "<i8", "<i4"), ("<i8", "<i8", "<i4")
+
+
+def _columns(n: int, body: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
+    at, out = 0, []
+    for t in kinds:
+        x, at = _values(body, at, n, t)
+        out.append(x)
+    return out
+
+
+def _windows_merged(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+    """Several rows as one, in the order of hashes and then of places."""
+    h1, h2, i, k, p = (np.concatenate(x) for x in zip(*rows, strict=True))
+    order = np.lexsort((p, k, i, h2, h1))
+    return tuple(x[order] for x in (h1, h2, i, k, p))
+
+
+def _again(buckets: int, read, merged, sent):
+    """Splits the rows of ranges into finer ones; ranges come one after the other."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, rows, held = None, [], 0
+
+        def flush() -> pd.DataFrame:
+            return pd.DataFrame(sent(merged(rows)), columns=["bucket", "kind", "n", "m", "body"])
+
+        for df in batches:
+            plain = df[df["kind"] == 1]
+            if len(plain):
+                yield plain
+            for bucket, n, m, body in zip(*(df.loc[df["kind"] == 0, c] for c in ("bucket", "n", "m", "body")), strict=True):
+                if rows and (bucket != now or held >= BATCH):
+                    yield flush()
+                    rows, held = [], 0
+                now = bucket
+                rows.append(read(n, m, body))
+                held += n
+        if rows:
+            yield flush()
+
+    return run
+
+
+def _passes(sent: DataFrame, first: int, buckets: int, read, merged, send) -> DataFrame:
+    """sent, whose rows are split into first ranges, with its rows split into buckets."""
+    while first < buckets:
+        first = min(buckets, first * FANOUT)
+        share = F.pmod(F.xxhash64("n", "m", F.substring("body", 1, 16)), F.lit(SHARED))
+        fine = first
+        sent = sent.repartition("bucket", share).sortWithinPartitions("bucket").mapInPandas(_again(fine, read, merged, lambda x, fine=fine: send(x, fine)), SENT)
+    return sent
 
 
 def _probes(buckets: int):
@@ -108,15 +206,7 @@ def _probes(buckets: int):
                 out.append((-1 - (batch * 31 + i) % buckets, 1, len(some), 0, _bytes(block_id[some]) + _bytes(block_no[some])))
         open_ = np.flatnonzero(~known)
         open_ = open_[np.argsort(at[open_], kind="stable")]
-        edges = _split(u << np.uint64(16), buckets)
-        inner = np.searchsorted(at[open_], edges)
-        repeated = counts > 1
-        for b in range(buckets):
-            x, y = edges[b], edges[b + 1]
-            if x < y:
-                o = open_[inner[b] : inner[b + 1]]
-                body = _bytes(u[x:y], 6) + np.packbits(repeated[x:y]).tobytes() + _bytes((at[o] - x).astype(np.int32)) + _bytes(block_id[o]) + _bytes(block_no[o])
-                out.append((b, 0, y - x, len(o), body))
+        out += _blocks_sent(u, counts > 1, at[open_], block_id[open_], block_no[open_], buckets)
         return pd.DataFrame(out, columns=["bucket", "kind", "n", "m", "body"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,33 +234,18 @@ def _probes(buckets: int):
 
 def _met(df: pd.DataFrame) -> pd.DataFrame:
     """The blocks of a bucket that some other rolling window equals."""
-    ids, blocks, us, seen, marks, owners, numbers = [], [], [], [], [], [], []
-    base = 0
+    ids, blocks, rows = [], [], []
     for kind, n, m, body in zip(df["kind"], df["n"], df["m"], df["body"], strict=True):
         if kind == 1:
-            i, at = _values(body, 0, n, "<i8")
-            b, at = _values(body, at, n, "<i4")
+            i, b = _columns(n, body, ("<i8", "<i4"))
             ids.append(i)
             blocks.append(b)
-            continue
-        u, at = _values(body, 0, n, "<u8", 6)
-        bits = np.unpackbits(np.frombuffer(body, np.uint8, -(-n // 8), at))[:n]
-        at += -(-n // 8)
-        mark, at = _values(body, at, m, "<i4")
-        owner, at = _values(body, at, m, "<i8")
-        number, at = _values(body, at, m, "<i4")
-        us.append(u)
-        seen.append(bits)
-        marks.append(mark.astype(np.int64) + base)
-        owners.append(owner)
-        numbers.append(number)
-        base += n
-    if us:
-        distinct, inverse = np.unique(np.concatenate(us), return_inverse=True)
-        often = np.bincount(inverse, weights=1 + np.concatenate(seen), minlength=len(distinct)) > 1
-        hit = often[inverse[np.concatenate(marks)]]
-        ids.append(np.concatenate(owners)[hit])
-        blocks.append(np.concatenate(numbers)[hit])
+        else:
+            rows.append(_blocks_read(n, m, body))
+    if rows:
+        _, often, of, owners, numbers = _blocks_merged(rows)
+        ids.append(owners[often[of]])
+        blocks.append(numbers[often[of]])
     return pd.DataFrame({"id": np.concatenate(ids), "block": np.concatenate(blocks)}) if ids else pd.DataFrame({"id": np.zeros(0, np.int64), "block": np.zeros(0, np.int32)})
 
 
@@ -193,9 +268,7 @@ def _extend(buckets: int):
     """Windows around met blocks: the earliest of each kind in a batch, by bucket, and the marked rest."""
 
     def flush(parts: list[tuple]) -> pd.DataFrame:
-        h1, h2, i, k, p = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((p, k, i, h2, h1))
-        h1, h2, i, k, p = (x[order] for x in (h1, h2, i, k, p))
+        h1, h2, i, k, p = _windows_merged(parts)
         first = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
         lead = np.maximum.accumulate(np.where(first, np.arange(len(h1)), 0))
         late = (i != i[lead]) | (k != k[lead]) | (p != p[lead])
@@ -205,12 +278,7 @@ def _extend(buckets: int):
         for j, s in enumerate(np.array_split(some, max(1, -(-len(some) // 50_000)))):
             if len(s):
                 out.append((-1 - (int(h1[0]) + j) % buckets, 1, len(s), 0, _bytes(i[s]) + _bytes(k[s]) + _bytes(p[s])))
-        h1, h2, i, k, p = (x[first] for x in (h1, h2, i, k, p))
-        edges = _split(h1, buckets)
-        for b in range(buckets):
-            s = slice(edges[b], edges[b + 1])
-            if s.start < s.stop:
-                out.append((b, 0, s.stop - s.start, 0, _bytes(h1[s]) + _bytes(h2[s]) + _bytes(i[s]) + _bytes(k[s]) + _bytes(p[s])))
+        out += _windows_sent(tuple(x[first] for x in (h1, h2, i, k, p)), buckets)
         return pd.DataFrame(out, columns=["bucket", "kind", "n", "m", "body"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -228,7 +296,7 @@ def _extend(buckets: int):
                 np.add.at(near, np.maximum(blocks * BLOCK - (WINDOW - BLOCK), 0), 1)
                 np.add.at(near, np.minimum(blocks * BLOCK + 1, n), -1)
                 p = np.flatnonzero(np.cumsum(near[:n]) > 0)
-                parts.append((rolling(h, WINDOW)[p], (rolling(h, WINDOW, _M2)[p] >> np.uint64(32)).astype(np.uint32), np.full(len(p), doc_id, np.int64), np.full(len(p), key, np.int64), p.astype(np.int32)))
+                parts.append((rolling(h, WINDOW)[p], rolling(h, WINDOW, _M2)[p], np.full(len(p), doc_id, np.int64), np.full(len(p), key, np.int64), p.astype(np.int32)))
                 held += len(p)
                 if held >= BATCH:
                     yield flush(parts)
@@ -243,15 +311,9 @@ def _marked(df: pd.DataFrame) -> pd.DataFrame:
     """Starts of the windows of a bucket that start earlier elsewhere."""
     late, open_ = [], []
     for kind, n, body in zip(df["kind"], df["n"], df["body"], strict=True):
-        at, columns = 0, []
-        for t in ("<i8", "<i8", "<i4") if kind else ("<u8", "<u4", "<i8", "<i8", "<i4"):
-            x, at = _values(body, at, n, t)
-            columns.append(x)
-        (late if kind else open_).append(columns)
+        (late if kind else open_).append(_columns(n, body, LATE_KINDS if kind else WINDOW_KINDS))
     if open_:
-        h1, h2, i, k, p = (np.concatenate(x) for x in zip(*open_, strict=True))
-        order = np.lexsort((p, k, i, h2, h1))
-        h1, h2, i, k, p = (x[order] for x in (h1, h2, i, k, p))
+        h1, h2, i, k, p = _windows_merged(open_)
         first = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
         lead = np.maximum.accumulate(np.where(first, np.arange(len(h1)), 0))
         m = (i != i[lead]) | (k != k[lead]) | (p != p[lead])
@@ -297,16 +359,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     while buckets * BUCKET * 6 < chars:
         buckets *= 2
 
-    sent = docs.mapInPandas(_probes(buckets), SENT)
+    first = min(buckets, FANOUT)
+    sent = _passes(docs.mapInPandas(_probes(first), SENT), first, buckets, _blocks_read, _blocks_merged, lambda x, fine: _blocks_sent(*x, fine))
     met = sent.groupBy("bucket").applyInPandas(_met, "id long, block int")
     blocks = cut(met.groupBy("id").agg(F.collect_set("block").alias("blocks")), "blocks")
 
-    one = Window.partitionBy("id")
-    key = F.when(F.count(F.lit(1)).over(one) > 1, F.xxhash64("text")).otherwise(F.lit(0))
-    read = cut(docs.join(blocks, "id", "left").select("id", "text", "blocks", key.cast("long").alias("key")).mapInPandas(_read, READ), "read")
+    repeated = docs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # ids alone, without texts
+    known = blocks.join(repeated, "id", "full")
+    key = F.when(F.col("n").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0))
+    read = cut(docs.join(known, "id", "left").select("id", "text", "blocks", key.cast("long").alias("key")).mapInPandas(_read, READ), "read")
     some = read.where("blocks is not null")
 
-    windows = some.select("id", "key", "text", "blocks").mapInPandas(_extend(buckets), SENT)
+    windows = _passes(some.select("id", "key", "text", "blocks").mapInPandas(_extend(first), SENT), first, buckets, lambda n, m, body: _columns(n, body, WINDOW_KINDS), _windows_merged, _windows_sent)
     marked = windows.groupBy("bucket").applyInPandas(_marked, "id long, key long, places binary")
     places = cut(marked.groupBy("id", "key").agg(F.collect_list("places").alias("places")), "places")
 
