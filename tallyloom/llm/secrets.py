@@ -1,6 +1,7 @@
 """Secret scans in built-in functions only: fixed patterns, and a battery of randomness tests for the rest.
 
-Candidates are runs of 20 or more characters of [A-Za-z0-9+/_-] with a letter and a digit. For each an encoding is
+Candidates are runs of 20 or more characters of [A-Za-z0-9+/_-] with a letter and a digit, or with a capital right
+after a small letter. For each an encoding is
 inferred from its characters, and three tests ask whether its symbols could be uniform draws: chi-squared over bins of
 the alphabet, Wald-Wolfowitz runs about its middle, and lag-1 serial correlation. Fisher's method joins their p-values
 into p, uniform for true random strings and near 0 for words, paths and names.
@@ -8,6 +9,9 @@ into p, uniform for true random strings and near 0 for words, paths and names.
 False discovery control: in each stratum of encoding and length, truly random strings number twice those with p above
 a half; whatever else lies above a threshold t is false. The smallest t that keeps the estimated share of false ones
 at ALPHA is used, so short strata with many look-alikes get a stricter threshold than long ones.
+
+Places of matches and what spans overlap come from running sums and maxima over arrays, which are kept by blocks so
+that a text with very many matches costs as much a match as one with few.
 """
 
 from __future__ import annotations
@@ -39,7 +43,9 @@ MARK = "[SECRET]"
 
 #: What a text must match for a pattern to keep anything in it; the first letter is looked at alone to get by quickly.
 ASSIGN_START = r"(?=[pstaPSTA])" + ASSIGN
-DIGIT = r"[0-9]"
+DIGIT, CAMEL = r"[0-9]", r"[a-z][A-Z]"
+#: Elements of a block of a running total.
+BLOCK = 128
 
 
 def flagged(docs: DataFrame, text_col: str) -> DataFrame:
@@ -51,11 +57,49 @@ def flagged(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.withColumns(
         {
             "_has_assign": sign & F.rlike(text, F.lit(ASSIGN_START)), "_has_access": F.rlike(text, F.lit(ACCESS)),
-            "_has_hex": F.rlike(text, F.lit(HEX)), "_has_random": F.rlike(text, F.lit(DIGIT)) & F.rlike(text, F.lit(CANDIDATE)),
+            "_has_hex": F.rlike(text, F.lit(HEX)), "_has_random": (F.rlike(text, F.lit(DIGIT)) | F.rlike(text, F.lit(CAMEL))) & F.rlike(text, F.lit(CANDIDATE)),
         }
     )
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _blocks(items: Column) -> Column:
+    """items in arrays of BLOCK, the last one shorter; an empty array in one."""
+    last = F.greatest(F.ceil(F.size(items) / BLOCK) - 1, F.lit(0)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
+
+
+def running(items: Column, value, join, start: int, shape: str) -> Column:
+    """Structs (before, item): each item with join over start and the values of all items ahead of it.
+
+    shape is the type of an item. Appending copies an array, so blocks of BLOCK are walked by themselves, each from
+    what join gives for the blocks ahead of it.
+    """
+    none = F.array().cast(f"array<struct<before:int,item:{shape}>>")
+
+    def walk(block: Column, base: Column) -> Column:
+        return F.aggregate(
+            block, F.struct(base.cast("int").alias("at"), none.alias("out")),
+            lambda a, x: F.struct(join(a["at"], value(x)).cast("int").alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("before"), x.alias("item")))).alias("out")),
+            lambda a: a["out"],
+        )
+
+    def walked(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda block: F.aggregate(block, F.lit(start), lambda a, x: join(a, value(x)).cast("int")))
+        bases = F.aggregate(
+            totals, F.struct(F.lit(start).alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda a, t: F.struct(join(a["at"], t).cast("int").alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")),
+            lambda a: a["out"],
+        )
+        return _let(bases, lambda found: F.flatten(F.zip_with(blocks, found, walk)))
+
+    return _let(items, lambda every: _let(_blocks(every), walked))
+
+
 def located(text: Column, pattern: str, flag: str) -> Column:
     """All matches of pattern as structs (start, match), start in code points.
 
@@ -63,15 +107,10 @@ def located(text: Column, pattern: str, flag: str) -> Column:
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(gaps) - 1), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,match:string>>").alias("out"))
-    walked = F.aggregate(
-        pairs, start,
-        lambda a, x: F.struct((a["at"] + x["gap"] + F.length(x["match"])).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), x["match"].alias("match")))).alias("out")),
-        lambda a: a["out"],
-    )
-    none = F.array().cast("array<struct<start:int,match:string>>")
-    return F.when(F.col(flag), walked).otherwise(none)
+    pairs = _let(gaps, lambda gs: F.zip_with(F.slice(gs, F.lit(1), F.size(gs) - 1), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match"))))
+    placed = running(pairs, lambda x: x["gap"] + F.length(x["match"]), lambda a, b: a + b, 0, "struct<gap:int,match:string>")
+    starts = F.transform(placed, lambda x: F.struct((x["before"] + x["item"]["gap"]).alias("start"), x["item"]["match"].alias("match")))
+    return F.when(F.col(flag), starts).otherwise(F.array().cast("array<struct<start:int,match:string>>"))
 
 
 def _spans(found: Column, kind: str) -> Column:
@@ -99,11 +138,6 @@ def _two_sided(z: Column) -> Column:
     return F.least(F.lit(1.0), 2 * _upper_tail(F.abs(z)))
 
 
-def _let(value: Column, use) -> Column:
-    """use(value) with value computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def tested(token: Column) -> Column:
     """Struct (encoding, p) of a candidate string."""
     kind = F.lit(len(ENCODINGS) - 1)
@@ -158,7 +192,7 @@ def _battery(values: Column, symbols: Column, width: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """Array of structs (start, end, encoding, p, stratum) of the strings that the tests judge."""
-    mixed = lambda m: m["match"].rlike("[0-9]") & m["match"].rlike("[A-Za-z]")
+    mixed = lambda m: m["match"].rlike(DIGIT) & m["match"].rlike("[A-Za-z]") | m["match"].rlike(CAMEL)
 
     def row(m: Column) -> Column:
         n = F.length(m["match"])
@@ -197,11 +231,23 @@ def scan(docs: DataFrame, text_col: str = "text", limits: dict[tuple[str, int],
     text = F.col("_text")
     base = base_spans(text)
     out = flagged(docs, text_col).withColumns({f"_{k}": v for k, v in base.items()}).withColumn("_candidates", candidates(text))
-    taken = F.concat("_assign", "_access", "_hex")
-    passes = lambda c: c["p"] >= _limit(c, limits)
-    clear = lambda c: ~F.exists(F.col("_taken"), lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
-    random = F.transform(F.filter("_candidates", lambda c: passes(c) & clear(c)), lambda c: F.struct(c["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), c["end"].alias("end")))
-    return out.withColumn("_taken", taken).withColumn("_random", random).select("row", "_text", *[f"_{k}" for k in KINDS])
+    passed = F.filter("_candidates", lambda c: c["p"] >= _limit(c, limits))
+    drawn = F.transform(passed, lambda c: F.struct(c["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), c["end"].alias("end")))
+    return out.withColumn("_drawn", drawn).withColumn("_random", _clear(F.concat("_assign", "_access", "_hex"), F.col("_drawn"))).select("row", "_text", *[f"_{k}" for k in KINDS])
+
+
+SPAN = "struct<start:int,kind:int,end:int>"
+
+
+def _clear(base: Column, drawn: Column) -> Column:
+    """The spans of drawn that meet none of base: none that starts ahead reaches into them, none starts within."""
+    is_base = lambda x: x["kind"] != KINDS.index("random")
+    forward = lambda a: running(a, lambda x: F.when(is_base(x), x["end"]).otherwise(0), F.greatest, 0, SPAN)
+    clear_ahead = lambda a: F.transform(F.filter(forward(a), lambda x: is_base(x["item"]) | (x["before"] <= x["item"]["start"])), lambda x: x["item"])
+    back = lambda a: running(F.reverse(a), lambda x: F.when(is_base(x), x["start"]).otherwise(2**31 - 1), F.least, 2**31 - 1, SPAN)
+    clear_within = lambda a: F.transform(F.filter(back(a), lambda x: ~is_base(x["item"]) & (x["before"] >= x["item"]["end"])), lambda x: x["item"])
+    every = lambda d: _let(F.array_sort(F.concat(base, d)), lambda a: _let(clear_ahead(a), clear_within))
+    return F.when((F.size(base) > 0) & (F.size(drawn) > 0), F.reverse(_let(drawn, every))).otherwise(drawn)
 
 
 def _limit(c: Column, limits: dict[tuple[str, int], float]) -> Column:
@@ -218,7 +264,11 @@ def written(spans: Column) -> Column:
 
 
 def secrets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document.
+
+    A null text is empty and has no spans. Rows are handled each by itself, so repeated rows and rows without an id
+    have a row each; equal texts have equal spans. An empty table gives no rows, further columns are not looked at.
+    """
     found = scan(docs.select("doc_id", "text"))
     base = F.concat("_assign", "_access", "_hex")
     return found.select(
@@ -228,16 +278,24 @@ def secrets(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = MARK) -> DataFrame:
-    """docs with every found span of text replaced by mark; overlapping spans are replaced together."""
+    """docs with every found span of text replaced by mark; overlapping spans are replaced together.
+
+    Null texts stay null, and texts without spans stay as they are. Rows are handled each by itself, so repeated rows
+    and rows without an id keep their places; an empty table gives no rows.
+    """
     found = scan(docs)
     spans = F.array_sort(F.concat("_assign", "_access", "_hex", "_random"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    # substring counts from 1; a span that starts inside the last one only carries its end on
-    step = lambda a, s: F.struct(
-        F.greatest(a["at"], s["end"]).alias("at"),
-        F.when(s["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.col("_text").substr(a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).alias("out"),
-    )
-    rest = lambda a: F.concat(a["out"], F.col("_text").substr(a["at"] + 1, F.length("_text")))
-    cleaned = F.when(F.size("_spans") > 0, F.aggregate("_spans", start, step, rest)).otherwise(F.col("row.text"))
+    text = F.col("_text")
+    ahead = F.filter(running(F.col("_spans"), lambda x: x["end"], F.greatest, 0, SPAN), lambda x: x["item"]["start"] >= x["before"])
+    between = F.transform(ahead, lambda x: F.struct(x["before"].alias("a"), x["item"]["start"].alias("b")))
+    last = F.struct(F.array_max(F.transform("_spans", lambda x: x["end"])).alias("a"), F.length(text).alias("b"))
+
+    def pieces(block: Column) -> Column:
+        # substr() walks from the front, so each block's part of the text is taken once and its pieces from that
+        first, to = F.element_at(block, 1)["a"], F.element_at(block, -1)["b"]
+        return _let(text.substr(first + 1, to - first), lambda t: F.transform(block, lambda x: t.substr(x["a"] - first + 1, x["b"] - x["a"])))
+
+    parts = _let(F.concat(between, F.array(last)), lambda a: F.flatten(F.transform(_blocks(a), pieces)))
+    cleaned = F.when(F.size("_spans") > 0, F.array_join(parts, mark)).otherwise(F.col("row.text"))
     columns = [F.col(f"row.`{c}`") if c != "text" else F.col("_clean").alias("text") for c in docs.columns]
     return found.withColumn("_spans", spans).withColumn("_clean", cleaned).select(*columns)
