@@ -62,35 +62,42 @@ def _with_rate(docs: DataFrame, sources: DataFrame) -> DataFrame:
     return docs.join(s, docs["_src"].eqNullSafe(s["_source"]), "left").drop("_source")
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """row, the whole row of docs as a struct, with _size, _source_size, _target and _copies: how often it is taken.
-
-    Null texts have size 0, a null source is a source of its own and a null id is hashed as "null"; rows with one id
-    and source share their draw. An empty table gives no rows.
-    """
-    kept = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), n_words(F.col(text_col)).alias("_size"))
-    small = cut(kept.select("_id", "_src", "_size"), "mix-sizes")
-    sizes = small.groupBy("_src").agg(F.sum("_size").alias("source_size")).withColumnRenamed("_src", "source")
+def seeds(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """source, _source_size, _target, _rate, _seed: the plan of each source, from a written table (_id, _src, _size)."""
+    by_source = sizes.groupBy("_src").agg(F.sum("_size").alias("source_size")).withColumnRenamed("_src", "source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    sources = cut(targets(sizes, weights, share, most).withColumn("_rate", rate), "mix-targets")
-
+    sources = cut(targets(by_source, weights, share, most).withColumn("_rate", rate), "mix-targets")
     fraction = F.col("_rate") - F.floor("_rate")
-    drawn = _with_rate(small, sources)
+    drawn = _with_rate(sizes, sources)
     totals = drawn.groupBy("_src").agg(*[F.sum(F.when(u < fraction, F.col("_size")).otherwise(0)).alias(f"_t{k}") for k, u in enumerate(draws(doc_key(F.col("_id"))))])
     whole = F.floor("_rate") * F.col("source_size")
     best = F.array_min(F.array(*[F.struct(F.abs(whole + F.col(f"_t{k}") - F.col("target")).alias("off"), F.lit(k).alias("seed")) for k in range(SEEDS)]))["seed"]
-    seeded = cut(_with_rate(totals, sources).select(F.col("_src").alias("source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_rate", best.alias("_seed")), "mix-seeds")
+    return cut(_with_rate(totals, sources).select(F.col("_src").alias("source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_rate", best.alias("_seed")), "mix-seeds")
+
 
+def _copied(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows, which have _id and _src, with their source's plan and _copies: how often each is taken."""
     u = F.element_at(F.array(*draws(doc_key(F.col("_id")))), F.col("_seed") + 1)
-    copies = F.floor("_rate") + F.when(u < fraction, 1).otherwise(0)
-    return _with_rate(kept, seeded).withColumn("_copies", copies.cast("int")).select("row", "_size", "_source_size", "_target", "_copies")
+    copies = F.floor("_rate") + F.when(u < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)
+    return _with_rate(rows, plan).withColumn("_copies", copies.cast("int"))
+
+
+def _sizes(docs: DataFrame) -> DataFrame:
+    return cut(docs.select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), n_words(F.col("text")).alias("_size")), "mix-sizes")
 
 
 def taken(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document."""
-    return mix(docs.select("doc_id", "text", "source")).select("row.doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
+    """doc_id, size, source_size, target, taken of every document. Texts are read once.
+
+    Null texts have size 0, a null source is a source of its own and a null id is hashed as "null"; rows with one id
+    and source share their draw. An empty table gives no rows.
+    """
+    sizes = _sizes(docs)
+    return _copied(sizes, seeds(sizes)).select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
 def emit(docs: DataFrame) -> DataFrame:
-    """The mix itself: every document as often as it is taken, with the columns of docs."""
-    return mix(docs).withColumn("_", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select("row.*")
+    """The mix itself: every document as often as taken() says, with the columns of docs."""
+    plan = seeds(_sizes(docs))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"), F.col("source").alias("_src"))
+    return _copied(rows, plan).withColumn("_", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select("row.*")

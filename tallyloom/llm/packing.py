@@ -147,7 +147,7 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     counts = {r["length"]: r["n"] for r in cut_pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     layout = _layout(plan(counts, capacity))
-    ranked = numbered(cut_pieces, "length", ["doc_id", "piece", "ids_crc32"], "doc_id", "_rank")
+    ranked = numbered(cut_pieces, "length", ["doc_id", "piece", "ids_crc32"], "doc_id", sum(counts.values()), "_rank")
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
@@ -167,6 +167,7 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def packed(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document.
 
-    Rows that share an id are packed each for itself; an empty table gives no rows.
+    Rows that share an id are packed each for itself, rows without one too; a null or empty text is its end id alone.
+    An empty table gives no rows, and further columns are not looked at.
     """
     return pack(cut(pieces(docs, capacity), "pieces"), capacity)

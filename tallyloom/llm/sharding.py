@@ -11,10 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import doc_key, md5_uniform
+from tallyloom.llm.common import cut, doc_key, md5_uniform
 
-#: Hash ranges that a shard's rows are numbered in side by side; bounds rows per task and the table of offsets.
-RANGES = 256
+#: Hash ranges that a group's rows are numbered in side by side, of about RANGE_ROWS rows if all rows are in one group.
+RANGES, RANGE_ROWS, MOST_RANGES = 256, 4_000_000, 65_536
 
 
 def scores(key: Column, weights: Sequence[float]) -> list[Column]:
@@ -31,12 +31,14 @@ def assign(key: Column, weights: Sequence[float]) -> Column:
     return F.array_min(F.array(*scores(key, weights)))["shard"]
 
 
-def numbered(df: DataFrame, group: str, order: Sequence[str], key: str, name: str = "slot", ranges: int = RANGES) -> DataFrame:
-    """df with the 0-based gapless number of each row in its group, without bringing a group to one task.
+def numbered(df: DataFrame, group: str, order: Sequence[str], key: str, rows: int, name: str = "slot") -> DataFrame:
+    """df, which has so many rows, with the 0-based gapless number of each row in its group, without bringing a group
+    to one task.
 
     Rows of a group are split by a hash of key into ranges, each is numbered by itself, and the counts of the ranges
-    before are added. The table of offsets has at most (number of groups) x ranges rows and is aggregated beforehand.
+    before are added. df must give the same rows whenever it is read.
     """
+    ranges = min(MOST_RANGES, max(RANGES, rows // RANGE_ROWS))
     df = df.withColumn("_range", (F.conv(F.substring(F.md5(doc_key(F.col(key))), 1, 4), 16, 10).cast("int") % ranges))
     counts = df.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -44,7 +46,7 @@ def numbered(df: DataFrame, group: str, order: Sequence[str], key: str, name: st
     within = Window.partitionBy(group, "_range").orderBy(*order)
     return (
         df.withColumn("_k", F.row_number().over(within) - 1)
-        .join(F.broadcast(offsets), [group, "_range"])
+        .join(offsets, [group, "_range"])
         .withColumn(name, (F.col("_k") + F.col("_before")).cast("long"))
         .drop("_range", "_k", "_before")
     )
@@ -70,5 +72,6 @@ def shard(docs: DataFrame, shards: int = 40, weights: Sequence[float] | None = N
         F.array_min(F.slice("_scores", 1, len(weights)))["shard"].alias("shard"),
         F.array_min("_scores")["shard"].alias("grown_shard"),
     )
-    out = numbered(placed, "shard", ["doc_id", "text_crc32", "size"], "doc_id")
+    placed = cut(placed, "placed")  # narrow: texts are read and scores computed once
+    out = numbered(placed, "shard", ["doc_id", "text_crc32", "size"], "doc_id", placed.count())
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

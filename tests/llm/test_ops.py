@@ -105,7 +105,10 @@ def test_mixing(make, some, odd):
         assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.taken(docs.repartition(7)).collect()))
     copies = mixing.emit(docs)
     assert copies.columns == docs.columns
-    assert copies.count() == mixing.mix(docs).agg(F.sum("_copies")).first()[0]
+    times = Counter((i, t) for i, t, _ in rows)
+    emitted = Counter((r["doc_id"], r["text"]) for r in copies.collect())
+    assert set(emitted) <= set(times) and all(n <= 2 * times[k] for k, n in emitted.items())
+    assert sum(len(WORD.findall(t or "")) * n for (_, t), n in emitted.items()) == sum(r["taken"] for r in got)
 
 
 def test_mixing_nothing(make):
