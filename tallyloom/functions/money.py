@@ -15,12 +15,18 @@ UNITS = {
     "l": "l", "liter": "l", "dl": "dl", "cl": "cl", "m": "m", "meter": "m", "förp": "förp", "frp": "förp", "pkt": "förp", "paket": "förp",
 }
 
+#: Fixed value: the step from 1 to the next double.
+STEP = 2.0**-52
+
 
 def round_half_up(v: Column, digits: int = 2) -> Column:
-    """Rounds halves towards plus infinity; null stays null and what is not finite becomes 0."""
+    """Rounds halves towards plus infinity; null stays null and what is not finite becomes 0.
+
+    A double's smallest step at 1 is added first, so that 1.005, which is stored a little short, becomes 1.01.
+    """
     f = 10.0**digits
     finite = ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))
-    return F.when(v.isNull(), None).when(finite, F.floor(v * f + 0.5) / f).otherwise(0.0)
+    return F.when(v.isNull(), None).when(finite, F.floor((v + STEP) * f + 0.5) / f).otherwise(0.0)
 
 
 def parse_amount(text: Column, grouping: bool = True, digits: int = 2) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, fields
 
@@ -25,6 +26,8 @@ class ReceiptFilter:
     total_min: float | None = None
     total_max: float | None = None
     review: bool = False
+    sort: str = "date"
+    direction: str = "desc"
 
     def to_params(self) -> dict[str, str]:
         return _params(self)
@@ -47,6 +50,8 @@ class PurchaseFilter:
     price_max: float | None = None
     discounts: bool = False
     deposits: bool = False
+    sort: str = "date"
+    direction: str = "desc"
 
     def to_params(self) -> dict[str, str]:
         return _params(self)
@@ -60,6 +65,7 @@ class PurchaseFilter:
 PARAMS = {
     "query": "q", "date_from": "from", "date_to": "to", "categories": "cat", "tags": "tag", "statuses": "status", "merchants": "shop",
     "total_min": "min", "total_max": "max", "price_min": "min", "price_max": "max", "review": "review", "discounts": "disc", "deposits": "pant",
+    "sort": "sort", "direction": "dir",
 }
 
 
@@ -94,11 +100,18 @@ def _parsed(cls: type, params: dict[str, str]) -> dict:
             out[f.name] = tuple(x for x in raw.split(",") if x)
         elif f.name.endswith(("_min", "_max")):
             out[f.name] = number(raw)
+        elif f.name == "direction":
+            out[f.name] = "asc" if raw == "asc" else "desc"
         else:
             out[f.name] = raw == "1" if isinstance(f.default, bool) else raw
     return out
 
 
+def preset(name: str, as_of: str) -> ReceiptFilter:
+    """The quick filters: what needs review, this month, and what nothing has been read from."""
+    return {"review": ReceiptFilter(review=True), "month": ReceiptFilter(date_from=f"{as_of[:7]}-01"), "unread": ReceiptFilter(statuses=("draft", "failed"))}[name]
+
+
 def in_dates(date: Column, first: str | None, last: str | None) -> Column:
     """Inclusive on days; without bounds all pass, with one a null date does not."""
     out = F.lit(True)
@@ -109,6 +122,16 @@ def in_dates(date: Column, first: str | None, last: str | None) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def dated(receipts: DataFrame, first: str | None, last: str | None) -> DataFrame:
+    """receipts within inclusive days. A date column purchased_on is filtered as it is, so that the scan skips what
+    lies outside; text dates are compared by their day. Bounds that are no whole day are compared as text."""
+    if "purchased_on" in receipts.columns and all(b is None or re.fullmatch(r"\d{4}-\d{2}-\d{2}", b) for b in (first, last)):
+        if first:
+            receipts = receipts.where(F.col("purchased_on") >= F.lit(first).cast("date"))
+        return receipts.where(F.col("purchased_on") < F.date_add(F.lit(last).cast("date"), 1)) if last else receipts
+    return receipts.where(in_dates(F.col("purchased_at"), first, last))
+
+
 def needs_review(status: Column, warnings: Column) -> Column:
     return F.when(status == "failed", True).when(status == "confirmed", False).otherwise(F.size(warnings) > 0)
 
@@ -136,7 +159,7 @@ def matching(receipts: DataFrame, items: DataFrame, query: str, haystack: Sequen
 
 def receipts_where(receipts: DataFrame, spec: ReceiptFilter, links: DataFrame | None = None, items: DataFrame | None = None) -> DataFrame:
     """Live receipts that meet spec; links and items are only read if it asks for tags or text."""
-    df = receipts.where("deleted_at = 0").where(in_dates(F.col("purchased_at"), spec.date_from, spec.date_to))
+    df = dated(receipts.where("deleted_at = 0"), spec.date_from, spec.date_to)
     if spec.statuses:
         df = df.where(F.col("status").isin(*spec.statuses))
     if spec.categories:
@@ -165,7 +188,7 @@ def purchases(items: DataFrame, receipts: DataFrame, spec: PurchaseFilter = Purc
         items = items.where(F.col("total_price") >= spec.price_min)
     if spec.price_max is not None:
         items = items.where(F.col("total_price") <= spec.price_max)
-    of = receipts.where("deleted_at = 0").where(in_dates(F.col("purchased_at"), spec.date_from, spec.date_to))
+    of = dated(receipts.where("deleted_at = 0"), spec.date_from, spec.date_to)
     if spec.merchants:
         of = of.where(F.lower(F.coalesce(F.col("merchant"), F.lit(""))).isin(*[m.lower() for m in spec.merchants]))
     of = of.select(F.col("id").alias("receipt_id"), "merchant", "purchased_at", "city", F.col("category_id").alias("receipt_category_id"))
@@ -196,6 +219,27 @@ def purchase_order(by: str, descending: bool) -> list[Column]:
     return [_both_ways(keys[by], descending), F.col("receipt_id").asc(), F.col("line_no").asc(), F.col("part_id").asc(), F.col("total_price").asc()]
 
 
+def places(df: DataFrame, order: list[Column], step: Column, name: str = "place") -> DataFrame:
+    """df with the place of each row in the whole order, from 1.
+
+    step is a number that never falls along order, such as a month; rows are ranked within their step and moved on by
+    the counts of the steps ahead, so only one row for each step is put in sequence.
+    """
+    from pyspark.sql import Window
+
+    df = df.withColumn("_step", step)
+    counts = df.groupBy("_step").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = counts.select("_step", F.coalesce(F.sum("_n").over(Window.orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    ranked = df.withColumn("_k", F.row_number().over(Window.partitionBy("_step").orderBy(*order)))
+    return ranked.join(ahead, "_step").withColumn(name, (F.col("_k") + F.col("_ahead")).cast("bigint")).drop("_step", "_k", "_ahead")
+
+
+def month_step(date: Column, descending: bool) -> Column:
+    """A step for places() in an order by date: months, undated rows last."""
+    month = F.regexp_replace(F.substring(date, 1, 7), "-", "").try_cast("int")
+    return F.coalesce(-month if descending else month, F.lit(10**6))
+
+
 def page(df: DataFrame, order: list[Column], pages: int, rows: int = 150) -> DataFrame:
     """The first pages of an ordered list."""
     return df.orderBy(*order).limit(pages * rows)

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Kinds of records in the order in which revisions are given out.
-KINDS = ("companies", "categories", "tags", "receipts", "receiptItems", "receiptTags", "secrets")
-ID_MOST, PAYLOAD_MOST = 128, 512 * 1024
+KINDS = ("companies", "receipts", "items", "categories", "tags", "receiptTags", "secrets")
+ID_MOST, PAYLOAD_MOST, SECRET_MOST = 128, 512 * 1024, 16_384
 
 
 def version(updated: str = "updated_at", deleted: str = "deleted_at", payload: str = "payload") -> Column:
@@ -24,13 +24,20 @@ def resolve(changes: DataFrame, key: Sequence[str] = ("kind", "id"), tie: str =
     return changes.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("w")).select(*key, "w.*")
 
 
-def rejected(kind: Column, record_id: Column, updated: Column, deleted: Column, payload: Column, kinds: Sequence[str] = KINDS) -> Column:
-    """Why a pushed record is not taken, or null; the first rule that fails."""
+def rejected(kind: Column, record_id: Column, updated: Column, deleted: Column, payload: Column, kinds: Sequence[str] = KINDS, secrets: Sequence[str] = (), value: Column | None = None) -> Column:
+    """Why a pushed record is not taken, or null; the first rule that fails.
+
+    secrets are the ids that records of kind secrets may have; value is their text.
+    """
     size = F.octet_length(payload)
+    is_secret = F.coalesce(kind == "secrets", F.lit(False))
+    value = F.lit(None).cast("string") if value is None else value
     return (
         F.when(~F.coalesce(kind.isin(*kinds), F.lit(False)), "kind")
         .when(record_id.isNull() | (F.length(record_id) == 0) | (F.length(record_id) > ID_MOST), "id")
-        .when(updated.isNull() | deleted.isNull(), "meta")
+        .when(updated.isNull() | F.isnan(updated.cast("double")) | deleted.isNull() | F.isnan(deleted.cast("double")), "meta")
+        .when(is_secret & ~F.coalesce(record_id.isin(*secrets), F.lit(False)), "secret")
+        .when(is_secret & (value.isNull() | (F.length(value) > SECRET_MOST)), "value")
         .when(size > PAYLOAD_MOST, "size")
     )
 
@@ -42,18 +49,33 @@ def outcomes(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return incoming.join(s, ["kind", "id"], "left").withColumn("outcome", F.when(F.col("_stored").isNull() | (mine > F.col("_stored")), "applied").otherwise("stale")).drop("_stored")
 
 
-def revisions(applied: DataFrame, base: int, order: Sequence[Column], group: str = "kind", split: Column | None = None) -> DataFrame:
-    """applied with gapless revisions after base: kinds in order, then order.
+def revisions(applied: DataFrame, base: int, order: str, kinds: Sequence[str] = KINDS, rows: int = 1_000_000) -> DataFrame:
+    """applied with gapless revisions after base: kinds in the order of kinds, then by the column order.
 
-    Rows are numbered within their kind and split, a column that never falls along order, such as a key divided by
-    a million; the counts of the splits before give where each starts. So only one row for each kind and split is put
-    in sequence, and a large kind is numbered in many tasks.
+    Rows are sorted by range into partitions of about so many rows, numbered within them, and moved on by the counts
+    of the partitions ahead: one row for each partition is put in sequence, and a large kind is numbered in many
+    tasks. Rows that tie in kind and order must be alike. Kinds that kinds does not name come last.
     """
-    df = applied.withColumn("_s", F.lit(0) if split is None else split)
-    counts = df.groupBy(group, "_s").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy(group, "_s").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(group, "_s", (F.coalesce(F.sum("_n").over(before), F.lit(0)) + base).alias("_start"))
-    return df.withColumn("_k", F.row_number().over(Window.partitionBy(group, "_s").orderBy(*order))).join(starts, [group, "_s"]).withColumn("new_rev", F.col("_k") + F.col("_start")).drop("_k", "_s", "_start")
+    place = F.coalesce(F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("kind")), F.lit(0))
+    keyed = applied.withColumn("_kind", F.when(place == 0, len(kinds) + 1).otherwise(place))
+    n = keyed.groupBy("_kind").agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_low"), F.max(order).alias("_high"))
+    # equal steps of order within a kind; a step holds rows rows or so if order is spread evenly
+    step = F.greatest((F.col("_high") - F.col("_low")) / F.greatest(F.ceil(F.col("_n") / rows), F.lit(1)), F.lit(1))
+    keyed = keyed.join(n, "_kind").withColumn("_step", F.floor((F.col(order) - F.col("_low")) / step))
+    counts = keyed.groupBy("_kind", "_step").agg(F.count(F.lit(1)).alias("_m"))
+    inside = Window.partitionBy("_kind").orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.orderBy("_kind").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each kind
+    kinds_ahead = n.select("_kind", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_base"))
+    starts = counts.select("_kind", "_step", F.coalesce(F.sum("_m").over(inside), F.lit(0)).alias("_start")).join(kinds_ahead, "_kind")
+    numbered = keyed.withColumn("_k", F.row_number().over(Window.partitionBy("_kind", "_step").orderBy(order))).join(starts, ["_kind", "_step"])
+    return numbered.withColumn("new_rev", F.col("_k") + F.col("_start") + F.col("_base") + base).select(*applied.columns, "new_rev")
+
+
+def written_by_server(changes: DataFrame, records: DataFrame, last_rev: int, device: str = "server") -> DataFrame:
+    """What the log gains when the server itself writes records (kind, id, seq, updated_at, deleted_at, payload): new
+    revisions for all, without a look for conflicts, marked as the server's own. The log's columns are those of changes."""
+    out = revisions(records, last_rev, "seq").withColumn("rev", F.col("new_rev")).withColumn("device", F.lit(device))
+    return out.select(*[F.col(c) if c in out.columns else F.lit(None).cast(changes.schema[c].dataType).alias(c) for c in changes.columns])
 
 
 def pull(changes: DataFrame, since: int, rows: int) -> DataFrame:
@@ -65,6 +87,15 @@ def has_more(changes: DataFrame, since: int, rows: int) -> bool:
     return changes.where(F.col("rev") > since).limit(rows + 1).count() > rows
 
 
+def page_with_cursor(changes: DataFrame, since: int, rows: int) -> DataFrame:
+    """The next page with the cursor to go on from, and whether there is more behind it, on each of its rows."""
+    cut = pull(changes, since, rows + 1)
+    w = Window.orderBy("rev")  # over one page
+    numbered = cut.withColumn("_k", F.row_number().over(w)).withColumn("has_more", F.count(F.lit(1)).over(Window.partitionBy()) > rows)
+    page = numbered.where(F.col("_k") <= rows).drop("_k")
+    return page.withColumn("cursor", F.max("rev").over(Window.partitionBy()))
+
+
 def pending(changes: DataFrame, since: int) -> DataFrame:
     """Rows after since by kind, and their total as kind null."""
     return changes.where(F.col("rev") > since).rollup("kind").agg(F.count(F.lit(1)).alias("n"))
@@ -86,31 +117,65 @@ def acknowledge(snapshot: DataFrame, now: DataFrame, results: DataFrame) -> Data
 
 
 def apply_remote(local: DataFrame, remote: DataFrame) -> DataFrame:
-    """(kind, id, chosen): what a pulled record does to the local one."""
+    """(kind, id, chosen): what a pulled record does to the local one.
+
+    A record without a local edit is taken. A receipt that the server's own reader wrote over a local edit is merged
+    field by field (merge_incoming); among other edited records the version decides, and where the local one stays it
+    takes on the server's revision ("keep"). Records without a counterpart are "local" or "remote". remote may have
+    machine, whether the reader wrote it.
+    """
+    if "machine" not in remote.columns:
+        remote = remote.withColumn("machine", F.lit(False))
     lv = F.struct(F.col("l.updated_at").alias("u"), (F.col("l.deleted_at") != 0).alias("d"), F.col("l.payload").alias("p"))
     rv = F.struct(F.col("r.updated_at").alias("u"), (F.col("r.deleted_at") != 0).alias("d"), F.col("r.payload").alias("p"))
     joined = local.alias("l").join(remote.alias("r"), (F.col("l.kind") == F.col("r.kind")) & (F.col("l.id") == F.col("r.id")), "full")
-    chosen = F.when(F.col("r.id").isNull(), "local").when(F.col("l.id").isNull(), "remote").when(F.col("l.dirty") == 0, "remote").when(rv > lv, "remote").otherwise("local")
+    merges = (F.col("l.kind") == "receipts") & F.col("r.machine") & (F.col("r.deleted_at") == 0) & (F.col("l.deleted_at") == 0)
+    chosen = (
+        F.when(F.col("r.id").isNull(), "local").when(F.col("l.id").isNull() | (F.col("l.dirty") == 0), "remote")
+        .when(merges, "merge").when(rv > lv, "remote").otherwise("keep")
+    )
     return joined.select(F.coalesce("l.kind", "r.kind").alias("kind"), F.coalesce("l.id", "r.id").alias("id"), chosen.alias("chosen"))
 
 
-def enrich(receipts: DataFrame, found: DataFrame, fields: Sequence[str], fixed: Sequence[str] = ()) -> DataFrame:
-    """Receipts with blanks filled from found, which has the same columns by id.
+def enrich(receipts: DataFrame, found: DataFrame, fields: Sequence[str], fixed: Sequence[str] = (), blocks: Sequence[str] = (), replace_own: bool = False) -> DataFrame:
+    """Receipts with what a reading found, which has the same columns by id.
 
-    Deleted and confirmed receipts are left; fields in fixed never change once set. filled and kept name the fields,
-    skipped says why nothing was done. A draft or failed receipt that gains anything is parsed.
+    Deleted and confirmed receipts are left. Of fields blanks are filled; with replace_own values that a machine wrote
+    (machine is true) are replaced too, but never those of fixed, which once set stay. blocks are arrays, such as VAT
+    lines, and are taken whole or not at all. Where both sides have currency it is taken if it differs and the receipt
+    has no items; where both have items they are taken whole if the receipt has none. filled and kept name what came
+    in and what stayed, skipped says why nothing was done. A draft or failed receipt that gains anything is parsed.
     """
-    f = found.select("id", *[F.col(c).alias(f"_{c}") for c in fields], F.lit(True).alias("_found"))
+    special = [c for c in ("currency", "items") if c in receipts.columns and c in found.columns]
+    every = [*fields, *blocks, *special]
+    f = found.select("id", *[F.col(c).alias(f"_{c}") for c in every], F.lit(True).alias("_found"))
     joined = receipts.join(f, "id", "left")
-    fill = {c: F.col(c).isNull() & F.col(f"_{c}").isNotNull() for c in fields}
-    names = lambda test: F.filter(F.array(*[F.when(test(c), F.lit(c)) for c in fields]), lambda x: x.isNotNull())
-    filled = names(lambda c: fill[c])
-    skipped = F.when(F.col("_found").isNull(), "not-found").when(F.col("deleted_at") != 0, "deleted").when(F.col("status") == "confirmed", "confirmed").when(F.size(filled) == 0, "nothing-new")
+    own = F.coalesce(F.col("machine"), F.lit(False)) if replace_own and "machine" in receipts.columns else F.lit(False)
+    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    no_items = ~some(F.col("items")) if "items" in receipts.columns else F.lit(True)
+    fill, keep = {}, {}
+    for c in fields:
+        new, here = F.col(f"_{c}").isNotNull(), F.col(c).isNotNull()
+        fill[c] = new & (~here | (own & (F.lit(c not in fixed) & ~F.col(c).eqNullSafe(F.col(f"_{c}")))))
+        keep[c] = new & here & (~own | F.lit(c in fixed))
+    for c in blocks:
+        fill[c] = some(F.col(f"_{c}")) & (~some(F.col(c)) | own)
+        keep[c] = some(F.col(f"_{c}")) & some(F.col(c)) & ~own
+    if "currency" in special:
+        fill["currency"] = F.col("_currency").isNotNull() & ~F.col("currency").eqNullSafe(F.col("_currency")) & no_items
+        keep["currency"] = F.lit(False)
+    if "items" in special:
+        fill["items"], keep["items"] = some(F.col("_items")) & no_items, some(F.col("_items")) & ~no_items
+    names = lambda of: F.filter(F.array(*[F.when(test, F.lit(c)) for c, test in of.items()]), lambda x: x.isNotNull())
+    skipped = F.when(F.col("_found").isNull(), "not-found").when(F.col("deleted_at") != 0, "deleted").when(F.col("status") == "confirmed", "confirmed").when(F.size(names(fill)) == 0, "nothing-new")
     out = joined.withColumn("skipped", skipped)
     go = F.col("skipped").isNull()
-    out = out.withColumn("filled", F.when(go, filled).otherwise(F.array().cast("array<string>"))).withColumn("kept", names(lambda c: F.col(c).isNotNull() & F.col(f"_{c}").isNotNull()))
-    out = out.withColumns({c: F.when(go, F.coalesce(F.col(c), F.col(f"_{c}"))).otherwise(F.col(c)) for c in fields})
-    return out.withColumn("status", F.when(go & F.col("status").isin("draft", "failed"), "parsed").otherwise(F.col("status"))).drop("_found", *[f"_{c}" for c in fields])
+    looked = go | (F.col("skipped") == "nothing-new")
+    none = F.array().cast("array<string>")
+    out = out.withColumn("filled", F.when(go, names(fill)).otherwise(none)).withColumn("kept", F.when(looked, names(keep)).otherwise(none))
+    out = out.withColumns({f"_{c}": F.when(go & test, F.col(f"_{c}")).otherwise(F.col(c)) for c, test in fill.items()})
+    out = out.withColumns({c: F.col(f"_{c}") for c in every})
+    return out.withColumn("status", F.when(go & F.col("status").isin("draft", "failed"), "parsed").otherwise(F.col("status"))).drop("_found", *[f"_{c}" for c in every])
 
 
 def merge_incoming(local: DataFrame, remote: DataFrame, fields: Sequence[str]) -> DataFrame:

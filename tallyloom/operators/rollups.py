@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.dates import month_key
 from tallyloom.functions.money import round_half_up
+from tallyloom.operators.filters import dated
 
 UNKNOWN_MONTH, UNKNOWN_SHOP, OTHER = "okänt", "Okänd butik", "Övrigt"
 
@@ -43,11 +46,14 @@ def named(totals: DataFrame, categories: DataFrame) -> DataFrame:
 
 
 def month_to_date(receipts: DataFrame, as_of: str) -> DataFrame:
-    return receipts.where((F.substring("purchased_at", 1, 10) >= as_of[:8] + "01") & (F.substring("purchased_at", 1, 10) <= as_of))
+    return dated(receipts, as_of[:8] + "01", as_of)
 
 
 def compared(receipts: DataFrame, as_of: str) -> DataFrame:
-    """Spending of the month so far, of the month before up to the same day, and what lies between."""
+    """Spending of the month so far, of the month before up to the same day, and what lies between. Only receipts of
+    the two months are read."""
+    first = date.fromisoformat(as_of).replace(day=1)
+    receipts = dated(receipts, (first - timedelta(days=1)).replace(day=1).isoformat(), as_of)
     day = F.substring("purchased_at", 1, 10)
     end = F.lit(as_of).cast("date")
     start = F.date_format(F.add_months(F.trunc(end, "month"), -1), "yyyy-MM-dd")
@@ -103,11 +109,14 @@ def price_trend(purchases: DataFrame, key: str = "search_name", last: int = 9) -
     """For each product the first, last and average price, the change in percent, and the highest of the latest."""
     at = F.struct("purchased_at", "receipt_id", "line_no", "part_id", "price")
     rows = purchases.withColumn("price", price(F.lit(None).cast("double"), F.col("total_price").cast("double"), F.col("quantity")))
-    groups = rows.groupBy(key).agg(F.min_by("price", at).alias("first"), F.max_by("price", at).alias("last"), F.avg("price").alias("average"), F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(key).orderBy(at.desc())
-    latest = rows.select(key, "price", F.row_number().over(w).alias("_r")).where(F.col("_r") <= last).groupBy(key).agg(F.greatest(F.max("price"), F.lit(1.0)).alias("highest"))
+    ranked = rows.select(key, "price", at.alias("at"), F.row_number().over(w).alias("_r"))
+    groups = ranked.groupBy(key).agg(
+        F.min_by("price", "at").alias("first"), F.max_by("price", "at").alias("last"), F.avg("price").alias("average"), F.count(F.lit(1)).alias("n"),
+        F.greatest(F.max(F.when(F.col("_r") <= last, F.col("price"))), F.lit(1.0)).alias("highest"),
+    )
     change = F.when(F.col("first") == 0, 0.0).otherwise(F.floor((F.col("last") - F.col("first")) / F.col("first") * 100 + 0.5).cast("double"))
-    return groups.join(latest, key).withColumn("change", change)
+    return groups.withColumn("change", change)
 
 
 def best_of_key(df: DataFrame, key: str, score: Column, order: list[Column]) -> DataFrame:

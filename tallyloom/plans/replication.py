@@ -55,17 +55,40 @@ def push_counts(d: Domain) -> DataFrame:
     return _outcomes(d).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("push_validate", "SELECT rev, CASE WHEN kind NOT IN ('view', 'click', 'purchase') THEN 'kind' WHEN rev % 7 = 0 THEN 'id' WHEN rev % 11 = 0 THEN 'meta' WHEN rev % 13 = 0 THEN 'size' END AS reason FROM changes")
+@query("push_validate", "SELECT rev, CASE WHEN kind NOT IN ('view', 'click', 'purchase') THEN 'kind' WHEN rev % 7 = 0 THEN 'id' WHEN rev % 11 = 0 THEN 'meta' WHEN kind = 'click' AND id % 3 <> 0 THEN 'secret' WHEN kind = 'click' AND rev % 5 = 0 THEN 'value' WHEN rev % 13 = 0 THEN 'size' END AS reason FROM changes")
 def push_validate(d: Domain) -> DataFrame:
     r = F.col("rev")
     record = F.when(r % 7 == 0, F.repeat(F.lit("x"), 129)).otherwise(F.col("id").cast("string"))
     payload = F.when(r % 13 == 0, F.repeat(F.lit("x"), replicate.PAYLOAD_MOST + 1)).otherwise(F.col("payload"))
-    return d.changes.select("rev", replicate.rejected(F.col("kind"), record, F.when(r % 11 != 0, F.col("updated_at")), F.col("deleted_at"), payload, ("view", "click", "purchase")).alias("reason"))
+    record = F.when((F.col("kind") == "click") & (r % 7 != 0), F.when(F.col("id") % 3 == 0, "apiKey").otherwise("other")).otherwise(record)
+    kind = F.replace("kind", F.lit("click"), F.lit("secrets"))
+    value = F.repeat(F.lit("x"), F.when(r % 5 == 0, replicate.SECRET_MOST + 1).otherwise(8))
+    return d.changes.select("rev", replicate.rejected(kind, record, F.when(r % 11 != 0, F.col("updated_at")), F.col("deleted_at"), payload, ("view", "secrets", "purchase"), ("apiKey",), value).alias("reason"))
 
 
-@query("assign_rev", "SELECT rev, 100 + row_number() OVER (ORDER BY kind, rev) AS new_rev FROM changes")
+_AS_KINDS = {"signup": "companies", "purchase": "receipts", "click": "items", "view": "categories", "error": "tags"}
+
+
+@query("assign_rev", """, named AS (SELECT rev, CASE kind WHEN 'signup' THEN 1 WHEN 'purchase' THEN 2 WHEN 'click' THEN 3 WHEN 'view' THEN 4 WHEN 'error' THEN 5 END AS place FROM changes)
+SELECT rev, 100 + row_number() OVER (ORDER BY place NULLS LAST, rev) AS new_rev FROM named""")
 def assign_rev(d: Domain) -> DataFrame:
-    return replicate.revisions(d.changes, 100, [F.col("rev")], split=F.floor(F.col("rev") / 1000)).select("rev", "new_rev")
+    """Event types stand for kinds, whose order is companies, receipts, items, categories, tags."""
+    name = F.create_map(*[F.lit(x) for kv in _AS_KINDS.items() for x in kv])
+    changes = d.changes.withColumn("kind", F.coalesce(F.try_element_at(name, F.col("kind")), F.lit("other")))
+    return replicate.revisions(changes, 100, "rev", rows=2000).select("rev", "new_rev")
+
+
+@query("server_write", """, named AS (SELECT rev AS seq, CASE kind WHEN 'purchase' THEN 'receipts' ELSE 'items' END AS kind, id FROM changes WHERE value > 50)
+SELECT kind, id, 7000 + row_number() OVER (ORDER BY kind = 'items', seq) AS rev, 'server' AS device FROM named""")
+def server_write(d: Domain) -> DataFrame:
+    rows = d.changes.where("value > 50").withColumnRenamed("rev", "seq").withColumn("kind", F.when(F.col("kind") == "purchase", "receipts").otherwise("items"))
+    log = d.changes.withColumn("device", F.lit(None).cast("string")).drop("value")
+    return replicate.written_by_server(log, rows.drop("value"), 7000).select("kind", "id", "rev", "device")
+
+
+@query("page_cursor", ", p AS (SELECT rev FROM changes WHERE rev > 123 ORDER BY rev LIMIT 500) SELECT rev, (SELECT max(rev) FROM p) AS cursor, (SELECT max(rev) FROM changes) > (SELECT max(rev) FROM p) AS has_more FROM p")
+def page_cursor(d: Domain) -> DataFrame:
+    return replicate.page_with_cursor(d.changes, 123, 500).select("rev", "cursor", "has_more")
 
 
 @query("ack_push", ", w AS (SELECT kind, id, max(updated_at) AS updated_at FROM changes GROUP BY 1, 2) SELECT kind, id, CASE WHEN id % 3 <> 0 AND id % 2 = 0 THEN 0 ELSE 1 END AS dirty FROM w")
@@ -76,11 +99,11 @@ def ack_push(d: Domain) -> DataFrame:
     return replicate.acknowledge(snapshot, now, results).select("kind", "id", "dirty")
 
 
-@query("apply_remote", """, l AS (SELECT kind, id, max(updated_at) AS u FROM changes WHERE rev % 3 = 0 GROUP BY 1, 2), r AS (SELECT kind, id, max(updated_at) AS u FROM changes WHERE rev % 3 = 1 GROUP BY 1, 2)
-SELECT coalesce(l.kind, r.kind) AS kind, coalesce(l.id, r.id) AS id, CASE WHEN r.id IS NULL THEN 'local' WHEN l.id IS NULL OR l.id % 2 = 0 OR r.u > l.u THEN 'remote' ELSE 'local' END AS chosen FROM l FULL JOIN r ON l.kind = r.kind AND l.id = r.id""")
+@query("apply_remote", """, l AS (SELECT replace(kind, 'purchase', 'receipts') AS kind, id, max(updated_at) AS u FROM changes WHERE rev % 3 = 0 GROUP BY 1, 2), r AS (SELECT replace(kind, 'purchase', 'receipts') AS kind, id, max(updated_at) AS u FROM changes WHERE rev % 3 = 1 GROUP BY 1, 2)
+SELECT coalesce(l.kind, r.kind) AS kind, coalesce(l.id, r.id) AS id, CASE WHEN r.id IS NULL THEN 'local' WHEN l.id IS NULL OR l.id % 2 = 0 THEN 'remote' WHEN l.kind = 'receipts' AND r.id % 5 = 1 THEN 'merge' WHEN r.u > l.u THEN 'remote' ELSE 'keep' END AS chosen FROM l FULL JOIN r ON l.kind = r.kind AND l.id = r.id""")
 def apply_remote(d: Domain) -> DataFrame:
-    side = lambda n: d.changes.where(F.col("rev") % 3 == n).groupBy("kind", "id").agg(F.max("updated_at").alias("updated_at")).select("*", F.lit(0).cast("bigint").alias("deleted_at"), F.lit("").alias("payload"), (F.col("id") % 2).alias("dirty"))
-    return replicate.apply_remote(side(0), side(1))
+    side = lambda n: d.changes.where(F.col("rev") % 3 == n).groupBy("kind", "id").agg(F.max("updated_at").alias("updated_at")).select("*", F.lit(0).cast("bigint").alias("deleted_at"), F.lit("").alias("payload"), (F.col("id") % 2).alias("dirty")).withColumn("kind", F.replace("kind", F.lit("purchase"), F.lit("receipts")))
+    return replicate.apply_remote(side(0), side(1).withColumn("machine", F.col("id") % 5 == 1))
 
 
 @query("sync_status", "SELECT user_id AS id, max(event_id) % 2 = 0 OR max(event_id) > 9000 AS diverged, CASE WHEN max(event_id) % 2 = 0 OR max(event_id) > 9000 THEN 0 ELSE max(event_id) END AS next FROM events GROUP BY 1", plain=True)

@@ -104,9 +104,9 @@ def needs_review(d: Domain) -> DataFrame:
     return _receipts(d, ReceiptFilter(review=True))
 
 
-@query("receipt_search", _selected("(lower(concat_ws(' ', merchant, city)) LIKE '%000%' AND lower(concat_ws(' ', merchant, city)) LIKE '%nation%') OR id IN (SELECT receipt_id FROM items WHERE search_name LIKE '%000%' OR search_name LIKE '%nation%')"))
+@query("receipt_search", _selected("(lower(concat_ws(' ', merchant, city)) LIKE '%77%' AND lower(concat_ws(' ', merchant, city)) LIKE '%nation 7%' OR lower(concat_ws(' ', merchant, city)) LIKE '%77%' AND lower(concat_ws(' ', merchant, city)) LIKE '%gear%') OR id IN (SELECT receipt_id FROM items WHERE search_name LIKE '%77%' OR search_name LIKE '%red gear%')"))
 def receipt_search(d: Domain) -> DataFrame:
-    return _receipts(d, ReceiptFilter(query="000 nation"))
+    return _receipts(d, ReceiptFilter(query='77 "red gear"'))
 
 
 @query("this_month", _selected("purchased_at BETWEEN '1997-05-01' AND '1997-05-20'"))
@@ -151,27 +151,21 @@ def scope_filter(d: Domain) -> DataFrame:
     return d.items.where(~F.col("category_id").startswith("STANDARD")).select(F.col("category_id").alias("id")).distinct()
 
 
-@query("receipts_sorted", "SELECT id, row_number() OVER (ORDER BY total DESC, id) AS place FROM live ORDER BY total DESC, id LIMIT 300")
+@query("receipts_sorted", "SELECT id, row_number() OVER (ORDER BY total DESC, id) AS place FROM live")
 def receipts_sorted(d: Domain) -> DataFrame:
-    return _placed(d.live.orderBy(*filters.receipt_order("total", True)).limit(300), filters.receipt_order("total", True), "id")
+    return filters.places(d.live, filters.receipt_order("total", True), -F.floor(F.coalesce("total", F.lit(0)) / 1000)).select("id", "place")
 
 
-@query("receipts_by_date", "SELECT id, row_number() OVER (ORDER BY purchased_at DESC, id) AS place FROM live ORDER BY purchased_at DESC, id LIMIT 300")
+@query("receipts_by_date", "SELECT id, row_number() OVER (ORDER BY purchased_at DESC, id) AS place FROM live")
 def receipts_by_date(d: Domain) -> DataFrame:
-    return _placed(d.live.orderBy(*filters.receipt_order("date", True)).limit(300), filters.receipt_order("date", True), "id")
+    return filters.places(d.live, filters.receipt_order("date", True), filters.month_step(F.col("purchased_at"), True)).select("id", "place")
 
 
-def _placed(few: DataFrame, order: list, *keys: str) -> DataFrame:
-    """A page's rows with their places; the page has been cut to size before."""
-    from pyspark.sql import Window
-
-    return few.select(*keys, F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("place"))
-
-
-@query("purchases_sorted", "SELECT receipt_id, line_no, part_id, row_number() OVER (ORDER BY purchased_at, line_no, receipt_id, part_id, total_price) AS place FROM bought ORDER BY place LIMIT 300")
+@query("purchases_sorted", "SELECT receipt_id, line_no, part_id, row_number() OVER (ORDER BY purchased_at, line_no, receipt_id, part_id, total_price) AS place FROM bought")
 def purchases_sorted(d: Domain) -> DataFrame:
     order = filters.purchase_order("date", False)
-    return _placed(filters.purchases(d.items, d.receipts).orderBy(*order).limit(300), order, "receipt_id", "line_no", "part_id")
+    rows = filters.places(filters.purchases(d.items, d.receipts), order, filters.month_step(F.col("purchased_at"), False))
+    return rows.select("receipt_id", "line_no", "part_id", "place")
 
 
 @query("purchases_page", "SELECT receipt_id, line_no, part_id, CAST(total_price AS DOUBLE) AS total_price FROM bought ORDER BY bought.total_price DESC, receipt_id, line_no, part_id LIMIT 450")
@@ -206,16 +200,16 @@ def tag_counts(d: Domain) -> DataFrame:
 
 @query(
     "set_tags_diff",
-    """, wanted AS (SELECT DISTINCT receipt_id, 'Brand#' || (10 + receipt_id % 30) AS tag_id FROM items WHERE receipt_id % 3 = 0),
-have AS (SELECT receipt_id, tag_id, CASE WHEN receipt_id % 5 = 0 THEN 1 ELSE 0 END AS deleted_at FROM receipt_tags WHERE receipt_id % 3 = 0)
+    """, wanted AS (SELECT DISTINCT receipt_id, 'Brand#' || (10 + receipt_id % 30) AS tag_id FROM items ),
+have AS (SELECT receipt_id, tag_id, CASE WHEN receipt_id % 5 = 0 THEN 1 ELSE 0 END AS deleted_at FROM receipt_tags)
 SELECT * FROM (SELECT coalesce(w.receipt_id, h.receipt_id) AS receipt_id, coalesce(w.tag_id, h.tag_id) AS tag_id,
   CASE WHEN w.tag_id IS NOT NULL AND h.tag_id IS NULL THEN 'add' WHEN w.tag_id IS NOT NULL AND h.deleted_at <> 0 THEN 'revive'
        WHEN w.tag_id IS NOT NULL THEN 'keep' WHEN h.deleted_at = 0 THEN 'remove' END AS action
 FROM wanted w FULL JOIN have h ON w.receipt_id = h.receipt_id AND w.tag_id = h.tag_id) WHERE action IS NOT NULL""",
 )
 def set_tags_diff(d: Domain) -> DataFrame:
-    wanted = d.items.where("receipt_id % 3 = 0").select("receipt_id", F.concat(F.lit("Brand#"), (10 + F.col("receipt_id") % 30).cast("string")).alias("tag_id")).distinct()
-    have = d.receipt_tags.where("receipt_id % 3 = 0").withColumn("deleted_at", F.when(F.col("receipt_id") % 5 == 0, 1).otherwise(0))
+    wanted = d.items.select("receipt_id", F.concat(F.lit("Brand#"), (10 + F.col("receipt_id") % 30).cast("string")).alias("tag_id")).distinct()
+    have = d.receipt_tags.withColumn("deleted_at", F.when(F.col("receipt_id") % 5 == 0, 1).otherwise(0))
     return store.tag_changes(wanted, have)
 
 
@@ -248,9 +242,9 @@ def blob_size(d: Domain) -> DataFrame:
     return store.size(d.blobs)
 
 
-@query("orphan_companies", "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)", plain=True)
+@query("orphan_companies", "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 200000)", plain=True)
 def orphan_companies(d: Domain) -> DataFrame:
-    return store.unreferenced(d.table("customer").select(F.col("c_custkey").alias("id")), store.referenced(d.table("orders"), ("o_custkey",)))
+    return store.unreferenced(d.table("customer").select(F.col("c_custkey").alias("id")), store.referenced(d.table("orders").where("o_orderstatus = 'P' and o_totalprice > 200000"), ("o_custkey",)))
 
 
 @query(

@@ -123,10 +123,10 @@ def price_trend(d: Domain) -> DataFrame:
     return rollups.price_trend(_purchases(d)).withColumn("average", F.round("average", 6))
 
 
-@query("best_candidate", "SELECT search_name, max(CAST(total_price AS DOUBLE)) AS total_price FROM bought GROUP BY 1")
+@query("best_candidate", "SELECT search_name, CAST(total_price AS DOUBLE) AS total_price, receipt_id, line_no, part_id FROM (SELECT *, row_number() OVER (PARTITION BY search_name ORDER BY bought.total_price DESC, receipt_id, line_no, part_id) AS r FROM bought) WHERE r = 1")
 def best_candidate(d: Domain) -> DataFrame:
     best = rollups.best_of_key(_purchases(d), "search_name", F.col("total_price"), [F.col("receipt_id"), F.col("line_no"), F.col("part_id")])
-    return best.select("search_name", F.col("total_price").cast("double").alias("total_price"))
+    return best.select("search_name", F.col("total_price").cast("double").alias("total_price"), "receipt_id", "line_no", "part_id")
 
 
 @query("line_totals", "SELECT receipt_id, CAST(sum(total_price) AS DOUBLE) AS lines_total, CAST(sum(CASE WHEN NOT is_discount AND NOT is_deposit THEN total_price ELSE 0 END) AS DOUBLE) AS items_total, count(*) AS n FROM items GROUP BY 1")
@@ -158,9 +158,11 @@ def reconcile(d: Domain) -> DataFrame:
 
 _CHECKED = """, s AS (SELECT receipt_id, sum(total_price) AS lines_total, count(*) AS n_items FROM items GROUP BY 1),
 v AS (SELECT receipt_id, round(l_tax * 100, 2) AS rate, CAST(sum(total_price) AS DOUBLE) AS net FROM (SELECT *, vat_rate / 100 AS l_tax FROM items) GROUP BY 1, 2),
-c AS (SELECT id, CASE WHEN id % 13 <> 0 THEN merchant END AS merchant, CASE WHEN id % 17 <> 0 THEN purchased_at END AS purchased_at,
+g AS (SELECT receipt_id, sum(net + net * rate / 100 + CASE WHEN receipt_id % 29 = 0 THEN 2.0 ELSE 0 END) AS gross, bool_or(rate > 0) AS taxed FROM v GROUP BY 1),
+c AS (SELECT id, gross, taxed, CASE WHEN id % 31 = 0 THEN CAST(total AS DOUBLE) - CAST(lines_total AS DOUBLE) END AS rounding, CASE WHEN id % 37 = 0 THEN CAST(lines_total AS DOUBLE) - CAST(total AS DOUBLE) END AS discount,
+  CASE WHEN id % 13 <> 0 THEN merchant END AS merchant, CASE WHEN id % 17 <> 0 THEN purchased_at END AS purchased_at,
   CASE WHEN id % 19 = 0 THEN NULL WHEN id % 23 = 0 THEN -CAST(total AS DOUBLE) ELSE CAST(total AS DOUBLE) END AS total, CAST(lines_total AS DOUBLE) AS lines_total, coalesce(n_items, 0) AS n_items,
-  EXISTS (SELECT 1 FROM v WHERE v.receipt_id = id AND rate NOT IN (0, 6, 12, 25)) AS odd FROM live LEFT JOIN s ON id = s.receipt_id),
+  EXISTS (SELECT 1 FROM v WHERE v.receipt_id = id AND rate NOT IN (0, 6, 12, 25)) AS odd FROM live LEFT JOIN s ON id = s.receipt_id LEFT JOIN g ON id = g.receipt_id),
 found AS (
 SELECT id, 'merchant-missing' AS code, 'warning' AS severity FROM c WHERE merchant IS NULL
 UNION ALL SELECT id, 'date-missing', 'warning' FROM c WHERE purchased_at IS NULL
@@ -168,7 +170,9 @@ UNION ALL SELECT id, 'date-future', 'warning' FROM c WHERE purchased_at > '2000-
 UNION ALL SELECT id, 'total-missing', 'error' FROM c WHERE total IS NULL
 UNION ALL SELECT id, 'total-negative', 'info' FROM c WHERE total < 0
 UNION ALL SELECT id, 'items-missing', 'warning' FROM c WHERE n_items = 0
-UNION ALL SELECT id, 'total-mismatch', 'warning' FROM c WHERE n_items > 0 AND abs(total - lines_total) > 0.51
+UNION ALL SELECT id, 'total-mismatch', 'warning' FROM c WHERE n_items > 0 AND abs(total - (lines_total + coalesce(rounding, 0) - coalesce(discount, 0))) > 0.51
+UNION ALL SELECT id, 'vat-mismatch', 'warning' FROM c WHERE gross > 0 AND abs(gross - total) > 0.51
+UNION ALL SELECT id, 'vat-line-mismatch', 'info' FROM c WHERE taxed AND id % 29 = 0
 UNION ALL SELECT id, 'vat-rate-unusual', 'info' FROM c WHERE odd)
 """
 
@@ -176,15 +180,15 @@ UNION ALL SELECT id, 'vat-rate-unusual', 'info' FROM c WHERE odd)
 def _issues(d: Domain) -> DataFrame:
     i = F.col("id")
     sums = quality.line_totals(d.items).select("receipt_id", "lines_total", F.col("n").alias("n_items"))
-    rate = F.round("vat_rate", 2)
-    vat = d.items.groupBy("receipt_id").agg(F.collect_set(rate).alias("rates"))
-    none = F.lit(None).cast("double")
-    lines = F.transform("rates", lambda r: F.struct(r.alias("rate"), none.alias("net"), none.alias("vat"), none.alias("gross")))
+    by_rate = d.items.groupBy("receipt_id", F.round("vat_rate", 2).alias("rate")).agg(F.sum("total_price").cast("double").alias("net"))
+    vat = by_rate.withColumn("vat", F.col("net") * F.col("rate") / 100 + F.when(F.col("receipt_id") % 29 == 0, 2.0).otherwise(0.0))
+    vat = vat.groupBy("receipt_id").agg(F.collect_list(F.struct("rate", "net", "vat", (F.col("net") + F.col("vat")).alias("gross"))).alias("vat_lines"))
+    raw, sold = F.col("total").cast("double"), F.col("lines_total").cast("double")
     total = F.col("total").cast("double")
     df = d.live.join(sums, i == F.col("receipt_id"), "left").drop("receipt_id").join(vat, i == F.col("receipt_id"), "left").select(
         "id", F.when(i % 13 != 0, F.col("merchant")).alias("merchant"), F.when(i % 17 != 0, F.col("purchased_at")).alias("purchased_at"),
-        F.when(i % 19 == 0, None).when(i % 23 == 0, -total).otherwise(total).alias("total"), none.alias("rounding"), none.alias("discount"),
-        F.col("lines_total").cast("double").alias("lines_total"), F.coalesce("n_items", F.lit(0)).alias("n_items"), lines.alias("vat_lines"),
+        F.when(i % 19 == 0, None).when(i % 23 == 0, -total).otherwise(total).alias("total"), F.when(i % 31 == 0, raw - sold).alias("rounding"), F.when(i % 37 == 0, sold - raw).alias("discount"),
+        F.col("lines_total").cast("double").alias("lines_total"), F.coalesce("n_items", F.lit(0)).alias("n_items"), "vat_lines",
     )
     return quality.issues(df, "2000-01-01")
 

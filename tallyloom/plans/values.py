@@ -31,27 +31,28 @@ def _pad(c, n: int) -> F.Column:
     return F.lpad(_s(c), n, "0")
 
 
-@query("round_money", "SELECT o_orderkey AS id, floor(o_totalprice / 7 * 100 + 0.5) / 100 AS up, floor(-o_totalprice / 7 * 100 + 0.5) / 100 AS down FROM orders", plain=True)
+@query("round_money", "SELECT o_orderkey AS id, floor((o_totalprice / 7 + 2.220446049250313e-16) * 100 + 0.5) / 100 AS up, floor((-o_totalprice / 7 + 2.220446049250313e-16) * 100 + 0.5) / 100 AS down FROM orders", plain=True)
 def round_money(d: Domain) -> DataFrame:
     v = F.col("o_totalprice") / 7
     return d.table("orders").select(_k().alias("id"), money.round_half_up(v).alias("up"), money.round_half_up(-F.col("o_totalprice") / 7).alias("down"))
 
 
 @query("parse_amount", """SELECT o_orderkey AS id, CASE o_orderkey % 7
-  WHEN 0 THEN CAST(o_orderkey * 100 + o_custkey % 100 AS DOUBLE) / 100 WHEN 1 THEN CAST(1000000 + (o_orderkey % 1000) * 1000 + 0 + o_custkey % 1000 AS DOUBLE) / 1000 * 1000 / 1000
+  WHEN 0 THEN CAST(o_orderkey * 100 + o_custkey % 100 AS DOUBLE) / 100 WHEN 1 THEN CAST(1000000 + (o_orderkey % 1000) * 1000 + o_custkey % 1000 AS DOUBLE)
   WHEN 2 THEN -CAST(o_orderkey * 100 + o_custkey % 100 AS DOUBLE) / 100 WHEN 3 THEN -CAST(o_orderkey * 100 + o_custkey % 100 AS DOUBLE) / 100
-  WHEN 4 THEN CAST(o_orderkey AS DOUBLE) WHEN 5 THEN CAST(1000 + o_orderkey % 1000 AS DOUBLE) END AS amount FROM orders WHERE o_orderkey % 7 <> 1""", plain=True)
+  WHEN 4 THEN CAST(o_orderkey AS DOUBLE) WHEN 5 THEN CAST(1000 + o_orderkey % 1000 AS DOUBLE) END AS amount FROM orders""", plain=True)
 def parse_amount(d: Domain) -> DataFrame:
     cents = _pad(_c() % 100, 2)
     printed = (
         F.when(_k() % 7 == 0, F.concat(_s(_k()), F.lit(","), cents, F.lit(" kr")))
+        .when(_k() % 7 == 1, F.concat(F.lit("1."), _pad(_k() % 1000, 3), F.lit("."), _pad(_c() % 1000, 3)))
         .when(_k() % 7 == 2, F.concat(_s(_k()), F.lit("."), cents, F.lit("-")))
         .when(_k() % 7 == 3, F.concat(F.lit("("), _s(_k()), F.lit(","), cents, F.lit(")")))
         .when(_k() % 7 == 4, F.concat(_s(_k()), F.lit(":-")))
         .when(_k() % 7 == 5, F.concat(F.lit("1 "), _pad(_k() % 1000, 3), F.lit(" SEK")))
         .otherwise("moms")
     )
-    return d.table("orders").where(_k() % 7 != 1).select(_k().alias("id"), money.parse_amount(printed).alias("amount"))
+    return d.table("orders").select(_k().alias("id"), money.parse_amount(printed).alias("amount"))
 
 
 @query("parse_grouped", "SELECT o_orderkey AS id, CAST((1000 + o_orderkey % 1000) * 100 + o_custkey % 100 AS DOUBLE) / 100 AS both, CAST(1000 + o_orderkey % 1000 AS DOUBLE) AS lone FROM orders", plain=True)
@@ -196,10 +197,10 @@ def relative_time(d: Domain) -> DataFrame:
     return d.table("orders").select(_k().alias("id"), dates.relative_time((_k() * 97 % 4000000).cast("double")).alias("ago"))
 
 
-@query("format_money", "SELECT o_orderkey AS id, CASE WHEN o_orderkey >= 1000 THEN CAST(o_orderkey // 1000 AS VARCHAR) || chr(160) || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') ELSE CAST(o_orderkey AS VARCHAR) END || ',' || lpad(CAST(o_custkey % 100 AS VARCHAR), 2, '0') || chr(160) || 'kr' AS money FROM orders WHERE o_orderkey < 1000000", plain=True)
+@query("format_money", "SELECT o_orderkey AS id, replace(format('{:,}', o_orderkey * 1009), ',', chr(160)) || ',' || lpad(CAST(o_custkey % 100 AS VARCHAR), 2, '0') || chr(160) || 'kr' AS money FROM orders", plain=True)
 def format_money(d: Domain) -> DataFrame:
-    v = (_k() * 100 + _c() % 100).cast("decimal(18,0)") / 100
-    return d.table("orders").where(_k() < 1000000).select(_k().alias("id"), display.format_money(v.cast("decimal(18,2)")).alias("money"))
+    v = (_k() * 100900 + _c() % 100).cast("decimal(18,0)") / 100
+    return d.table("orders").select(_k().alias("id"), display.format_money(v.cast("decimal(18,2)")).alias("money"))
 
 
 @query("format_bytes", "WITH t AS (SELECT o_orderkey AS id, o_orderkey * o_custkey * 37 % 50000000 AS n FROM orders) SELECT id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN CAST(CAST(floor(n / 1024.0 + 0.5) AS BIGINT) AS VARCHAR) || ' kB' ELSE replace(CAST(floor(n * 10 / 1048576.0 + 0.5) / 10 AS VARCHAR), '.', ',') || ' MB' END AS size FROM t", plain=True)
@@ -256,18 +257,38 @@ def domain_candidates(d: Domain) -> DataFrame:
     return names.name_candidates(d.table("pages").select(F.col("page_id").alias("id"), F.col("url").alias("text")))
 
 
-@query("org_numbers", None)
+_REAL = "CAST(5560000000 + (o_orderkey * {0} + o_custkey * 104729) % 40000000 AS VARCHAR)"
+
+
+@query("org_numbers", f"""WITH t AS (SELECT o_orderkey AS id, {_REAL.format(7919)} AS n, true AS labelled FROM orders UNION ALL SELECT o_orderkey, {_REAL.format(6841)}, o_orderkey % 2 = 0 FROM orders),
+c AS (SELECT id, n, bool_or(labelled) AS labelled FROM t WHERE CAST(substr(n, 3, 2) AS INTEGER) >= 20 AND {_LUHN} = 0 GROUP BY 1, 2)
+SELECT id, n AS digits, labelled, CASE WHEN labelled THEN 1.0 ELSE 0.75 END AS confidence FROM c""", plain=True)
 def org_numbers(d: Domain) -> DataFrame:
-    return names.org_numbers(d.table("documents").select(F.col("doc_id").alias("id"), "text"))
+    """Two numbers in one line; the second's label is in reach of every other receipt only."""
+    number = lambda m: (F.lit(5560000000) + (_k() * m + _c() * 104729) % 40000000).cast("string")
+    dashed = lambda n: F.concat(F.substring(n, 1, 6), F.lit("-"), F.substring(n, 7, 4))
+    between = F.when(_k() % 2 == 0, ", moms ").otherwise(F.concat(F.lit(", "), F.repeat(F.lit("x "), 25)))
+    texts = d.table("orders").select(_k().alias("id"), F.concat(F.lit("Org.nr "), dashed(number(7919)), between, dashed(number(6841))).alias("text"))
+    return names.org_numbers(texts).select("id", "digits", "labelled", F.round("confidence", 6).alias("confidence"))
 
 
-@query("purchase_dates", None)
+@query("purchase_dates", """SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') || 'T09:05:00' AS value, CASE WHEN CAST(o_orderdate AS DATE) > DATE '1999-06-01' THEN 0.4 WHEN date_diff('day', CAST(o_orderdate AS DATE), DATE '1999-06-01') <= 400 THEN 1.0 ELSE 0.85 END AS confidence FROM orders""", plain=True)
 def purchase_dates(d: Domain) -> DataFrame:
-    return names.purchase_dates(d.table("documents").select(F.col("doc_id").alias("id"), "text"), "2026-09-13")
+    texts = d.table("orders").select(_k().alias("id"), F.concat(F.lit("Butiken\nDatum "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" 9:05\nBäst före 2030-01-01\nsumma 12,50")).alias("text"))
+    return names.purchase_dates(texts, "1999-06-01").select("id", "value", F.round("confidence", 6).alias("confidence"))
+
+
+@query("round_small", "SELECT o_orderkey AS id, CAST(o_orderkey % 200 + 1 AS DOUBLE) / 100 AS up FROM orders", plain=True)
+def round_small(d: Domain) -> DataFrame:
+    """Halves of a hundredth, many of which are stored a little short."""
+    return d.table("orders").select(_k().alias("id"), money.round_half_up((_k() % 200 * 2 + 1).cast("double") / 200).alias("up"))
 
 
-@query("company_matches", None)
+@query("company_matches", "SELECT s_suppkey AS id, s_suppkey AS company_id, true AS confirmed FROM supplier", plain=True)
 def company_matches(d: Domain) -> DataFrame:
-    companies = d.table("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), (F.col("n_nationkey") % 4 != 0).alias("active"))
-    texts = d.table("supplier").join(d.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), F.concat_ws(" ", F.lit("Tack"), "n_name", "s_name").alias("text"))
-    return names.match_companies(texts, companies)
+    """Invented names, printed with look-alikes in the place of two of their letters."""
+    key = F.col("s_suppkey")
+    name = F.translate(F.substring(F.md5(key.cast("string")), 1, 14), "0123456789", "ghijklmnop")
+    suppliers = d.table("supplier").select(key.alias("id"), name.alias("name"), (key % 4 != 0).alias("active"))
+    texts = suppliers.select("id", F.concat(F.lit("Tack för besöket hos "), F.translate("name", "ok", "0r"), F.lit("! Summa 12,50 kr")).alias("text"))
+    return names.match_companies(texts, suppliers.withColumn("name", F.concat("name", F.lit(" Handel AB")))).select("id", "company_id", "confirmed")

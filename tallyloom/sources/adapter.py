@@ -24,7 +24,8 @@ class Domain:
 
     @cached_property
     def receipts(self) -> DataFrame:
-        orders, customer, nation = self.table("orders"), self.table("customer"), self.table("nation")
+        # Keys made distinct let Catalyst drop a left join whose columns nobody asks for.
+        orders, customer, nation = self.table("orders"), self.table("customer").dropDuplicates(["c_custkey"]), self.table("nation").dropDuplicates(["n_nationkey"])
         status = F.create_map(*[F.lit(x) for kv in STATUS.items() for x in kv])
         return (
             orders.join(customer, orders["o_custkey"] == customer["c_custkey"], "left")
@@ -32,6 +33,7 @@ class Domain:
             .select(
                 F.col("o_orderkey").alias("id"),
                 F.date_format("o_orderdate", "yyyy-MM-dd").alias("purchased_at"),
+                F.col("o_orderdate").alias("purchased_on"),
                 F.col("o_totalprice").cast("decimal(18,2)").alias("total"),
                 status[F.col("o_orderstatus")].alias("status"),
                 F.col("c_name").alias("merchant"),
@@ -51,7 +53,7 @@ class Domain:
 
     @cached_property
     def items(self) -> DataFrame:
-        line, part = self.table("lineitem"), self.table("part")
+        line, part = self.table("lineitem"), self.table("part").dropDuplicates(["p_partkey"])
         price = F.col("l_extendedprice").cast("decimal(12,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))
         return line.join(part, line["l_partkey"] == part["p_partkey"], "left").select(
             F.col("l_orderkey").alias("receipt_id"),

@@ -156,7 +156,7 @@ def test_push_and_revisions(spark):
     incoming = spark.createDataFrame([("r", 1, 5, 0, 9, "a"), ("r", 1, 6, 0, 8, "a"), ("s", 2, 1, 0, 7, "")], CHANGES)
     out = {r["rev"]: r["outcome"] for r in replicate.outcomes(incoming, stored).collect()}
     assert out == {9: "stale", 8: "applied", 7: "applied"}  # an exact tie keeps what is stored
-    revs = sorted(r["new_rev"] for r in replicate.revisions(incoming, 100, [F.col("rev")]).collect())
+    revs = sorted(r["new_rev"] for r in replicate.revisions(incoming, 100, "rev").collect())
     assert revs == [101, 102, 103]
 
 
