@@ -15,6 +15,35 @@ def format_money(v: Column, currency: str = "kr") -> Column:
     return F.when(v.isNull(), "–").otherwise(F.concat(text, F.lit(f"{BLANK}{currency}")))
 
 
+def format_amount(v: Column) -> Column:
+    """`1 234,50` for tables, without a currency; null and what is no number are a dash."""
+    text = F.translate(F.format_number(v, 2), ",.", f"{BLANK},")
+    return F.when(v.isNull() | F.isnan(v.cast("double")), "–").otherwise(text)
+
+
+def format_quantity(v: Column) -> Column:
+    """At most three decimals, without zeros at the end: `1`, `0,412`."""
+    text = F.translate(F.format_number(v, 3), ",.", f"{BLANK},")
+    return F.regexp_replace(text, ",?0+$", "")
+
+
+def format_date(at: Column) -> Column:
+    """The day of local date text; a dash if there is none."""
+    return F.when(F.coalesce(at, F.lit("")) == "", "–").otherwise(F.substring(at, 1, 10))
+
+
+def format_date_time(at: Column) -> Column:
+    """`2024-03-15 09:05`, or the day alone where no time is known."""
+    parts = F.split(at, "T")
+    time = F.coalesce(F.get(parts, F.lit(1)), F.lit(""))
+    return F.when(F.coalesce(at, F.lit("")) == "", "–").when(time == "", parts[0]).otherwise(F.concat_ws(" ", parts[0], F.substring(time, 1, 5)))
+
+
+def format_unit(unit: Column) -> Column:
+    """A unit as it stands behind a quantity; `other` is left out."""
+    return F.when(unit == "other", "").otherwise(unit)
+
+
 def format_bytes(n: Column) -> Column:
     """Bytes, or kB and MB with one decimal sign."""
     return (

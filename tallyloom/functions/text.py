@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,6 +71,58 @@ def nothing_to_null(text: Column) -> Column:
     return F.when((t != "") & ~t.rlike(NOTHING), t)
 
 
+#: Keys, without marks, whose values are never shown; further ones under secrets, and in a pairing request.
+SENSITIVE = (
+    "authorization", "cookie", "setcookie", "password", "apikey", "aiapikey", "apiverketapikey", "token", "accesstoken", "refreshtoken",
+    "devicetoken", "qrimage", "pairingpayload",
+)
+HIDDEN = "[redacted]"
+
+
+def _hidden(value: object, key: str, secret: bool, pairing: bool) -> object:
+    plain = re.sub("[^a-z0-9]", "", key.lower())
+    if plain in SENSITIVE or (plain == "value" and secret) or (plain == "code" and pairing):
+        return HIDDEN
+    if isinstance(value, dict):
+        return {k: _hidden(v, k, secret or plain == "secrets", pairing) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_hidden(v, "", secret or plain == "secrets", pairing) for v in value]
+    return value
+
+
+def redact_json(body: Column, path: Column) -> Column:
+    """JSON with the values of sensitive keys blanked at any depth; text that is no JSON stays as it is.
+
+    path is that of the request: under /secrets, and within a key of that name, value is sensitive too, and code is in
+    /auth/pair. Built-in expressions cannot go down to any depth, so this is an Arrow function.
+    """
+
+    def run(bodies: pd.Series, paths: pd.Series) -> pd.Series:
+        out = []
+        for b, p in zip(bodies, paths, strict=True):
+            try:
+                out.append(b if b is None else json.dumps(_hidden(json.loads(b), "", (p or "").startswith("/secrets"), (p or "").startswith("/auth/pair")), ensure_ascii=False, separators=(",", ":")))
+            except ValueError:
+                out.append(b)
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, "string")(body, path)
+
+
+def redact_url(url: Column) -> Column:
+    """Path and query of an address with the values of sensitive parameters and of code blanked."""
+    local = F.regexp_replace(F.regexp_replace(url, "^[a-z][a-z0-9+.-]*://[^/?#]*", ""), "#.*$", "")
+    path, query = F.regexp_extract(local, r"^[^?]*", 0), F.regexp_extract(local, r"\?(.*)$", 1)
+    plain = lambda p: F.regexp_replace(F.lower(F.split(p, "=")[0]), "[^a-z0-9]", "")
+    shown = F.transform(F.split(query, "&"), lambda p: F.when(plain(p).isin(*SENSITIVE, "code"), F.concat(F.split(p, "=")[0], F.lit("=%5Bredacted%5D"))).otherwise(p))
+    return F.concat(F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), F.array_join(shown, "&"))))
+
+
+def redact_headers(headers: Column) -> Column:
+    """A map of headers with the values of sensitive names blanked."""
+    return F.transform_values(headers, lambda k, v: F.when(F.regexp_replace(F.lower(k), "[^a-z0-9]", "").isin(*SENSITIVE), HIDDEN).otherwise(v))
+
+
 def redact(text: Column) -> Column:
     """Text with the values of sensitive keys, bearer tokens and query secrets blanked."""
     t = F.regexp_replace(text, r'(?i)("?(?:password|secret|token|authorization|api_?key)"?\s*[:=]\s*)("[^"]*"|[^\s,&}]+)', '$1"[redacted]"')

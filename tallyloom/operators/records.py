@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import search_name
@@ -61,6 +61,83 @@ def renamed(items: DataFrame, names: DataFrame, now: int) -> DataFrame:
     ).drop("_changed", "new_name")
 
 
+def added(items: DataFrame, new: DataFrame, now: int) -> DataFrame:
+    """items with the lines of new (receipt_id, id, name, ...), each behind the last line of its receipt, tombstoned
+    lines included. A missing name is `Ny rad`; columns that new lacks are null, quantity 1, unit st, total_price 0."""
+    last = items.groupBy("receipt_id").agg(F.max("line_no").alias("_last"))
+    place = F.row_number().over(Window.partitionBy("receipt_id").orderBy("id"))
+    name = F.coalesce(F.col("name"), F.lit("Ny rad")) if "name" in new.columns else F.lit("Ny rad")
+    out = new.withColumn("_k", place).join(last, "receipt_id", "left").withColumn("line_no", (F.coalesce("_last", F.lit(-1)) + F.col("_k")).cast("int")).withColumn("name", name)
+    for c, v in (("quantity", 1.0), ("unit", "st"), ("total_price", 0)):
+        if c in items.columns and c not in new.columns:
+            out = out.withColumn(c, F.lit(v).cast(items.schema[c].dataType))
+    out = touched(out.withColumn("search_name", search_name(F.col("name"))).withColumn("deleted_at", F.lit(0).cast("bigint")), now).drop("_k", "_last")
+    return items.unionByName(out, allowMissingColumns=True)
+
+
+def deleted(rows: DataFrame, ids: DataFrame, now: int, key: str = "id") -> DataFrame:
+    """rows with tombstones on those whose key is among ids (id)."""
+    gone = ids.select(F.col("id").alias(key), F.lit(True).alias("_gone")).distinct()
+    hit = F.coalesce("_gone", F.lit(False))
+    return rows.join(gone, key, "left").withColumns({"deleted_at": F.when(hit, F.lit(now).cast("bigint")).otherwise(F.col("deleted_at")), "updated_at": F.when(hit, F.lit(now).cast("bigint")).otherwise(F.col("updated_at")), "dirty": F.when(hit, 1).otherwise(F.col("dirty"))}).drop("_gone").select(*rows.columns)
+
+
+def delete_receipts(receipts: DataFrame, items: DataFrame, links: DataFrame, ids: DataFrame, now: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Receipts of ids with all their lines and tag links tombstoned at one time, by which a restore knows them."""
+    return deleted(receipts, ids, now), deleted(items, ids, now, "receipt_id"), deleted(links, ids, now, "receipt_id")
+
+
+def restore_receipts(receipts: DataFrame, items: DataFrame, links: DataFrame, ids: DataFrame, now: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Undoes delete_receipts: of lines and links only those come back that went with their receipt."""
+    back = receipts.join(ids.select("id").distinct(), "id", "left_semi").where("deleted_at <> 0").select(F.col("id").alias("_id"), F.col("deleted_at").alias("_at"))
+
+    def revived(rows: DataFrame, key: str) -> DataFrame:
+        joined = rows.join(back, F.col(key) == F.col("_id"), "left")
+        hit = F.coalesce(F.col("_at") == F.col("deleted_at"), F.lit(False))
+        return joined.withColumn("_hit", hit).withColumns({"deleted_at": F.when(F.col("_hit"), F.lit(0).cast("bigint")).otherwise(F.col("deleted_at")), "updated_at": F.when(F.col("_hit"), F.lit(now).cast("bigint")).otherwise(F.col("updated_at")), "dirty": F.when(F.col("_hit"), 1).otherwise(F.col("dirty"))}).select(*rows.columns)
+
+    return revived(receipts, "id"), revived(items, "receipt_id"), revived(links, "receipt_id")
+
+
+def item_counts(receipts: DataFrame, items: DataFrame) -> DataFrame:
+    """receipts with item_count set to their live lines, after lines came or went."""
+    n = items.where("deleted_at = 0").groupBy(F.col("receipt_id").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    return receipts.drop("item_count").join(n, "id", "left").withColumn("item_count", F.coalesce("_n", F.lit(0))).drop("_n")
+
+
+def dirty(tables: dict[str, DataFrame], most: int) -> DataFrame:
+    """(kind, id, updated_at, record) of changed rows, at most so many of each kind, the longest changed first; record
+    is the row as JSON."""
+    out = None
+    for kind, rows in tables.items():
+        some = rows.where("dirty = 1").orderBy("updated_at", "id").limit(most)
+        some = some.select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), "updated_at", F.to_json(F.struct(*sorted(rows.columns))).alias("record"))
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
+def kv_get(kv: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, value) for each wanted (key, fallback): the stored value, or the fallback where there is none."""
+    return wanted.join(kv.select("key", F.col("value").alias("_value")), "key", "left").select("key", F.coalesce("_value", "fallback").alias("value"))
+
+
+def kv_set(kv: DataFrame, new: DataFrame) -> DataFrame:
+    """kv with the values of new (key, value) put in or in place."""
+    return kv.join(new.select("key"), "key", "left_anti").unionByName(new.select("key", "value"))
+
+
+#: Keys that a wipe removes, whole or by their beginning; settings and the device's identity stay.
+WIPED_KEYS, WIPED_PREFIXES = ("categories:seeded",), ("sync:", "companies:")
+
+
+def wiped(tables: dict[str, DataFrame], kv: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """All tables empty, and kv without what belongs to the data."""
+    gone = F.col("key").isin(*WIPED_KEYS)
+    for p in WIPED_PREFIXES:
+        gone = gone | F.col("key").startswith(p)
+    return {name: rows.limit(0) for name, rows in tables.items()}, kv.where(~gone)
+
+
 def create_or_revive(tags: DataFrame, wanted: DataFrame) -> DataFrame:
     """(name, id, action) for each wanted name: a live tag of that name in any case is kept, a deleted one revived,
     and otherwise one is created with an id from its name."""

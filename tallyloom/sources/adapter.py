@@ -99,3 +99,16 @@ def decode(changes: DataFrame, schema: str, payload: str = "payload") -> DataFra
     """Change rows with their payload parsed; rows whose payload is malformed are left out."""
     parsed = changes.withColumn("record", F.from_json(payload, f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
     return parsed.where("record is not null and record._corrupt is null").withColumn("record", F.col("record").dropFields("_corrupt"))
+
+
+def read_lines(spark: SparkSession, path: str, schema: str, stream: bool = False) -> DataFrame:
+    """Line-delimited JSON as rows of schema, at once or as a stream. A line that is no JSON has its text in _corrupt
+    and nulls elsewhere; empty lines are left out, and a last line without an end counts."""
+    reader = (spark.readStream if stream else spark.read).schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt")
+    return reader.json(path)
+
+
+def categories(changes: DataFrame) -> DataFrame:
+    """(id, name, scope) of live categories in a change log; rows whose payload is malformed are left out."""
+    found = decode(changes.where("kind = 'categories' and deleted_at = 0"), "name string, scope string")
+    return found.where("record.name is not null").select("id", "record.name", "record.scope")

@@ -1,7 +1,11 @@
 """The stream ends where the batch does, and a batch run twice changes nothing."""
 
+import time
+
+import pytest
+
 from tallyloom.operators.replicate import resolve
-from tallyloom.streaming import feed
+from tallyloom.streaming import feed, steady, worker
 
 SCHEMA = "kind string, id long, updated_at long, deleted_at long, rev long, payload string"
 
@@ -22,13 +26,122 @@ def test_stream_equals_batch(spark, tmp_path):
         feed.follow(feed.read_log(spark, path, df.schema), latest, str(tmp_path / "check")).awaitTermination()
     assert sorted(map(tuple, latest.read().select(*df.columns).collect())) == sorted(map(tuple, resolve(df).select(*df.columns).collect()))
     before = latest.version()
-    latest(df.where("rev = 1"), before[0])  # the same batch again
+    latest(df.where("rev = 1"), before)  # the same batch again
     assert latest.version() == before
+    assert sum(n.startswith("manifest-") for n in latest._names()) <= 2
 
 
-def test_supervision():
-    import pytest
+def test_a_batch_that_dies_before_its_manifest_loses_nothing(spark, tmp_path, monkeypatch):
+    df = log(spark)
+    latest = feed.Latest(spark, str(tmp_path / "state"), buckets=4)
+    latest(df.where("rev <= 20"), 0)
+    before = sorted(map(tuple, latest.read().collect()))
+
+    def die(*_):
+        raise OSError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(feed.Latest, "publish", die)
+        with pytest.raises(OSError):
+            latest(df.where("rev > 20"), 1)
+    again = feed.Latest(spark, str(tmp_path / "state"), buckets=4)
+    assert again.version() == 0 and sorted(map(tuple, again.read().collect())) == before
+    again(df.where("rev > 20"), 1)
+    assert sorted(map(tuple, again.read().select(*df.columns).collect())) == sorted(map(tuple, resolve(df).select(*df.columns).collect()))
+    again(df.limit(0), 2)  # an empty batch moves on and keeps all
+    assert again.version() == 2 and again.read().count() == 5
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    df = log(spark)
+    latest = feed.Latest(spark, str(tmp_path / "state"), buckets=16)
+    latest(df, 0)
+    was = latest._manifest(0)
+    latest(spark.createDataFrame([("r", 1, 10**6, 0, 99, "new")], SCHEMA), 1)
+    now = latest._manifest(1)
+    assert sum(now[b] != was[b] for b in was) == 1 and latest.read().where("payload = 'new'").count() == 1
+
+
+def plain_watch(rows):
+    steady, corners, out = 0, None, []
+    for at, ok, found in rows:
+        if not ok:
+            steady, corners = 0, None
+        else:
+            near = corners is not None and all(((corners[i] - found[i]) ** 2 + (corners[i + 1] - found[i + 1]) ** 2) ** 0.5 <= 0.025 * 500 for i in range(0, 8, 2))
+            steady, corners = (steady + 1 if near else 1), found
+        out.append((at, steady, steady >= 3))
+    return out
+
+
+def test_a_hold_goes_on_over_batches(spark, tmp_path):
+    square = [100.0, 100.0, 200.0, 100.0, 200.0, 200.0, 100.0, 200.0]
+    rows = []
+    for at in range(12):
+        moved = [x + (40 if at == 5 else 3) * (at >= 5) for x in square]
+        rows.append(("a", at, "paper" if at != 8 else "frame", 0.5, 0.2, moved, 300.0, 400.0))
+    path = str(tmp_path / "frames")
+    for part in (rows[:4], rows[4:]):
+        spark.createDataFrame(part, steady.FRAME).coalesce(1).write.mode("append").parquet(path)
+    got = []
+    frames = spark.readStream.schema(steady.FRAME).option("maxFilesPerTrigger", 1).parquet(path)
+    q = steady.watch(frames).writeStream.foreachBatch(lambda df, _: got.extend(map(tuple, df.collect()))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    want = plain_watch([(r[1], r[2] == "paper", r[5]) for r in rows])
+    assert sorted((at, n, fire) for _, at, _, n, fire in got) == want
+    assert [fire for *_, fire in want].count(True) > 2
+
+
+def test_listeners_hear_of_rows(spark, tmp_path):
+    heard = []
+    listener = feed.Notify(lambda name, batch, rows: heard.append(rows))
+    spark.streams.addListener(listener)
+    try:
+        path = str(tmp_path / "log")
+        log(spark).coalesce(1).write.parquet(path)
+        feed.follow(feed.read_log(spark, path, log(spark).schema), feed.Latest(spark, str(tmp_path / "s")), str(tmp_path / "c")).awaitTermination()
+        for _ in range(50):
+            if heard:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert sum(heard) == 39
 
+
+def test_breaker_and_idle():
+    b = feed.Breaker()
+    assert [b.failure() for _ in range(8)] == [30, 60, 120, 240, 480, 960, 1800, 1800] and b.open
+    b.success()
+    assert not b.open and b.failure() == 30
+    idle = worker.Idle(10)
+    assert [idle.next(n) for n in (1, 0, 0, 0, 0, 0, 2)] == [10, 10, 20, 40, 80, 80, 10]
+
+
+def test_failures_after_progress_do_not_add_up():
+    class Query:
+        runs = 0
+        recentProgress = [{"numInputRows": 3}]
+
+        def awaitTermination(self):
+            Query.runs += 1
+            if Query.runs < 9:
+                raise RuntimeError("x")
+
+    waits = []
+    feed.supervise(Query, failures=3, wait=waits.append)
+    assert waits == [30] * 8
+
+
+def test_lines_of_json(spark, tmp_path):
+    from tallyloom.sources.adapter import read_lines
+
+    (tmp_path / "x.ndjson").write_text('{"a": 1}\n\nnot json\n{"a": 2}')
+    got = read_lines(spark, str(tmp_path), "a int")
+    assert sorted((r["a"] or 0, r["_corrupt"]) for r in got.collect()) == [(0, "not json"), (1, None), (2, None)]
+
+
+def test_supervision():
     calls, waits = [], []
 
     class Query:
