@@ -137,6 +137,8 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id",
 WIDE, SAMPLES, DRAWN = 4, 16, 4
 #: Shingles from which on a text's wide fingerprint tells of its similarity; texts a task keeps open while it verifies.
 TELLS, OPEN = 64, 64
+#: Members of a group that are compared pair by pair at the first level, and how that grows from level to level.
+FEW, MORE = 32, 4
 _MIX = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -247,6 +249,12 @@ def _contained(rest: DataFrame, similarity: float) -> DataFrame:
     return a.join(b, "hub").where(met).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def _within(met: DataFrame) -> DataFrame:
+    """Pairs (u, v) of the small groups (hub, token) that are not yet linked."""
+    a, b = (met.select("hub", "token", F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "uv")
+    return a.join(b, ["hub", "token"]).where("u < v and label_u <> label_v").select("u", "v").distinct()
+
+
 def _hubs(met: DataFrame, on: list[str]) -> DataFrame:
     """(hub, node) of the groups of on that nodes meet in: a group's hub is the node that meets the most."""
     common = met.groupBy("node").agg(F.count(F.lit(1)).alias("common"))
@@ -261,9 +269,10 @@ def similar(rows: DataFrame, key: str, shingle: int, similarity: float, text_col
     proven apart. All are compared with the group's hub, which in a family of copies is what they were copied from.
     The hub serves as a pivot: two texts share no more of its shingles than either has, so where that is too little
     they must also share a shingle that the hub lacks. Members that are not linked to their hub therefore meet the
-    others again by such shingles, in groups with hubs of their own, until no group has members of different labels.
-    So a family of copies costs a pair for each copy, a passage that many documents share costs one for each of them,
-    and no group is expanded into its pairs. Pairs are discarded by their numbers of shingles and, unless they have
+    others again by such shingles. Groups of at most FEW are compared pair by pair; larger ones get hubs of their own,
+    and from one level to the next that bound grows MORE-fold, until no group has members of different labels. So a
+    family of copies costs a pair for each copy and a passage that many documents share one for each of them; only
+    where many texts lie a little below the similarity to each other and have no common origin are most pairs compared. Pairs are discarded by their numbers of shingles and, unless they have
     few, by distances to pivots and the differing bits of their wide fingerprints; the shingles of all that are left
     are compared. Texts travel compressed.
     """
@@ -288,7 +297,7 @@ def similar(rows: DataFrame, key: str, shingle: int, similarity: float, text_col
     bodies = cut(signed.join(some, "node", "left_semi").groupBy("node").agg(F.first("body").alias("body")), "bodies")
     members = cut(_hubs(met, ["sample", "value"]), "members")
     labels = cut(met.sparkSession.createDataFrame([], "_node long, label long"), "labels")
-    used = [met, some]
+    used, few = [met, some], FEW
 
     def linked(pairs: DataFrame) -> DataFrame:
         """labels with the links among pairs."""
@@ -307,16 +316,17 @@ def similar(rows: DataFrame, key: str, shingle: int, similarity: float, text_col
         open_ = sides.where("apart").groupBy("hub").agg(F.count(F.lit(1)).alias("_n"))
         rest = cut(_rest(sides.join(open_, "hub", "left_semi"), bodies, shingle, similarity), "rest")
         used.extend([members, sides])
-        direct = cut(_contained(rest, similarity), "contained")
-        labels = linked(direct)
         tokens = rest.select("hub", "node", "label", F.explode("rest").alias("token"))
-        again = tokens.groupBy("hub", "token").agg(F.min("label").alias("_least"), F.max("label").alias("_most")).where("_least <> _most").select("hub", "token")
-        met = cut(tokens.join(again, ["hub", "token"]).select(F.col("hub").alias("group"), "token", "node"), "met")
-        used.extend([rest, direct])
-        if met.isEmpty():
+        groups = tokens.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("_size"), F.min("label").alias("_least"), F.max("label").alias("_most")).where("_least <> _most").select("hub", "token", "_size")
+        met = cut(tokens.join(groups, ["hub", "token"]), "met")
+        pairs = cut(_contained(rest, similarity).unionByName(_within(met.where(F.col("_size") <= few))).distinct(), "pairs")
+        labels = linked(pairs)
+        used.extend([rest, pairs, met])
+        large = met.where(F.col("_size") > few).select(F.col("hub").alias("group"), "token", "node")
+        if large.isEmpty():
             break
-        members = cut(_hubs(met, ["group", "token"]), "members")
-        used.append(met)
+        members = cut(_hubs(large, ["group", "token"]), "members")
+        few *= MORE
         for table in used:
             drop(table)
         used = []
