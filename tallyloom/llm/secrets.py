@@ -33,6 +33,7 @@ ENCODINGS = (
     ("hex", "^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789ABCDEF", 1),
     ("base32", "^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 4),
     ("base36", "^(?:[0-9a-z]+|[0-9A-Z]+)$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", 4),
+    ("letters", "^[A-Za-z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 4),
     ("base64", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 8),
 )
 ALPHA = 0.05
@@ -146,7 +147,7 @@ def tested(token: Column) -> Column:
     known = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(alphabet).alias("alphabet"), F.lit(width).alias("width")) for name, _, alphabet, width in ENCODINGS])
 
     def judge(e: Column) -> Column:
-        plain = F.when(e["name"] == "base64", F.translate(token, "-_", "+/")).otherwise(F.upper(token))
+        plain = F.when(e["name"] == "base64", F.translate(token, "-_", "+/")).when(e["name"] == "letters", token).otherwise(F.upper(token))
         values = F.transform(F.split(plain, ""), lambda c: (F.position(c, e["alphabet"]) - 1).cast("double"))
         return F.struct(e["name"].alias("encoding"), _let(values, lambda v: _battery(v, F.length(e["alphabet"]), e["width"])).alias("p"))
 
