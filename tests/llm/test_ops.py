@@ -57,6 +57,37 @@ def test_classifiers_tell_held_out_rows(spark, make, module, label, good):
     assert again == {(r["doc_id"], round(r["score"], 9)) for r in got if r["doc_id"] is not None and r["doc_id"] < 400}
 
 
+def test_gains_are_compressed_lengths():
+    import zstandard as zs
+
+    rng = np.random.default_rng(1)
+    plain = ["river", "stone", "garden", "letter", "window", "morning", "silver", "bridge", "paper", "yellow"]
+    bad = ["wretchful", "villainous", "scoundrelly"]
+    texts = [" ".join(rng.choice(plain, 40)) for _ in range(120)]
+    toxic = [t + " " + " ".join(rng.choice(bad, 3)) for t in texts[:60]]
+    model = toxicity.fit(toxic, texts[60:], 0.5)
+    gains = model.gains()
+    sides = []
+    for raw in (model.toxic, model.ordinary):
+        d = zs.ZstdCompressionDict(raw)
+        p = zs.ZstdCompressionParameters.from_level(toxicity.LEVEL, source_size=2 * toxicity.WINDOW, dict_size=len(raw), min_match=3, write_content_size=0, write_checksum=0, write_dict_id=0)
+        sides.append(zs.ZstdCompressor(dict_data=d, compression_params=p))
+    for w in [*plain, *bad]:
+        raw = f" {w} ".encode("utf-16-le")
+        assert gains[w] == len(sides[1].compress(raw)) - len(sides[0].compress(raw))
+    assert min(gains[w] for w in bad) > max(gains[w] for w in plain)
+    assert toxicity.fit(toxic, texts[60:], 0.5) == model  # no chance is left in training
+
+
+@pytest.mark.parametrize(("module", "label"), [(toxicity, "toxic"), (quality, "quality")])
+def test_of_repeated_ids_the_first_text_is_learned_from(spark, make, module, label):
+    rows = [(i % 40, f"text {'bad' if i % 2 else 'good'} number {i}", "s") for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], f"doc_id long, {label} int")
+    run = getattr(module, module.__name__.rsplit(".", 1)[1])
+    a, b = (sorted(map(tuple, run(make(x).repartition(n), labels).collect())) for x, n in ((rows, 1), (rows[::-1], 5)))
+    assert [(x[0], round(x[2], 9)) for x in a] == [(x[0], round(x[2], 9)) for x in b]
+
+
 @pytest.mark.parametrize("run", [toxicity.toxicity, quality.quality])
 def test_classifiers_without_labels_or_rows(spark, make, run):
     none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
@@ -167,12 +198,28 @@ def test_simhash(make, some):
     rows = some[:60] + [(5000 + (i if i is not None else 0), t, s) for i, t, s in ODD if t is None or len(t) < 1000] + [(None, "no id at all", "b")]
     got = simhash.deduplicate(make(rows)).collect()
     assert Counter((r["doc_id"], r["fingerprint"]) for r in got) == Counter((i, f"{plain_fingerprint(t):016x}") for i, t, _ in rows)
+    fps = sorted({int(r["fingerprint"], 16) for r in got})
+    label = plain_components([(a, b) for k, a in enumerate(fps) for b in fps[k:] if (a ^ b).bit_count() <= 2])
+    smallest = {}
     for r in got:
-        same = [i for i, t, _ in rows if i is not None and f"{plain_fingerprint(t):016x}" == r["fingerprint"]]
-        assert not same or r["component_id"] <= min(same)
+        if r["doc_id"] is not None:
+            key = label[int(r["fingerprint"], 16)]
+            smallest[key] = min(smallest.get(key, r["doc_id"]), r["doc_id"])
+    assert all(r["component_id"] == smallest.get(label[int(r["fingerprint"], 16)]) for r in got)
     assert simhash.deduplicate(make(ODD).limit(0)).count() == 0
 
 
+def test_pivots_discard_what_cells_bring_together(spark):
+    rng = np.random.default_rng(5)
+    low = int(rng.integers(0, 2**31))
+    fps = [(int(rng.integers(0, 2**31)) << 32) | low for _ in range(40)]  # all in one cell, far apart
+    fps += [fps[0] ^ (1 << 40), fps[1] ^ (5 << 50)]
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    pairs = simhash.candidates(simhash.cells_of(df)).select("u", "v", "du", "dv").distinct()
+    left = {tuple(r) for r in simhash.near_pivots(pairs).select("u", "v").collect()}
+    assert pairs.count() >= 42 * 41 / 2 and left == {tuple(sorted(p)) for p in ((fps[0], fps[40]), (fps[1], fps[41]))}
+
+
 def test_one_of_each_group_stays(make):
     rows = [(3, "a b c d e f", "s"), (1, "A b c d e f", "s"), (1, "A b c d e f", "s"), (None, "a b c d e f", "s"), (9, "g h i j k l m", "s"), (None, "only here and nowhere else", "s"), (2, None, "s")]
     docs = make(rows)
@@ -279,6 +326,47 @@ def test_random_strings_stand_out(spark, make):
     assert np.mean([got[1000 + i] for i in range(150)]) < 0.05
 
 
+@pytest.mark.parametrize(("alphabet", "size", "least"), [("0123456789abcdef", 22, 0.5), ("0123456789ABCDEF", 40, 0.8), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32, 0.8), ("abcdefghijklmnopqrstuvwxyz0123456789", 40, 0.8), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 44, 0.5)])
+def test_each_encoding_is_told_from_words(make, alphabet, size, least):
+    rng = np.random.default_rng(7)
+    keys = ["".join(rng.choice(list(alphabet), size)) for _ in range(200)]
+    words = ["thing", "count", "value", "error", "table", "window", "2024", "index", "user", "name"]
+    names_ = ["".join(w.title() for w in rng.choice(words, 6)) for _ in range(200)]  # long names in code
+    docs = make([(i, f"see {k} here", "s") for i, k in enumerate(keys)] + [(1000 + i, f"see {n} here", "s") for i, n in enumerate(names_)])
+    found = {r["doc_id"]: "random" in r["spans"] or r["n_hex"] > 0 for r in secrets.secrets(docs).collect()}
+    true, false = sum(found[i] for i in range(200)), sum(found[1000 + i] for i in range(200))
+    assert true >= least * 200 and false <= 0.1 * max(1, true + false)
+
+
+def test_many_matches_cost_little_more_each(make):
+    import time
+
+    line = "x token=abcdefgh%d 0123456789abcdef0123456789abcdef y "
+    took = {}
+    for n in (16, 2_000, 8_000):  # the first only warms up
+        docs = make([(1, line % 3 * n, "s")])
+        began = time.perf_counter()
+        row = secrets.secrets(docs).collect()[0]
+        took[n] = time.perf_counter() - began
+        assert (row["n_assign"], row["n_hex"]) == (n, n)
+        assert secrets.redact(docs).collect()[0]["text"] == "x [SECRET] [SECRET] y " * n
+    assert took[8_000] < 10 * took[2_000]
+
+
+def test_spans_are_those_of_a_plain_search(make, some):
+    rows = [(100_000 + i, t, "s") for i, t in enumerate(SECRET)] + [r for r in some if r[0] is not None]
+    for r in secrets.secrets(make(rows)).collect():
+        spans = [x.split(":") for x in filter(None, r["spans"].split(","))]
+        t = next(t for i, t, _ in rows if i == r["doc_id"]) or ""
+        base = {f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in plain_spans(t)}
+        assert {":".join(x) for x in spans if x[0] != "random"} == base
+        assert spans == sorted(spans, key=lambda x: (int(x[1]), secrets.KINDS.index(x[0])))
+        taken = [(int(a), int(b)) for k, a, b in spans if k != "random"]
+        candidates = {m.span() for m in re.finditer(secrets.CANDIDATE, t)}
+        for k, a, b in spans:
+            assert k != "random" or ((int(a), int(b)) in candidates and all(int(b) <= x or y <= int(a) for x, y in taken))
+
+
 def test_redaction(make):
     docs = make([(1, "x token=abcdefgh y", "s"), (2, None, "s"), (3, "é token=0123456789abcdef0123456789abcdef", "s"), (4, "clean", "s")])
     out = secrets.redact(docs)
@@ -319,9 +407,8 @@ def test_ids_are_those_of_the_json_vocabulary(some):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     samples = [x[1] for x in some[:40]] + ["<|endoftext|> a", "  \n\n x", "日本語 \U0001f600 it's", "", "x" * 3000]
-    assert [e.ids for e in t.encode_batch(samples, add_special_tokens=False)] == [packing.encoding().encode_ordinary(s) for s in samples]
+    assert [e.ids for e in t.encode_batch(samples, add_special_tokens=False)] == [packing.encoding().encode(s, allowed_special="all") for s in samples]
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -360,8 +447,74 @@ def test_imatch(make, some, monkeypatch, chunk):
     assert np.mean([r["near_edited"] for r in got.values()]) > 0.2 > 0.1 > np.mean([r["near_next"] for r in got.values()])
 
 
-def test_imatch_odd_rows(make):
-    assert imatch.matched(make(ODD)).count() == len(ODD)
+def plain_imatch(texts):
+    """Fingerprints by sets and loops: the band by counting, subsets by the bits of a term's mixed hash."""
+    seen = Counter(w for t in texts for w in set(t.encode().lower().split()))
+    low, high = max(imatch.LEAST, imatch.LOW * len(texts)), max(imatch.LEAST, imatch.HIGH * len(texts))
+    band = {w for w, n in seen.items() if low <= n <= high}
+    mask = 2**64 - 1
+
+    def member(h, e, s):
+        x = (h + 0x9E3779B97F4A7C15 * (e + 1)) * 0xBF58476D1CE4E5B9 & mask
+        x ^= x >> 31
+        x = x * 0x94D049BB133111EB & mask
+        x ^= x >> 29
+        return x % 2**s == 0
+
+    def hashes(words, shares):
+        hs = sorted((xxhash.xxh64_intdigest(w, 7) ^ 2**63) - 2**63 for w in words)
+        out = []
+        for i, s in enumerate(shares):
+            for e in range(imatch.EACH):
+                own = [h for h in hs if member(h & mask, e, s)]
+                out.append(f"{xxhash.xxh32_intdigest(np.array(own, '<i8').tobytes(), i * imatch.EACH + e) or 1:08x}" if own else "0" * 8)
+        return out
+
+    def of(t):
+        words = set(t.encode().lower().split())
+        return hashes(words & band, imatch.SHARES), hashes(words, imatch.ALL_SHARES), len(words & band)
+
+    def alike(a, b):
+        x, y = (a[0], b[0]) if min(a[2], b[2]) >= imatch.FEW else (a[1], b[1])
+        rates, every = [], []
+        for at in range(0, len(x), imatch.EACH):
+            told = [p == q for p, q in zip(x[at : at + imatch.EACH], y[at : at + imatch.EACH], strict=True) if {p, q} != {"0" * 8}]
+            every += told
+            if len(told) >= imatch.TELLING:
+                rates.append(sum(told) / len(told))
+        return max(rates) if rates else sum(every) / len(every) if every else 1.0
+
+    return of, alike
+
+
+def test_imatch_against_sets_and_loops(make, some):
+    hot = [(6000 + k, "one text that a third of all rows hold in common", "s") for k in range(20)]
+    rows = sorted([*some[:40], *hot, (7000, "quite another text made of words nobody else has", "s"), (7001, None, "s")], key=lambda r: -r[0])
+    of, alike = plain_imatch([t or "" for _, t, _ in rows])
+    got = {r["doc_id"]: r for r in imatch.matched(make(rows)).collect()}
+    for k, (i, t, _) in enumerate(rows):
+        following = rows[(k + 1) % len(rows)][1] or ""
+        n = len(t or "") // 3
+        new = (t or "")[: len(t or "") - n] + following[:n]
+        a, b, c = of(t or ""), of(new), of(following)
+        r = got[i]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == ("".join(a[0] + a[1]), "".join(b[0] + b[1]))
+        assert (r["near_edited"], r["near_next"]) == (alike(a, b), alike(a, c))
+    assert got[7000]["near_next"] < 0.5 and got[6000]["fingerprint"] == got[6001]["fingerprint"] and got[6001]["near_next"] == 1.0
+
+
+@pytest.mark.parametrize("chunk", [2, 500])
+def test_imatch_odd_rows(make, monkeypatch, chunk):
+    monkeypatch.setattr(imatch, "CHUNK", chunk)  # 2: the ids that rows share have chunks by digest
+    rows = [*ODD, *[(None, f"text {k % 7}", "s") for k in range(40)], *[(4, f"more {k}", "s") for k in range(30)]]
+    got = imatch.matched(make(rows)).collect()
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashlib.md5((r[1] or "").encode()).digest()))
+    want = Counter()
+    for k, (i, t, _) in enumerate(order):
+        t, following = t or "", order[(k + 1) % len(order)][1] or ""
+        n = len(t) // 3
+        want[(i, len(t), hashlib.sha256((t[: len(t) - n] + following[:n]).encode()).hexdigest())] += 1
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == want
     assert imatch.matched(make(ODD).limit(0)).count() == 0
     assert [r["near_next"] for r in imatch.matched(make([(1, "alone here", "s")])).collect()] == [1.0]
 
@@ -370,8 +523,10 @@ def test_imatch_odd_rows(make):
 
 
 def test_ann(spark, monkeypatch):
-    monkeypatch.setattr(ann, "PART_ROWS", 250)
-    monkeypatch.setattr(ann, "SAMPLE", 1500)
+    monkeypatch.setattr(ann, "CELL_ROWS", 50)
+    monkeypatch.setattr(ann, "BLOCK", 100)
+    monkeypatch.setattr(ann, "TURN", 30)
+    monkeypatch.setattr(ann, "ROUTED", 300)
     rng = np.random.default_rng(3)
     x = rng.normal(size=(2000, 16)).astype("float32") + 2 * rng.normal(size=(8, 16)).astype("float32")[rng.integers(0, 8, 2000)]
     x[100:160] = x[100]  # many copies of one vector
@@ -396,6 +551,26 @@ def test_ann(spark, monkeypatch):
     assert hits / (20 * len(by)) >= 0.9
 
 
+def test_queries_visit_few_parts_of_grouped_vectors():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 24)) + 6 * rng.normal(size=(64, 24))[rng.integers(0, 64, 3000)]
+    router = ann.fit(x[300:], x[:300], 16, 20)
+    visits = router.visits(ann._unit(x[:300]))
+    own = router.probabilities(ann._unit(x[300:])).argmax(1)
+    near = np.argsort(-(x[:300] @ x[300:].T), axis=1)[:, :20]
+    assert visits.mean() < 0.35 and np.take_along_axis(visits, own[near], 1).mean() >= 0.95
+    assert np.bincount(own, minlength=16).max() < 0.25 * len(own)
+    router.sizes = np.zeros(16, np.int64)
+    router.sizes[3] = 30
+    assert router.visits(ann._unit(x[:5]), 21)[:, 3].all()  # goes on until enough rows are visited
+
+
+def test_ann_takes_vectors_of_any_length(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0, 3.0]), (1, [2.0]), (2, [1.0, 1.0]), (20, [0.0, 0.0, 0.0, 9.0])], "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search(df, F.col("vec_id") % 20 == 0).collect())
+    assert got == [(0, 1, 2, 3.0), (0, 2, 1, 2.0), (0, 3, 20, 0.0), (20, 1, 0, 0.0), (20, 2, 1, 0.0), (20, 3, 2, 0.0)]
+
+
 def test_ann_with_few_rows(spark):
     df = spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(0, 60, 20)], "vec_id long, embedding array<float>")
     got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(df, F.col("vec_id") % 20 == 0).collect())
@@ -437,9 +612,10 @@ def plain_removal(rows):
     return out
 
 
-@pytest.mark.parametrize("batch", [300, 1_500_000])
-def test_repeats(make, some, monkeypatch, batch):
+@pytest.mark.parametrize(("batch", "fanout"), [(300, 1024), (1_500_000, 1024), (2000, 4)])
+def test_repeats(make, some, monkeypatch, batch, fanout):
     monkeypatch.setattr(substrings, "BATCH", batch)
+    monkeypatch.setattr(substrings, "FANOUT", fanout)  # 4: buckets are reached in several passes
     rng = np.random.default_rng(4)
     words = [f"w{k}" for k in range(40)]
     passage = " ".join(rng.choice(words, 55))
@@ -453,6 +629,17 @@ def test_repeats(make, some, monkeypatch, batch):
     assert got == plain_removal(rows)
 
 
+def test_rows_sent_do_not_grow_with_the_buckets():
+    import pandas as pd
+
+    text = " ".join(f"w{k * 7919 % 100003}" for k in range(60_000))
+    df = pd.DataFrame({"id": [1], "text": [text]})
+    sent = pd.concat(list(substrings._probes(1024)([df])))
+    assert len(sent) <= 1024
+    again = pd.concat(list(substrings._again(1024 * 64, substrings._blocks_read, substrings._blocks_merged, lambda x: substrings._blocks_sent(*x, 1024 * 64))([sent])))
+    assert again["n"].sum() == sent["n"].sum() and (again["bucket"] // 64).isin(sent["bucket"]).all()
+
+
 def test_repeats_odd_rows(make):
     got = substrings.remove_repeats(make(ODD)).collect()
     assert len(got) == len(ODD)

@@ -27,9 +27,9 @@ def test_run(spark, sf_dir):
     stay = {r["doc_id"] for r in out["simhash"]}
     shingles = {i: grams(t) for i, t in clean.items()}
     like = {i: max((len(s & o) / len(s | o) for j, o in shingles.items() if j != i), default=0) for i, s in shingles.items()}
-    assert all(like[i] >= 0.6 for i in set(clean) - stay)
+    assert all(like[i] >= 0.8 for i in set(clean) - stay)
     kept = sorted(stay)
-    assert not [(i, j) for k, i in enumerate(kept) for j in kept[k + 1 :] if len(shingles[i] & shingles[j]) >= 0.85 * len(shingles[i] | shingles[j])]
+    assert not [(i, j) for k, i in enumerate(kept) for j in kept[k + 1 :] if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j])]
     assert {r["doc_id"] for r in out["secrets"]} == stay
     assert all(r["n_chars"] == len(r["text"]) for r in out["secrets"])
     copies = Counter(r["doc_id"] for r in out["mixing"])
