@@ -252,9 +252,12 @@ def name_similarity(d: Domain) -> DataFrame:
     return d.table("customer").select(F.col("c_custkey").alias("id"), names.similarity(F.lower("c_name"), F.concat(F.lit("customer#"), _s(F.col("c_custkey")))).alias("score"))
 
 
-@query("domain_candidates", None)
+@query("domain_candidates", "SELECT page_id AS id, CASE WHEN page_id % 3 = 0 THEN 'bygg' ELSE 'example' END AS query, CAST(CASE WHEN page_id % 3 = 0 THEN 0.85 ELSE 0.95 END AS DOUBLE) AS confidence, 'domain' AS source FROM pages UNION ALL SELECT page_id, 'byggsverige', 0.95, 'domain' FROM pages WHERE page_id % 3 = 0", plain=True)
 def domain_candidates(d: Domain) -> DataFrame:
-    return names.name_candidates(d.table("pages").select(F.col("page_id").alias("id"), F.col("url").alias("text")))
+    """Names in addresses; what a domain appends to a name is also tried without."""
+    site = F.when(F.col("page_id") % 3 == 0, "https://www.byggsverige.se/kvitto").otherwise(F.col("url"))
+    found = names.name_candidates(d.table("pages").select(F.col("page_id").alias("id"), site.alias("text")))
+    return found.select("id", "query", "confidence", "source")
 
 
 _REAL = "CAST(5560000000 + (o_orderkey * {0} + o_custkey * 104729) % 40000000 AS VARCHAR)"
