@@ -162,8 +162,11 @@ def fit(toxic: list[str], ordinary: list[str], share: float) -> Model:
     x = (x - model.centre) / model.scale
     w = _curve(x, y, share)
     z = x @ w[:-1] + w[-1]
-    # Documents reach CUT where ordinary ones become rare, but never below the odds of a document nothing is known of.
-    w[-1] += np.log(CUT / (1 - CUT)) - max(np.quantile(z[y == 0], 1 - FALSE) + 1e-6, np.log(share / (1 - share)) if 0 < share < 1 else 0.0)
+    # Documents reach CUT where ordinary ones become rare, but never below the odds of a document nothing is known of;
+    # below the curve's own place only if there are ordinary documents enough to show it.
+    own, prior = np.log(CUT / (1 - CUT)), np.log(share / (1 - share)) if 0 < share < 1 else 0.0
+    rare = np.quantile(z[y == 0], 1 - FALSE) + 1e-6
+    w[-1] += own - max(rare, prior if (y == 0).sum() * FALSE >= 1 else own)
     model.weights = w.tolist()
     return model
 
