@@ -75,11 +75,17 @@ def added(items: DataFrame, new: DataFrame, now: int) -> DataFrame:
     return items.unionByName(out, allowMissingColumns=True)
 
 
+def _tombstone(rows: DataFrame, hit: Column, deleted_at: int, now: int) -> DataFrame:
+    """rows with deleted_at set where hit holds, and these touched."""
+    when = lambda value, c: F.when(hit, F.lit(value).cast(rows.schema[c].dataType)).otherwise(F.col(c))
+    return rows.withColumns({"deleted_at": when(deleted_at, "deleted_at"), "updated_at": when(now, "updated_at"), "dirty": when(1, "dirty")})
+
+
 def deleted(rows: DataFrame, ids: DataFrame, now: int, key: str = "id") -> DataFrame:
     """rows with tombstones on those whose key is among ids (id)."""
     gone = ids.select(F.col("id").alias(key), F.lit(True).alias("_gone")).distinct()
-    hit = F.coalesce("_gone", F.lit(False))
-    return rows.join(gone, key, "left").withColumns({"deleted_at": F.when(hit, F.lit(now).cast("bigint")).otherwise(F.col("deleted_at")), "updated_at": F.when(hit, F.lit(now).cast("bigint")).otherwise(F.col("updated_at")), "dirty": F.when(hit, 1).otherwise(F.col("dirty"))}).drop("_gone").select(*rows.columns)
+    marked = rows.join(gone, key, "left").withColumn("_gone", F.coalesce("_gone", F.lit(False)))
+    return _tombstone(marked, F.col("_gone"), now, now).select(*rows.columns)
 
 
 def delete_receipts(receipts: DataFrame, items: DataFrame, links: DataFrame, ids: DataFrame, now: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -93,8 +99,8 @@ def restore_receipts(receipts: DataFrame, items: DataFrame, links: DataFrame, id
 
     def revived(rows: DataFrame, key: str) -> DataFrame:
         joined = rows.join(back, F.col(key) == F.col("_id"), "left")
-        hit = F.coalesce(F.col("_at") == F.col("deleted_at"), F.lit(False))
-        return joined.withColumn("_hit", hit).withColumns({"deleted_at": F.when(F.col("_hit"), F.lit(0).cast("bigint")).otherwise(F.col("deleted_at")), "updated_at": F.when(F.col("_hit"), F.lit(now).cast("bigint")).otherwise(F.col("updated_at")), "dirty": F.when(F.col("_hit"), 1).otherwise(F.col("dirty"))}).select(*rows.columns)
+        marked = joined.withColumn("_hit", F.coalesce(F.col("_at") == F.col("deleted_at"), F.lit(False)))
+        return _tombstone(marked, F.col("_hit"), 0, now).select(*rows.columns)
 
     return revived(receipts, "id"), revived(items, "receipt_id"), revived(links, "receipt_id")
 

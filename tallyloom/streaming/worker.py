@@ -34,10 +34,16 @@ def run_pass(receipts: DataFrame, table: DataFrame, extract: Callable[[DataFrame
     fail; jobs that it does not answer stay pending. Failed jobs wait a random time below a doubling ceiling. All
     other columns of table stay as they are.
     """
-    new = jobs.enqueue(receipts, table).select(F.col("id").alias("receipt_id"), "image_id", F.lit("pending").alias("state"), F.lit(0).alias("attempts"), F.lit(now).cast("bigint").alias("next_attempt_at"), F.lit(None).cast("string").alias("last_error"), F.lit(now).cast("bigint").alias("updated_at"))
+    at = F.lit(now).cast("bigint")
+    new = jobs.enqueue(receipts, table).select(
+        F.col("id").alias("receipt_id"), "image_id", F.lit("pending").alias("state"), F.lit(0).alias("attempts"),
+        at.alias("next_attempt_at"), F.lit(None).cast("string").alias("last_error"), at.alias("updated_at"),
+    )
     every = table.join(new.select("receipt_id"), "receipt_id", "left_anti").unionByName(new, allowMissingColumns=True)
     claimed = jobs.claim(every, now, size)
-    answers = extract(claimed).select("receipt_id", F.col("event").alias("_event"), F.col("error").alias("_error"), F.coalesce("retryable", F.lit(False)).alias("_retryable"))
+    answers = extract(claimed).select(
+        "receipt_id", F.col("event").alias("_event"), F.col("error").alias("_error"), F.coalesce("retryable", F.lit(False)).alias("_retryable"),
+    )
     done = every.join(answers.join(claimed.select("receipt_id"), "receipt_id", "left_semi"), "receipt_id", "left")
     after = jobs.after(F.col("state"), F.col("attempts"), F.col("_event"), F.col("_retryable"))
     answered = F.col("_event").isNotNull()
@@ -49,7 +55,8 @@ def run_pass(receipts: DataFrame, table: DataFrame, extract: Callable[[DataFrame
             "updated_at": F.when(answered, F.lit(now).cast("bigint")).otherwise(F.col("updated_at")),
         }
     )
-    return out.withColumn("state", F.when(answered, F.col("_after.state")).otherwise(F.col("state"))).withColumn("attempts", F.when(answered, F.col("_after.attempts")).otherwise(F.col("attempts"))).drop("_after", "_event", "_error", "_retryable")
+    moved = {c: F.when(answered, F.col(f"_after.{c}")).otherwise(F.col(c)) for c in ("state", "attempts")}
+    return out.withColumns(moved).drop("_after", "_event", "_error", "_retryable")
 
 
 def report(before: DataFrame, after: DataFrame) -> DataFrame:
