@@ -138,7 +138,7 @@ WIDE, SAMPLES, DRAWN = 4, 16, 4
 #: Shingles from which on a text's wide fingerprint tells of its similarity; texts a task keeps open while it verifies.
 TELLS, OPEN = 64, 64
 #: Members of a group that are compared pair by pair at the first level, and how that grows from level to level.
-FEW, MORE = 32, 4
+FEW, MORE = 32, 16
 _MIX = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -214,14 +214,9 @@ def _verified(pairs: DataFrame, bodies: DataFrame, shingle: int, similarity: flo
     return _with_bodies(pairs, bodies, "u", "v").where(alike("u", "v", "body_u", "body_v")).select("u", "v")
 
 
-def _rest(members: DataFrame, bodies: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """members (hub, node, ...) with n, the node's number of shingles, same, how many of them its hub has, and rest:
-    those smallest ones of the others of which any text that is similar enough must have one too.
-
-    Let s be the similarity. A text v that reaches it has s n shingles of u at least. At most as many of these as u or
-    v has of the hub are in the hub, so s n - same are not, and of a set of r shingles that shares c with another one
-    the r - c + 1 smallest hold a common one. Only where c may be 0 this says nothing; contained() finds those pairs.
-    """
+def _rest(members: DataFrame, bodies: DataFrame, shingle: int) -> DataFrame:
+    """members (hub, node, ...) with n, the node's number of shingles, same, how many of them its hub has, and rest,
+    the others."""
 
     @F.pandas_udf("n int, same int, rest array<long>")
     def measured(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -231,15 +226,39 @@ def _rest(members: DataFrame, bodies: DataFrame, shingle: int, similarity: float
             for node, hub, body_u, body_v in zip(*columns, strict=True):
                 a = seen.of(node, body_u)
                 others = np.setdiff1d(a, seen.of(hub, body_v), assume_unique=True)
-                same = len(a) - len(others)
-                some = len(others) - max(1, int(np.ceil(similarity * len(a) - 1e-9)) - same) + 1
-                out.append((len(a), same, others[: max(0, some)].view("<i8")))
+                out.append((len(a), len(a) - len(others), others.view("<i8")))
             yield pd.DataFrame(out, columns=["n", "same", "rest"])
 
     at = _with_bodies(members, bodies, "node", "hub").withColumn("m", measured("node", "hub", "body_u", "body_v"))
     return at.select(*members.columns, "m.*")
 
 
+def _telling(rest: DataFrame, similarity: float) -> DataFrame:
+    """(hub, token, size, node, label, n, small): the rarest shingles of each node's rest, of which two similar texts
+    share one.
+
+    Two texts u and v with s, the similarity, share s / (1 + s) (n_u + n_v) shingles at least, so the smaller of them
+    has 2 s / (1 + s) n in common and the larger s n. At most same of these are in the hub, and the others are in both
+    rests. Of a set of r shingles that shares c with another one the first r - c + 1, in any order that is the same for
+    both, hold a common one; the rarest go first, and those that no other member has are not listed. small says
+    whether a shingle is among them for the node as the smaller text. Only where c may be 0 this says nothing;
+    _contained() finds those pairs.
+    """
+    tokens = rest.select("hub", "node", F.explode("rest").alias("token"))
+    shared = tokens.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    listed = tokens.join(shared, ["hub", "token"]).groupBy("hub", "node").agg(F.array_sort(F.collect_list(F.struct("size", "token"))).alias("listed"))
+    own = rest.select("hub", "node", "label", "n", "same", F.size("rest").alias("r")).join(listed, ["hub", "node"])
+    alone = F.col("r") - F.size("listed")
+
+    def most(share: float) -> Column:
+        c = F.greatest(F.lit(1), F.ceil(share * F.col("n") - 1e-9).cast("int") - F.col("same"))
+        return F.greatest(F.lit(0), F.col("r") - c + 1 - alone)
+
+    cut_off = own.withColumn("_small", most(2 * similarity / (1 + similarity))).withColumn("_large", most(similarity))
+    some = cut_off.select("hub", "node", "label", "n", "_small", F.posexplode(F.slice("listed", F.lit(1), F.col("_large"))).alias("_at", "x"))
+    return some.select("hub", F.col("x.token").alias("token"), F.col("x.size").alias("size"), "node", "label", "n", (F.col("_at") < F.col("_small")).alias("small"))
+
+
 def _contained(rest: DataFrame, similarity: float) -> DataFrame:
     """Pairs (u, v) of one hub, not yet linked, that may be similar by shingles of the hub alone."""
     a = rest.where(F.col("same") >= similarity * F.col("n")).select("hub", F.col("node").alias("u"), F.col("label").alias("label_u"), F.col("n").alias("n_u"), F.col("same").alias("same_u"), F.col("apart").alias("apart_u"))
@@ -250,9 +269,11 @@ def _contained(rest: DataFrame, similarity: float) -> DataFrame:
 
 
 def _within(met: DataFrame) -> DataFrame:
-    """Pairs (u, v) of the small groups (hub, token) that are not yet linked."""
-    a, b = (met.select("hub", "token", F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "uv")
-    return a.join(b, ["hub", "token"]).where("u < v and label_u <> label_v").select("u", "v").distinct()
+    """Pairs (u, v) that share one of their telling shingles and are not yet linked."""
+    a, b = (met.select("hub", "token", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("label", "n", "small")]) for x in "uv")
+    ahead = (F.col("n_u") < F.col("n_v")) | (F.col("n_u") == F.col("n_v")) & (F.col("u") < F.col("v"))
+    met = a.where("small_u").join(b, ["hub", "token"]).where(ahead & (F.col("label_u") != F.col("label_v")))
+    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def _hubs(met: DataFrame, on: list[str]) -> DataFrame:
@@ -268,8 +289,8 @@ def similar(rows: DataFrame, key: str, shingle: int, similarity: float, text_col
     Texts that share a sample's fingerprint are a group, and in the end any two of a group are linked, compared or
     proven apart. All are compared with the group's hub, which in a family of copies is what they were copied from.
     The hub serves as a pivot: two texts share no more of its shingles than either has, so where that is too little
-    they must also share a shingle that the hub lacks. Members that are not linked to their hub therefore meet the
-    others again by such shingles. Groups of at most FEW are compared pair by pair; larger ones get hubs of their own,
+    they must also share shingles that the hub lacks, and one of the rarest of these. Members that are not linked to
+    their hub therefore meet the others again by such shingles. Groups of at most FEW are compared pair by pair; larger ones get hubs of their own,
     and from one level to the next that bound grows MORE-fold, until no group has members of different labels. So a
     family of copies costs a pair for each copy and a passage that many documents share one for each of them; only
     where many texts lie a little below the similarity to each other and have no common origin are most pairs compared. Pairs are discarded by their numbers of shingles and, unless they have
@@ -314,15 +335,15 @@ def similar(rows: DataFrame, key: str, shingle: int, similarity: float, text_col
         sides = _labelled(_labelled(members, labels, "hub"), labels, "node").select("hub", "node", F.col("label_node").alias("label"), (F.col("label_hub") != F.col("label_node")).alias("apart"))
         sides = cut(sides, "sides")
         open_ = sides.where("apart").groupBy("hub").agg(F.count(F.lit(1)).alias("_n"))
-        rest = cut(_rest(sides.join(open_, "hub", "left_semi"), bodies, shingle, similarity), "rest")
+        rest = cut(_rest(sides.join(open_, "hub", "left_semi"), bodies, shingle), "rest")
         used.extend([members, sides])
-        tokens = rest.select("hub", "node", "label", F.explode("rest").alias("token"))
-        groups = tokens.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("_size"), F.min("label").alias("_least"), F.max("label").alias("_most")).where("_least <> _most").select("hub", "token", "_size")
-        met = cut(tokens.join(groups, ["hub", "token"]), "met")
-        pairs = cut(_contained(rest, similarity).unionByName(_within(met.where(F.col("_size") <= few))).distinct(), "pairs")
+        telling = cut(_telling(rest, similarity), "telling")
+        groups = telling.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("_many"), F.min("label").alias("_least"), F.max("label").alias("_most")).where("_least <> _most").select("hub", "token", "_many")
+        met = cut(telling.join(groups, ["hub", "token"]), "met")
+        pairs = cut(_contained(rest, similarity).unionByName(_within(met.where(F.col("_many") <= few))).distinct(), "pairs")
         labels = linked(pairs)
-        used.extend([rest, pairs, met])
-        large = met.where(F.col("_size") > few).select(F.col("hub").alias("group"), "token", "node")
+        used.extend([rest, telling, pairs, met])
+        large = met.where(F.col("_many") > few).select(F.col("hub").alias("group"), "token", "node")
         if large.isEmpty():
             break
         members = cut(_hubs(large, ["group", "token"]), "members")
