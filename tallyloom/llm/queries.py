@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import ann, imatch, mixing, packing, quality, secrets, sharding, simhash, substrings, toxicity
+from tallyloom.llm import ann, codes, decontaminate, fim, imatch, mixing, packing, quality, secrets, sharding, simhash, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fill_in_middle(_table(spark, sf_dir, "documents"))
+
+
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
@@ -65,6 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ann": op8_ann,
     "op9_substrings": op9_substrings,
     "op10_sharding": op10_sharding,
+    "op11_codes": op11_codes,
+    "op12_fim": op12_fim,
+    "op13_decontaminate": op13_decontaminate,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -77,7 +92,50 @@ hashed AS (SELECT doc_id, CAST(n + 16 AS BIGINT) AS size, xor(list_reduce(list_p
   list_transform(range(1, n + 1), lambda i: CAST('0x' || substr(h, 2 * i - 1, 2) AS BIGINT))),
   lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) AS text_crc32 FROM bytes, crc)"""
 
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """The rounds written out: each assigns every part (a) and takes the books (b) on from there."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT row, p, min(dist) AS dist, arg_min(e, (dist, e)) AS e FROM (
+  SELECT row, x.p, e, CAST(sum((x.v - c.v) * (x.v - c.v)) AS BIGINT) AS dist FROM x JOIN b{r} c ON x.p = c.p AND x.j = c.j GROUP BY ALL) GROUP BY ALL)""")
+        if r < rounds:
+            steps.append(f"""b{r + 1} AS MATERIALIZED (SELECT b.p, b.e, b.j, coalesce(m.v, b.v) AS v FROM b{r} b LEFT JOIN (
+  SELECT a.p, a.e, x.j, CAST(floor(sum(x.v) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS v FROM a{r} a JOIN x ON a.row = x.row AND a.p = x.p GROUP BY ALL) m ON b.p = m.p AND b.e = m.e AND b.j = m.j)""")
+    return f"""WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, vec_id, label, embedding, len(embedding) // 4 AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+x AS MATERIALIZED (SELECT row, i // w AS p, i % w AS j, CAST(floor(1024 * CAST(embedding[i + 1] AS DOUBLE)) AS BIGINT) AS v FROM (SELECT *, unnest(range(len(embedding))) AS i FROM k)),
+b0 AS MATERIALIZED (SELECT p, row AS e, j, v FROM x WHERE row < 256),
+{", ".join(steps)},
+o AS (SELECT row, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(dist) AS BIGINT) AS error FROM a{rounds} GROUP BY 1),
+h AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p, e, j)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN o USING (row), h"""
+
+
+_SMALL_WORDS = (
+    r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
 SQL: dict[str, str] = {
+    "op11_codes": _codes_sql(),
+    "op12_fim": """WITH t AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS d FROM documents),
+h AS (SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, list_transform(range(4), lambda k: CAST('0x' || substr(d, 1 + 8 * k, 8) AS BIGINT)) AS h FROM t),
+f AS (SELECT doc_id, t, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substring(t, 1, a) AS prefix, substring(t, a + 1, b - a) AS middle, substring(t, b + 1) AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p""",
+    "op13_decontaminate": f"""WITH d AS (SELECT doc_id, coalesce({_SMALL_WORDS}, []) AS ws FROM documents),
+i AS (SELECT item_id, {_SMALL_WORDS} AS ws FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(10, len(ws)) AS k, array_to_string(ws[s:s + 9], ' ') AS win FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS s FROM i WHERE len(ws) > 0)),
+g AS (SELECT doc_id, k, s, array_to_string(ws[s:s + k - 1], ' ') AS win FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS s FROM d, (SELECT DISTINCT k FROM win))),
+hit AS (SELECT doc_id, item_id, g.k, s FROM g JOIN win ON g.k = win.k AND g.win = win.win),
+words AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM (SELECT DISTINCT doc_id, s, k FROM hit)) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hit) GROUP BY 1)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(items.n, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, words.n IS NOT NULL AS contaminated FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
     "op2_mixing": f"""WITH s AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k FROM documents),
 a AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS i FROM s GROUP BY 1),
 b AS (SELECT *, [5, 2, 1][(i - 1) % 3 + 1] AS weight, 2 * source_size AS cap, 2 * source_size / [5, 2, 1][(i - 1) % 3 + 1] AS r FROM a),
