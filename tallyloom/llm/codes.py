@@ -38,7 +38,8 @@ def edges(dim: int, parts: int = PARTS) -> list[int]:
 
 
 class Segments:
-    """Block sums and residual norms of rows, from one block to blocks of two components."""
+    """Block sums, each over the root of its size, and residual norms of rows: one block, then four times as many until
+    blocks would be shorter than two components."""
 
     def __init__(self, rows: np.ndarray) -> None:
         self.rows = rows
