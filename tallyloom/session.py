@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -23,6 +27,24 @@ def local_session(cores: str = "*", shuffle: int = 8, memory: str = "8g") -> Spa
     )
 
 
+_scratch: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path where driver and executors share files: under spark.checkpoint.dir, or in a temporary folder
+    where a single machine runs all, as in tests. Executors of their own could not reach the latter, so there it is an
+    error."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not _scratch:
+            _scratch.append(tempfile.mkdtemp(prefix="tallyloom-"))
+            atexit.register(shutil.rmtree, _scratch[0], ignore_errors=True)
+        at = f"file://{_scratch[0]}"
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Lets Python workers import this package wherever the driver was started."""
     env = spark.sparkContext.environment

@@ -5,7 +5,7 @@ import time
 import pytest
 
 from tallyloom.operators.replicate import resolve
-from tallyloom.streaming import feed, steady, worker
+from tallyloom.streaming import feed, spending, steady, worker
 
 SCHEMA = "kind string, id long, updated_at long, deleted_at long, rev long, payload string"
 
@@ -56,10 +56,97 @@ def test_only_touched_buckets_are_written(spark, tmp_path):
     df = log(spark)
     latest = feed.Latest(spark, str(tmp_path / "state"), buckets=16)
     latest(df, 0)
-    was = latest._manifest(0)
+    was = latest.manifest(0).tables["records"]
     latest(spark.createDataFrame([("r", 1, 10**6, 0, 99, "new")], SCHEMA), 1)
-    now = latest._manifest(1)
-    assert sum(now[b] != was[b] for b in was) == 1 and latest.read().where("payload = 'new'").count() == 1
+    now = latest.manifest(1).tables["records"]
+    assert [len(now[b]) - len(was[b]) for b in was if now[b] != was[b]] == [1]  # one folder more in one bucket
+    assert latest.read().where("payload = 'new'").count() == 1
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def test_buckets_grow_merge_and_are_remembered(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(feed.Latest, "ROWS", 10)
+    monkeypatch.setattr(feed.Latest, "MOST_PARTS", 3)
+    latest, every = feed.Latest(spark, str(tmp_path / "state"), buckets=2), []
+    for batch in range(8):
+        every += [("r", (i * 7 + batch) % (20 * (batch + 1)), i % 5 + batch, 0, 1000 * batch + i, str(i)) for i in range(30)]
+        latest = feed.Latest(spark, str(tmp_path / "state"), buckets=3)  # the stored number counts, but for the first batch
+        latest(spark.createDataFrame(every[-30:], SCHEMA), batch)
+        df = spark.createDataFrame(every, SCHEMA)
+        assert rows_of(latest.read().select(*df.columns)) == rows_of(resolve(df).select(*df.columns))
+        m = latest.manifest()
+        assert all(len(fs) < 3 for fs in m.tables["records"].values()) and int(max(m.tables["records"], key=int)) < m.notes["buckets"]
+    assert m.notes["buckets"] == 12 and m.notes["rows"] <= 240
+
+
+def spent(rows):
+    """Sums of the final state, plainly. rows: (kind, id, owner, updated, deleted, payload)."""
+    import json
+    from decimal import Decimal
+
+    last = {}
+    for kind, i, owner, updated, deleted, payload in rows:
+        v = (updated, deleted != 0, payload)
+        if (kind, i) not in last or v > last[kind, i][0]:
+            last[kind, i] = (v, owner)
+    live = {k: (o, json.loads(v[2])) for k, (v, o) in last.items() if not v[1]}
+    out = {}
+
+    def put(by, key, amount):
+        total, n = out.get((by, key), (Decimal(0), 0))
+        out[by, key] = (total + Decimal(str(amount or 0)), n + 1)
+
+    for (kind, i), (owner, p) in live.items():
+        if kind == "receipts":
+            put("month", (p.get("purchased_at") or "okänt")[:7], p.get("total"))
+            put("merchant", p.get("merchant") or "Okänd butik", p.get("total"))
+        elif ("receipts", owner) in live and not p.get("is_discount") and not p.get("is_deposit"):
+            put("category", p.get("category_id"), p.get("total_price"))
+    return {k: (float(t), n) for k, (t, n) in out.items()}
+
+
+def test_sums_follow_inserts_changes_deletions_and_restorations(spark, tmp_path, monkeypatch):
+    import json
+    import random
+
+    monkeypatch.setattr(feed.Latest, "MOST_PARTS", 3)
+    rng = random.Random(4)
+    kept, every = spending.Spending(spark, str(tmp_path / "s"), buckets=2), []
+    for batch in range(6):
+        new = []
+        for _ in range(25):
+            r = str(rng.randrange(12))
+            day = rng.choice(["2024-01-05", "2024-02-01", None])
+            head = {"purchased_at": day, "total": rng.choice([1.25, 10, None, -3]), "merchant": rng.choice(["A", "B", None])}
+            line = {"category_id": rng.choice(["x", "y", None]), "total_price": rng.randrange(400) / 100, "is_discount": rng.random() < 0.2, "is_deposit": rng.random() < 0.2}
+            receipt = rng.random() < 0.5
+            new.append(("receipts" if receipt else "items", r if receipt else f"{r}-{rng.randrange(3)}", r, rng.randrange(9) + batch, rng.choice([0, 0, 7]), json.dumps(head if receipt else line)))
+        every += new
+        rows = [(k, i, o, u, dl, 100 * batch + j, p) for j, (k, i, o, u, dl, p) in enumerate(new)]
+        df = spark.createDataFrame(rows, "kind string, id string, owner string, updated_at long, deleted_at long, rev long, payload string")
+        if batch == 3:  # dies after everything is written, and comes again
+            with monkeypatch.context() as m, pytest.raises(OSError):
+                m.setattr(feed.Latest, "publish", lambda *_: (_ for _ in ()).throw(OSError("killed")))
+                kept(df, batch)
+        kept(df, batch)
+        kept(df, batch)  # the same batch again
+        got = {(by, r["key"]): (r["total"], r["n"]) for by in spending.BY for r in kept.sums(by).collect()}
+        assert got == spent(every)
+    kept.views("seen_")
+    assert spark.sql("SELECT sum(n) FROM seen_month").first()[0] == sum(n for (by, _), (_, n) in got.items() if by == "month")
+    assert all(len(fs) < 3 for fs in kept.manifest().tables["spending"].values())
+
+
+def test_sums_before_the_first_batch(spark, tmp_path):
+    kept = spending.Spending(spark, str(tmp_path / "s"))
+    assert kept.sums("month").count() == 0
+    kept(spark.createDataFrame([], "kind string, id string, owner string, updated_at long, deleted_at long, rev long, payload string"), 0)
+    assert kept.version() == 0 and kept.sums("category").count() == 0
+    with pytest.raises(ValueError):
+        kept.sums("shop")
 
 
 def plain_watch(rows):
