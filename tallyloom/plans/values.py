@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom import tables
 from tallyloom.functions import codes, dates, display, money, text
 from tallyloom.operators import names, quality
 from tallyloom.operators.categories import guess
@@ -263,16 +264,19 @@ def domain_candidates(d: Domain) -> DataFrame:
 _REAL = "CAST(5560000000 + (o_orderkey * {0} + o_custkey * 104729) % 40000000 AS VARCHAR)"
 
 
+def _numbered(d: Domain) -> DataFrame:
+    number = lambda m: (F.lit(5560000000) + (_k() * m + _c() * 104729) % 40000000).cast("string")
+    dashed = lambda n: F.concat(F.substring(n, 1, 6), F.lit("-"), F.substring(n, 7, 4))
+    between = F.when(_k() % 2 == 0, ", moms ").otherwise(F.concat(F.lit(", "), F.repeat(F.lit("x "), 25)))
+    return d.table("orders").select(_k().alias("id"), F.concat(F.lit("Org.nr "), dashed(number(7919)), between, dashed(number(6841))).alias("text"))
+
+
 @query("org_numbers", f"""WITH t AS (SELECT o_orderkey AS id, {_REAL.format(7919)} AS n, true AS labelled FROM orders UNION ALL SELECT o_orderkey, {_REAL.format(6841)}, o_orderkey % 2 = 0 FROM orders),
 c AS (SELECT id, n, bool_or(labelled) AS labelled FROM t WHERE CAST(substr(n, 3, 2) AS INTEGER) >= 20 AND {_LUHN} = 0 GROUP BY 1, 2)
 SELECT id, n AS digits, labelled, CASE WHEN labelled THEN 1.0 ELSE 0.75 END AS confidence FROM c""", plain=True)
 def org_numbers(d: Domain) -> DataFrame:
     """Two numbers in one line; the second's label is in reach of every other receipt only."""
-    number = lambda m: (F.lit(5560000000) + (_k() * m + _c() * 104729) % 40000000).cast("string")
-    dashed = lambda n: F.concat(F.substring(n, 1, 6), F.lit("-"), F.substring(n, 7, 4))
-    between = F.when(_k() % 2 == 0, ", moms ").otherwise(F.concat(F.lit(", "), F.repeat(F.lit("x "), 25)))
-    texts = d.table("orders").select(_k().alias("id"), F.concat(F.lit("Org.nr "), dashed(number(7919)), between, dashed(number(6841))).alias("text"))
-    return names.org_numbers(texts).select("id", "digits", "labelled", F.round("confidence", 6).alias("confidence"))
+    return names.org_numbers(_numbered(d)).select("id", "digits", "labelled", F.round("confidence", 6).alias("confidence"))
 
 
 @query("purchase_dates", """SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') || 'T09:05:00' AS value, CASE WHEN CAST(o_orderdate AS DATE) > DATE '1999-06-01' THEN 0.4 WHEN date_diff('day', CAST(o_orderdate AS DATE), DATE '1999-06-01') <= 400 THEN 1.0 ELSE 0.85 END AS confidence FROM orders""", plain=True)
@@ -295,3 +299,22 @@ def company_matches(d: Domain) -> DataFrame:
     suppliers = d.table("supplier").select(key.alias("id"), name.alias("name"), (key % 4 != 0).alias("active"))
     texts = suppliers.select("id", F.concat(F.lit("Tack för besöket hos "), F.translate("name", "ok", "0r"), F.lit("! Summa 12,50 kr")).alias("text"))
     return names.match_companies(texts, suppliers.withColumn("name", F.concat("name", F.lit(" Handel AB")))).select("id", "company_id", "confirmed")
+
+
+@query("org_number_places", f"""WITH t AS (SELECT o_orderkey AS id, {_REAL.format(7919)} AS n, true AS labelled, 7 AS p FROM orders UNION ALL SELECT o_orderkey, {_REAL.format(6841)}, o_orderkey % 2 = 0, CASE WHEN o_orderkey % 2 = 0 THEN 25 ELSE 70 END FROM orders)
+SELECT id, n AS digits, bool_or(labelled) AS labelled, first(p ORDER BY labelled DESC, p) AS \"at\" FROM t WHERE CAST(substr(n, 3, 2) AS INTEGER) >= 20 AND {_LUHN} = 0 GROUP BY 1, 2""", plain=True)
+def org_number_places(d: Domain) -> DataFrame:
+    """The numbers of org_numbers with the characters ahead of each, by a table function of SQL."""
+    tables.register(d.spark)
+    return d.spark.sql("SELECT t.id, f.digits, f.labelled, f.at FROM {texts} t, LATERAL tl_org_numbers(t.text) f", texts=_numbered(d))
+
+
+@query("scanned_pieces", """SELECT CAST(o_custkey AS VARCHAR) AS id, count(*) AS texts,
+  first(strftime(o_orderdate, '%Y-%m-%d') || 'T09:05:00' ORDER BY CASE WHEN CAST(o_orderdate AS DATE) > DATE '1999-06-01' THEN 2 WHEN date_diff('day', CAST(o_orderdate AS DATE), DATE '1999-06-01') <= 400 THEN 0 ELSE 1 END, o_orderdate) AS value,
+  'butik' || o_custkey AS name FROM orders GROUP BY o_custkey""", plain=True)
+def scanned_pieces(d: Domain) -> DataFrame:
+    """The best date and domain of all texts of a customer, by a table function over a partitioned table."""
+    tables.register(d.spark)
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    texts = d.table("orders").select(_c().alias("id"), F.concat(F.lit("www.butik"), _c().cast("string"), F.lit(".se\nDatum "), day, F.lit(" 9:05\nsumma 12,50")).alias("text"))
+    return d.spark.sql("SELECT id, texts, value, name FROM tl_scan(TABLE(SELECT * FROM {texts}) PARTITION BY (id), DATE'1999-06-01')", texts=texts)
