@@ -188,8 +188,3 @@ def flatten_registry(raw: DataFrame, json_col: str = "raw") -> DataFrame:
     d = F.from_json(json_col, "data struct<organization_number string, name string, status string, address string, sni_codes array<struct<description string>>>")["data"]
     rows = raw.withColumn("_d", d).where(check_org_number(F.col("_d.organization_number"))["valid"])
     return rows.select(org_number(F.col("_d.organization_number")).alias("id"), F.col("_d.name").alias("name"), (F.lower("_d.status") == "active").alias("active"), F.col("_d.address").alias("address"), F.try_element_at(F.col("_d.sni_codes"), F.lit(1))["description"].alias("industry"), F.col(json_col).alias("raw"))
-
-
-def search_registry(registry: DataFrame, query: str, most: int = 10) -> DataFrame:
-    """Companies whose name contains the query, at most so many, the shortest names first."""
-    return registry.where(F.contains(F.lower("name"), F.lit(query.lower()))).orderBy(F.length("name"), "id").limit(most)

@@ -13,6 +13,8 @@ from tallyloom.operators.categories import guess
 from tallyloom.operators.extract import pick_text
 from tallyloom.operators.replicate import overlay
 from tallyloom.plans.registry import query
+from tallyloom.session import scratch
+from tallyloom.sources import registry
 from tallyloom.sources.adapter import Domain
 
 
@@ -318,3 +320,39 @@ def scanned_pieces(d: Domain) -> DataFrame:
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     texts = d.table("orders").select(_c().alias("id"), F.concat(F.lit("www.butik"), _c().cast("string"), F.lit(".se\nDatum "), day, F.lit(" 9:05\nsumma 12,50")).alias("text"))
     return d.spark.sql("SELECT id, texts, value, name FROM tl_scan(TABLE(SELECT * FROM {texts}) PARTITION BY (id), DATE'1999-06-01')", texts=texts)
+
+
+@query("registry_range", f"""WITH t AS (SELECT c_custkey AS k, CAST(5560000000 + c_custkey * 7919 % 40000000 AS VARCHAR) AS n FROM customer)
+SELECT n AS id, 'Bolag ' || k AS name, k % 3 > 0 AS active, 'b' || k AS industry FROM t WHERE n BETWEEN '5560100000' AND '5580000000' AND {_LUHN} = 0""", plain=True)
+def registry_range(d: Domain) -> DataFrame:
+    """Customers' invented numbers stored as a registry in files, and a range of them read back by the data source."""
+    k = F.col("c_custkey")
+    n = (F.lit(5560000000) + k * 7919 % 40000000).cast("string")
+    number = F.concat(F.substring(n, 1, 6), F.lit("-"), F.substring(n, 7, 4))
+    raw = F.to_json(F.struct(number.alias("org_number"), F.concat(F.lit("Bolag "), _s(k)).alias("name"), (k % 3 > 0).alias("active"), F.array(F.struct(F.concat(F.lit("b"), _s(k)).alias("description"))).alias("sni_codes")))
+    at = scratch(d.spark, "registry")
+    registry.store(d.table("customer").select(number.alias("number"), raw.alias("raw")), at, files=8)
+    some = d.spark.read.format("registry").load(at).where(F.col("number").between("556010-0000", "558000-0000"))
+    return registry.valid(some).select("id", "name", "active", "industry")
+
+
+@query("company_list", """WITH c AS (SELECT c_custkey AS k, c_name AS name FROM customer WHERE c_custkey % 4 <> 0)
+SELECT k AS id, name, false AS asked FROM c UNION ALL SELECT k, name, true FROM c WHERE k = 7""", plain=True)
+def company_list(d: Domain) -> DataFrame:
+    """Stored companies that are not deleted, and the one of a number that is written with its century."""
+    k = F.col("c_custkey")
+    ten = F.lpad((k * 100 + F.lit(5560120000)).cast("string"), 10, "0")
+    stored = d.table("customer").select(ten.alias("id"), k.alias("k"), F.col("c_name").alias("name"), F.when(k % 4 == 0, 9).otherwise(0).alias("deleted_at"))
+    one = registry.company(stored, "16556012-0700")
+    rows = lambda df, asked: df.select(F.col("k").alias("id"), "name", F.lit(asked).alias("asked"))
+    return rows(registry.companies(stored), False).unionByName(rows(one, True))
+
+
+@query("registry_search", f"""WITH t AS (SELECT c_custkey AS k, CAST(5560000000 + c_custkey * 7919 % 40000000 AS VARCHAR) AS n FROM customer),
+h AS (SELECT * FROM t WHERE k % 7 = 3 ORDER BY n LIMIT 10) SELECT n AS id, k FROM h WHERE {_LUHN} = 0""", plain=True)
+def registry_search(d: Domain) -> DataFrame:
+    """The first ten hits of a search in the registry's order, less those whose number does not hold."""
+    k = F.col("c_custkey")
+    n = (F.lit(5560000000) + k * 7919 % 40000000).cast("string")
+    rows = d.table("customer").select(F.concat(F.substring(n, 1, 6), F.lit("-"), F.substring(n, 7, 4)).alias("number"), F.when(k % 7 == 3, "Bygg & Hem").otherwise("Bok").alias("name"), k.alias("k"), F.lit("").alias("raw"))
+    return registry.search(rows, " bygg ").select("id", "k")

@@ -251,4 +251,3 @@ def test_addresses_and_registry(spark):
     raw = spark.createDataFrame([('{"data": {"organization_number": "5560125790", "name": "Volvo", "status": "Active", "sni_codes": [{"description": "cars"}]}}',), ('{"data": {"organization_number": "1", "name": "No"}}',), ("x",)], "raw string")
     got = records.flatten_registry(raw).collect()
     assert [(r["id"], r["name"], r["active"], r["industry"]) for r in got] == [("556012-5790", "Volvo", True, "cars")]
-    assert records.search_registry(records.flatten_registry(raw), "VOL").count() == 1
