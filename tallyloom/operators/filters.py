@@ -219,27 +219,6 @@ def purchase_order(by: str, descending: bool) -> list[Column]:
     return [_both_ways(keys[by], descending), F.col("receipt_id").asc(), F.col("line_no").asc(), F.col("part_id").asc(), F.col("total_price").asc()]
 
 
-def places(df: DataFrame, order: list[Column], step: Column, name: str = "place") -> DataFrame:
-    """df with the place of each row in the whole order, from 1.
-
-    step is a number that never falls along order, such as a month; rows are ranked within their step and moved on by
-    the counts of the steps ahead, so only one row for each step is put in sequence.
-    """
-    from pyspark.sql import Window
-
-    df = df.withColumn("_step", step)
-    counts = df.groupBy("_step").agg(F.count(F.lit(1)).alias("_n"))
-    ahead = counts.select("_step", F.coalesce(F.sum("_n").over(Window.orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
-    ranked = df.withColumn("_k", F.row_number().over(Window.partitionBy("_step").orderBy(*order)))
-    return ranked.join(ahead, "_step").withColumn(name, (F.col("_k") + F.col("_ahead")).cast("bigint")).drop("_step", "_k", "_ahead")
-
-
-def month_step(date: Column, descending: bool) -> Column:
-    """A step for places() in an order by date: months, undated rows last."""
-    month = F.regexp_replace(F.substring(date, 1, 7), "-", "").try_cast("int")
-    return F.coalesce(-month if descending else month, F.lit(10**6))
-
-
 def page(df: DataFrame, order: list[Column], pages: int, rows: int = 150) -> DataFrame:
     """The first pages of an ordered list."""
     return df.orderBy(*order).limit(pages * rows)

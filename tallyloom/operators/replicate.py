@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators.order import placed
+
 #: Kinds of records in the order in which revisions are given out.
 KINDS = ("companies", "receipts", "items", "categories", "tags", "receiptTags", "secrets")
 ID_MOST, PAYLOAD_MOST, SECRET_MOST = 128, 512 * 1024, 16_384
@@ -49,26 +51,15 @@ def outcomes(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return incoming.join(s, ["kind", "id"], "left").withColumn("outcome", F.when(F.col("_stored").isNull() | (mine > F.col("_stored")), "applied").otherwise("stale")).drop("_stored")
 
 
-def revisions(applied: DataFrame, base: int, order: str, kinds: Sequence[str] = KINDS, rows: int = 1_000_000) -> DataFrame:
+def revisions(applied: DataFrame, base: int, order: str, kinds: Sequence[str] = KINDS, ranges: int | None = None) -> DataFrame:
     """applied with gapless revisions after base: kinds in the order of kinds, then by the column order.
 
-    Rows are sorted by range into partitions of about so many rows, numbered within them, and moved on by the counts
-    of the partitions ahead: one row for each partition is put in sequence, and a large kind is numbered in many
-    tasks. Rows that tie in kind and order must be alike. Kinds that kinds does not name come last.
+    Ranges of the order are drawn from the data, so neither a large kind nor an order that bunches comes to one task.
+    Rows that tie in kind and order must be alike. Kinds that kinds does not name come last.
     """
     place = F.coalesce(F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("kind")), F.lit(0))
     keyed = applied.withColumn("_kind", F.when(place == 0, len(kinds) + 1).otherwise(place))
-    n = keyed.groupBy("_kind").agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_low"), F.max(order).alias("_high"))
-    # equal steps of order within a kind; a step holds rows rows or so if order is spread evenly
-    step = F.greatest((F.col("_high") - F.col("_low")) / F.greatest(F.ceil(F.col("_n") / rows), F.lit(1)), F.lit(1))
-    keyed = keyed.join(n, "_kind").withColumn("_step", F.floor((F.col(order) - F.col("_low")) / step))
-    counts = keyed.groupBy("_kind", "_step").agg(F.count(F.lit(1)).alias("_m"))
-    inside = Window.partitionBy("_kind").orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.orderBy("_kind").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each kind
-    kinds_ahead = n.select("_kind", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_base"))
-    starts = counts.select("_kind", "_step", F.coalesce(F.sum("_m").over(inside), F.lit(0)).alias("_start")).join(kinds_ahead, "_kind")
-    numbered = keyed.withColumn("_k", F.row_number().over(Window.partitionBy("_kind", "_step").orderBy(order))).join(starts, ["_kind", "_step"])
-    return numbered.withColumn("new_rev", F.col("_k") + F.col("_start") + F.col("_base") + base).select(*applied.columns, "new_rev")
+    return placed(keyed, [F.col("_kind").asc(), F.col(order).asc()], "new_rev", ranges, base).drop("_kind")
 
 
 def written_by_server(changes: DataFrame, records: DataFrame, last_rev: int, device: str = "server") -> DataFrame:

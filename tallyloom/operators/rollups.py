@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.dates import month_key
 from tallyloom.functions.money import round_half_up
 from tallyloom.operators.filters import dated
+from tallyloom.operators.order import islands
 
 UNKNOWN_MONTH, UNKNOWN_SHOP, OTHER = "okänt", "Okänd butik", "Övrigt"
 
@@ -87,17 +88,15 @@ def last_months(months: DataFrame, n: int = 12) -> DataFrame:
 
 
 def sections(receipts: DataFrame, order: list[Column], review: Column) -> DataFrame:
-    """Receipts in list order with their month's section: a new one whenever the month differs from the row before.
+    """Receipts with their month, its section and how many of the list's receipts of that month are to be reviewed.
 
-    Counting sections needs the whole order. Rows are numbered by month first and only months, a few hundred rows,
-    are put in sequence; that holds for lists in date order, in which a month is one run.
+    A new section begins whenever the month differs from the row before, whatever the order is: in a list by total a
+    month has as many sections as it has runs.
     """
     month = F.coalesce(month_key(F.col("purchased_at")), F.lit(UNKNOWN_MONTH))
-    df = receipts.withColumn("month", month)
-    heads = df.groupBy("month").agg(F.sum(review.cast("int")).alias("to_review"))
-    w = Window.orderBy(F.when(F.col("month") == UNKNOWN_MONTH, None).otherwise(F.col("month")).desc_nulls_last())
-    heads = heads.withColumn("section", F.row_number().over(w))
-    return df.join(F.broadcast(heads), "month").orderBy(*order)  # one row for each month: at most 12 x the years covered
+    df = receipts.withColumn("month", month).withColumn("_review", review.cast("int"))
+    heads = df.groupBy("month").agg(F.sum("_review").alias("to_review"))
+    return islands(df, order, "month", "section").join(F.broadcast(heads), "month").drop("_review")  # heads: one row a month, at most 12 x the years covered
 
 
 def price(unit_price: Column, total: Column, quantity: Column) -> Column:

@@ -75,13 +75,13 @@ def assign_rev(d: Domain) -> DataFrame:
     """Event types stand for kinds, whose order is companies, receipts, items, categories, tags."""
     name = F.create_map(*[F.lit(x) for kv in _AS_KINDS.items() for x in kv])
     changes = d.changes.withColumn("kind", F.coalesce(F.try_element_at(name, F.col("kind")), F.lit("other")))
-    return replicate.revisions(changes, 100, "rev", rows=2000).select("rev", "new_rev")
+    return replicate.revisions(changes, 100, "rev", ranges=7).select("rev", "new_rev")
 
 
-@query("server_write", """, named AS (SELECT rev AS seq, CASE kind WHEN 'purchase' THEN 'receipts' ELSE 'items' END AS kind, id FROM changes WHERE value > 50)
+@query("server_write", """, named AS (SELECT rev AS seq, CASE kind WHEN 'purchase' THEN 'receipts' ELSE 'items' END AS kind, id FROM changes)
 SELECT kind, id, 7000 + row_number() OVER (ORDER BY kind = 'items', seq) AS rev, 'server' AS device FROM named""")
 def server_write(d: Domain) -> DataFrame:
-    rows = d.changes.where("value > 50").withColumnRenamed("rev", "seq").withColumn("kind", F.when(F.col("kind") == "purchase", "receipts").otherwise("items"))
+    rows = d.changes.withColumnRenamed("rev", "seq").withColumn("kind", F.when(F.col("kind") == "purchase", "receipts").otherwise("items"))
     log = d.changes.withColumn("device", F.lit(None).cast("string")).drop("value")
     return replicate.written_by_server(log, rows.drop("value"), 7000).select("kind", "id", "rev", "device")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import display
 from tallyloom.operators import filters, store
 from tallyloom.operators.filters import PurchaseFilter, ReceiptFilter
+from tallyloom.operators.order import placed
 from tallyloom.plans.registry import query
 from tallyloom.sources.adapter import Domain, decode, live
 
@@ -153,18 +154,41 @@ def scope_filter(d: Domain) -> DataFrame:
 
 @query("receipts_sorted", "SELECT id, row_number() OVER (ORDER BY total DESC, id) AS place FROM live")
 def receipts_sorted(d: Domain) -> DataFrame:
-    return filters.places(d.live, filters.receipt_order("total", True), -F.floor(F.coalesce("total", F.lit(0)) / 1000)).select("id", "place")
+    return placed(d.live.select("id", "total"), filters.receipt_order("total", True)).select("id", "place")
 
 
 @query("receipts_by_date", "SELECT id, row_number() OVER (ORDER BY purchased_at DESC, id) AS place FROM live")
 def receipts_by_date(d: Domain) -> DataFrame:
-    return filters.places(d.live, filters.receipt_order("date", True), filters.month_step(F.col("purchased_at"), True)).select("id", "place")
+    return placed(d.live.select("id", "purchased_at", "updated_at"), filters.receipt_order("date", True)).select("id", "place")
+
+
+@query("receipts_by_added", "SELECT id, row_number() OVER (ORDER BY updated_at DESC, id) AS place FROM live")
+def receipts_by_added(d: Domain) -> DataFrame:
+    return placed(d.live.select("id", "updated_at"), filters.receipt_order("added", True)).select("id", "place")
+
+
+@query("receipts_by_items", "SELECT id, row_number() OVER (ORDER BY n, id) AS place FROM (SELECT id, (SELECT count(*) FROM items WHERE receipt_id = id) AS n FROM live)")
+def receipts_by_items(d: Domain) -> DataFrame:
+    counts = d.items.groupBy(F.col("receipt_id").alias("id")).agg(F.count(F.lit(1)).alias("item_count"))
+    return placed(d.live.select("id").join(counts, "id", "left"), filters.receipt_order("items", False)).select("id", "place")
+
+
+@query("receipts_by_merchant", "SELECT id, row_number() OVER (ORDER BY coalesce(merchant, ''), id) AS place FROM live")
+def receipts_by_merchant(d: Domain) -> DataFrame:
+    """Customers' names have one form, so that their order by letters is the collation's."""
+    return placed(d.live.select("id", "merchant"), filters.receipt_order("merchant", False)).select("id", "place")
+
+
+@query("purchases_by_quantity", "SELECT receipt_id, line_no, part_id, row_number() OVER (ORDER BY quantity DESC, receipt_id, line_no, part_id, total_price) AS place FROM bought")
+def purchases_by_quantity(d: Domain) -> DataFrame:
+    rows = filters.purchases(d.items, d.receipts).select("receipt_id", "line_no", "part_id", "total_price", "quantity")
+    return placed(rows, filters.purchase_order("quantity", True)).select("receipt_id", "line_no", "part_id", "place")
 
 
 @query("purchases_sorted", "SELECT receipt_id, line_no, part_id, row_number() OVER (ORDER BY purchased_at, line_no, receipt_id, part_id, total_price) AS place FROM bought")
 def purchases_sorted(d: Domain) -> DataFrame:
     order = filters.purchase_order("date", False)
-    rows = filters.places(filters.purchases(d.items, d.receipts), order, filters.month_step(F.col("purchased_at"), False))
+    rows = placed(filters.purchases(d.items, d.receipts).select("receipt_id", "line_no", "part_id", "total_price", "purchased_at", "search_name"), order)
     return rows.select("receipt_id", "line_no", "part_id", "place")
 
 

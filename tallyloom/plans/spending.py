@@ -93,8 +93,21 @@ def category_cum_share(d: Domain) -> DataFrame:
 @query("month_sections", """, l AS (SELECT id, substr(purchased_at, 1, 7) AS month, CASE status WHEN 'failed' THEN true WHEN 'confirmed' THEN false ELSE warned END AS review FROM live)
 SELECT id, month, dense_rank() OVER (ORDER BY month DESC) AS section, sum(CAST(review AS INTEGER)) OVER (PARTITION BY month) AS to_review FROM l""")
 def month_sections(d: Domain) -> DataFrame:
-    s = rollups.sections(d.live, filters.receipt_order("date", True), filters.needs_review(F.col("status"), F.col("warnings")))
-    return s.select("id", "month", F.col("section").cast("bigint").alias("section"), "to_review")
+    return _sections(d, "date")
+
+
+@query("month_sections_by_total", """, l AS (SELECT id, total, substr(purchased_at, 1, 7) AS month, CASE status WHEN 'failed' THEN true WHEN 'confirmed' THEN false ELSE warned END AS review FROM live),
+t AS (SELECT *, month IS DISTINCT FROM lag(month) OVER (ORDER BY total DESC, id) AS turn FROM l)
+SELECT id, month, CAST(sum(CAST(turn AS INTEGER)) OVER (ORDER BY total DESC, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS section, sum(CAST(review AS INTEGER)) OVER (PARTITION BY month) AS to_review FROM t""")
+def month_sections_by_total(d: Domain) -> DataFrame:
+    """A list by total, in which months have many sections."""
+    return _sections(d, "total")
+
+
+def _sections(d: Domain, by: str) -> DataFrame:
+    rows = d.live.select("id", "total", "purchased_at", "updated_at", "status", "warnings")
+    s = rollups.sections(rows, filters.receipt_order(by, True), filters.needs_review(F.col("status"), F.col("warnings")))
+    return s.select("id", "month", "section", "to_review")
 
 
 @query("bar_share", f", t AS ({_BY_CATEGORY}) SELECT category_id, round(total / max(total) OVER () * 100, 6) AS bar FROM t")
