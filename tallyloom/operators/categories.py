@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Categories in order, with the words that point to them.
@@ -30,13 +33,60 @@ def guess(search_name: Column, words: dict[str, tuple[str, ...]] = WORDS) -> Col
     return F.try_element_at(hits, F.lit(1))["s"]
 
 
-def guess_by(items: DataFrame, dictionary: DataFrame, keys: list[str]) -> DataFrame:
-    """The same from a dictionary table (word, slug, position) of any size: names are looked up by their words' parts.
+#: Bytes of words that one automaton holds; a larger dictionary is searched for in several passes over the names.
+PASS_BYTES = 16_000_000
+_automata: dict[str, tuple] = {}
+
+
+def _automaton(key: str, words: list[tuple[str, str | None, int]]):
+    """The automaton of a part of the dictionary, which a worker builds once and keeps for its next tasks."""
+    import ahocorasick
+
+    if key not in _automata:
+        _automata.clear()
+        best: dict[str, tuple] = {}
+        for word, slug, position in words:
+            if word not in best or position < best[word][0]:
+                best[word] = (position, slug)
+        made = ahocorasick.Automaton()
+        for word, (position, slug) in best.items():
+            made.add_word(word, (len(word), -position, slug))
+        made.make_automaton()
+        _automata[key] = (made, len(best))
+    return _automata[key]
+
+
+def guess_in(names: DataFrame, dictionary: DataFrame, column: str = "search_name", pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """names with slug, by a dictionary (word, slug, position) of any size: that of the longest word which the name
+    contains anywhere, the first by position of equally long ones; null if it contains none.
 
-    Words of one token meet as equal substrings of a name's tokens, so no name is compared with every word.
+    Names run once through an automaton of all words, whatever their number and length, so words of several tokens and
+    parts of a token are found alike. Null names contain nothing, and empty or null words count for nothing.
     """
-    token = items.select(*keys, F.explode(F.split("search_name", " ")).alias("t")).distinct()
-    sizes = F.sequence(F.lit(1), F.length("t"))
-    parts = token.select(*keys, F.explode(F.array_distinct(F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length("t") - n + 1), lambda i: F.substring(F.col("t"), i, n)))))).alias("word"))
-    w = Window.partitionBy(*keys).orderBy(F.length("word").desc(), "position")
-    return parts.join(dictionary, "word").withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*keys, "slug")
+    sound = dictionary.where(F.length("word") > 0).select("word", "slug", F.col("position").cast("long").alias("position"))
+    size = sound.agg(F.sum(F.octet_length("word") + F.coalesce(F.octet_length("slug"), F.lit(0)) + 8)).first()[0] or 0
+    passes = max(1, -(-size // pass_bytes))
+    out = names.withColumn("_best", F.lit(None).cast("struct<size:int,first:long,slug:string>"))
+    for k in range(passes):
+        part = sound if passes == 1 else sound.where(F.pmod(F.xxhash64("word"), F.lit(passes)) == k)
+        out = out.withColumn("_best", F.greatest("_best", _longest([tuple(r) for r in part.collect()])(F.col(column))))
+    return out.withColumn("slug", F.col("_best.slug")).drop("_best")
+
+
+def _longest(words: list[tuple[str, str | None, int]]):
+    key = f"{len(words)}-{hash(tuple(words))}"
+
+    @F.pandas_udf("struct<size:int,first:long,slug:string>")
+    def longest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        made, n = _automaton(key, words)
+        for batch in batches:
+            rows = [max((hit for _, hit in made.iter(name)), key=lambda h: h[:2], default=None) if n and isinstance(name, str) else None for name in batch]
+            got = pd.DataFrame([r or (None, None, None) for r in rows], columns=["size", "first", "slug"])
+            yield got.astype({"size": "Int32", "first": "Int64", "slug": object})
+
+    return lambda c: F.when(c.isNotNull(), longest(c))
+
+
+def guess_by(items: DataFrame, dictionary: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and slug of the items that a word of the dictionary stands in; see guess_in."""
+    return guess_in(items.select(*keys, "search_name"), dictionary).where(F.col("slug").isNotNull()).select(*keys, "slug")

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import search_name
+from tallyloom.operators.categories import guess
+from tallyloom.operators.replicate import overlay
+from tallyloom.sources.versions import Versions
 
 #: Categories that every replica seeds alike, as (slug, name, scope).
 SEEDS = (
@@ -153,18 +156,57 @@ def create_or_revive(tags: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.select("name", F.coalesce("t.id", F.sha2(F.lower("name"), 256)).alias("id"), action.alias("action"))
 
 
-def apply_extraction(receipts: DataFrame, items: DataFrame, readings: DataFrame, fields: Sequence[str], now: int) -> tuple[DataFrame, DataFrame]:
-    """New versions of receipts and items after readings (id, fields, items): old lines get tombstones, new ones are
-    numbered from 0, a field that was read replaces what was there, and the receipt is parsed."""
-    r = readings.select("id", F.lit(True).alias("_read"), *[F.col(f).alias(f"_{f}") for f in fields])
+def apply_extraction(
+    receipts: DataFrame, items: DataFrame, readings: DataFrame, fields: Sequence[str], now: int, replaced: Sequence[str] = (), merchant: Sequence[str] = (),
+) -> tuple[DataFrame, DataFrame]:
+    """New versions of receipts and items after readings (id, fields, items).
+
+    Live lines of a receipt that was read get tombstones, which count as changed; new ones are numbered from 0, with an
+    id from the receipt, the time and their place, their search name, and the seeded category that a word of their name
+    points to. Of the fields one that was read takes the place of what was there, and one that was not leaves it;
+    replaced are fields that are taken even if they were not read. merchant names the fields of a struct merchant that
+    are overlaid one by one. The receipt is parsed and counts its new lines. Receipts without a reading stay as they
+    are, and readings of receipts that are not there add nothing. A null list of items is an empty one.
+    """
+    r = readings.join(receipts.select("id"), "id", "left_semi")
+    merchant_of = [*(["merchant"] if merchant else [])]
+    taken = [*fields, *replaced, *merchant_of]
+    lines = F.coalesce("items", F.array().cast(readings.schema["items"].dataType))
+    heads = r.select("id", F.lit(True).alias("_read"), F.size(lines).alias("_lines"), *[F.col(f).alias(f"_{f}") for f in taken])
+    out = receipts.join(heads, "id", "left")
     read = F.coalesce(F.col("_read"), F.lit(False))
-    headers = receipts.join(r, "id", "left")
-    headers = headers.withColumns({f: F.coalesce(F.col(f"_{f}"), F.col(f)) for f in fields} | {"status": F.when(read, "parsed").otherwise(F.col("status")), "updated_at": F.when(read, F.lit(now)).otherwise(F.col("updated_at"))})
-    of = readings.select(F.col("id").alias("receipt_id"))
-    dead = F.when((F.col("deleted_at") == 0) & F.col("_read").isNotNull(), F.lit(now)).otherwise(F.col("deleted_at"))
-    old = items.join(of.withColumn("_read", F.lit(True)), "receipt_id", "left").withColumn("deleted_at", dead.cast("bigint")).drop("_read")
-    new = readings.select(F.col("id").alias("receipt_id"), F.posexplode("items").alias("line_no", "_i")).select("receipt_id", "line_no", F.col("_i.name").alias("name"), F.lit(0).cast("bigint").alias("deleted_at"))
-    return headers.drop("_read", *[f"_{f}" for f in fields]), old.unionByName(new, allowMissingColumns=True)
+    new = {f: F.coalesce(F.col(f"_{f}"), F.col(f)) for f in fields} | {f: F.when(read, F.col(f"_{f}")).otherwise(F.col(f)) for f in replaced}
+    if merchant:
+        new["merchant"] = F.when(read, overlay(F.col("_merchant"), F.col("merchant"), merchant)).otherwise(F.col("merchant"))
+    new |= {"status": F.when(read, "parsed").otherwise(F.col("status")), "updated_at": F.when(read, F.lit(now)).otherwise(F.col("updated_at"))}
+    if "dirty" in receipts.columns:
+        new["dirty"] = F.when(read, 1).otherwise(F.col("dirty"))
+    if "item_count" in receipts.columns:
+        new["item_count"] = F.when(read, F.col("_lines")).otherwise(F.col("item_count"))
+    headers = out.withColumns(new).select(*receipts.columns)
+    of = r.select(F.col("id").alias("receipt_id"), F.lit(True).alias("_hit"))
+    marked = items.join(of, "receipt_id", "left")
+    dead = F.coalesce(F.col("_hit"), F.lit(False)) & (F.col("deleted_at") == 0)
+    changed = {c: F.when(dead, F.lit(v).cast(items.schema[c].dataType)).otherwise(F.col(c)) for c, v in (("deleted_at", now), ("updated_at", now), ("dirty", 1)) if c in items.columns}
+    old = marked.withColumns(changed).select(*items.columns)
+    each = r.select(F.col("id").alias("receipt_id"), F.posexplode(lines).alias("line_no", "_i"))
+    given = [f for f in readings.schema["items"].dataType.elementType.names if f in items.columns]
+    named = search_name(F.col("_i.name"))
+    slug = guess(named)
+    made = {
+        "line_no": F.col("line_no"), "search_name": named, "category_id": F.when(slug.isNotNull(), F.concat(F.lit("seed-category-"), slug)), "deleted_at": F.lit(0), "updated_at": F.lit(now),
+        "dirty": F.lit(1), "id": F.sha2(F.concat_ws("/", "receipt_id", F.lit(now), "line_no"), 256), "rev": F.lit(0),
+    } | {f: F.col(f"_i.{f}") for f in given}
+    fresh = each.select("receipt_id", *[made[c].cast(items.schema[c].dataType).alias(c) for c in made if c in items.columns])
+    return headers, old.unionByName(fresh, allowMissingColumns=True).select(*items.columns)
+
+
+def commit_extraction(versions: Versions, version: int, readings: DataFrame, fields: Sequence[str], now: int, **more: Sequence[str]) -> None:
+    """Applies readings to the tables receipts and items of versions and puts both in place at once: a reader, or a run
+    after a crash at any point, sees both as they were or both as they are. Other tables stay."""
+    receipts, items = versions.read("receipts"), versions.read("items")
+    heads, lines = apply_extraction(receipts, items, readings, fields, now, **more)
+    versions.commit(version, {"receipts": heads, "items": lines})
 
 
 def stable_json(df: DataFrame, columns: Sequence[str], name: str = "json") -> DataFrame:
