@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators import jobs, names, replicate, vision
+from tallyloom.operators import jobs, names, replicate, tone, vision
 from tallyloom.plans.registry import query
 from tallyloom.sources.adapter import Domain
 
@@ -221,3 +221,12 @@ def detect_confidence(d: Domain) -> DataFrame:
 @query("ink_ratio", "WITH p AS (SELECT user_id AS frame_id, CAST(event_id * 7919 % 256 AS INTEGER) AS value FROM events), a AS (SELECT frame_id, count(*) AS n, quantile_disc(value, 0.9) AS paper FROM p GROUP BY 1) SELECT frame_id, CASE WHEN n >= 64 THEN (SELECT count(*) FROM p WHERE p.frame_id = a.frame_id AND value < 0.72 * paper) / CAST(n AS DOUBLE) END AS ink FROM a", plain=True)
 def ink_ratio(d: Domain) -> DataFrame:
     return vision.ink_ratio(d.table("events").select(F.col("user_id").alias("frame_id"), (F.col("event_id") * 7919 % 256).cast("int").alias("value")))
+
+
+@query("stretched_frames", """WITH p AS (SELECT user_id AS frame_id, event_id AS x, CAST(event_id * 7919 % 256 AS INTEGER) AS value FROM events),
+c AS (SELECT frame_id, value, sum(count(*)) OVER (PARTITION BY frame_id ORDER BY value) AS run, sum(count(*)) OVER (PARTITION BY frame_id) AS n FROM p GROUP BY 1, 2),
+e AS (SELECT frame_id, greatest(1, min(value) FILTER (run >= n * CAST(0.02 AS DOUBLE))) AS low, min(value) FILTER (run >= n * CAST(0.98 AS DOUBLE)) AS high FROM c GROUP BY 1)
+SELECT frame_id, x, CAST(greatest(0, least(255, floor((value - low) * CAST(255 AS DOUBLE) / greatest(1, high - low) + 0.5))) AS INTEGER) AS value FROM p JOIN e USING (frame_id)""", plain=True)
+def stretched_frames(d: Domain) -> DataFrame:
+    pixels = d.table("events").select(F.col("user_id").alias("frame_id"), F.col("event_id").alias("x"), F.lit(0).alias("y"), (F.col("event_id") * 7919 % 256).alias("value"))
+    return tone.stretched(pixels).select("frame_id", "x", "value")
