@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, StringType, StructField, StructType
 
 from tallyloom.functions import codes, text
 from tallyloom.functions.dates import parse_date
@@ -19,29 +21,57 @@ DATE = ("purchasedAt", "purchased_at", "date", "datetime", "dateTime")
 ITEMS = ("items", "lineItems", "line_items", "products")
 VAT = ("vatLines", "vat_lines", "vat", "moms")
 MERCHANT = ("merchant", "store", "seller")
+SELLER = {
+    "name": ("name", "merchant", "store", "storeName"), "org_number": ("orgNumber", "org_number", "orgnr"), "vat_number": ("vatNumber", "vat_number", "momsnr"),
+    "address": ("address", "street"), "postal_code": ("postalCode", "postal_code", "zip"), "city": ("city", "town", "ort"), "country": ("country",),
+    "phone": ("phone", "tel", "telefon"), "store_id": ("storeId", "store_id", "butiksnummer"),
+}
+PRINTED_AS = {
+    "payment_method": ("paymentMethod", "payment_method", "payment"), "receipt_number": ("receiptNumber", "receipt_number", "kvittonummer"),
+    "terminal_id": ("terminalId", "terminal", "kassa"), "cashier": ("cashier", "kassör", "kassor"),
+}
+#: What a reading must have, each field with the types it may be of. A list says what its elements have.
+TEXT, WORDS, NUMBER = ("STRING", "VOID"), ("STRING",), ("NUMBER", "VOID")
+CONTRACT: dict = {
+    "merchant": {f: TEXT for f in ("name", "orgNumber", "vatNumber", "address", "postalCode", "city", "country", "phone", "storeId")},
+    "purchasedAt": TEXT, "currency": TEXT, "total": TEXT, "subtotal": TEXT, "discountTotal": TEXT, "roundingAmount": TEXT, "depositTotal": TEXT,
+    "vatLines": [{"rate": WORDS} | {f: TEXT for f in ("net", "vat", "gross")}],
+    "paymentMethod": TEXT, "cardLast4": TEXT, "receiptNumber": TEXT, "terminalId": TEXT, "cashier": TEXT,
+    "items": [{"name": WORDS, "totalPrice": WORDS} | {f: TEXT for f in ("rawName", "quantity", "unit", "unitPrice", "discount", "vatRate", "ean", "deposit")}],
+    "confidence": NUMBER,
+}
 
 
 def first_object(reply: str | None) -> str | None:
-    """The first balanced JSON object in a text; braces inside strings do not count."""
+    """The first balanced JSON object in a text that can be parsed, the outermost of those that begin alike; braces
+    inside strings do not count. One pass finds where each open brace closes, so a text of open braces costs no more
+    than another."""
     reply = reply or ""
-    start = reply.find("{")
-    while start >= 0:
-        depth, quoted, skip = 0, False, False
-        for i, ch in enumerate(reply[start:], start):
-            if skip:
-                skip = False
-            elif quoted:
-                quoted, skip = ch != '"', ch == "\\"
-            elif ch == '"':
-                quoted = True
-            elif ch in "{}":
-                depth += 1 if ch == "{" else -1
-                if not depth:
-                    try:
-                        return reply[start : i + 1] if isinstance(json.loads(reply[start : i + 1]), dict) else None
-                    except ValueError:
-                        break
-        start = reply.find("{", start + 1)
+    open_at: list[int] = []
+    closed: dict[int, int] = {}
+    quoted = skip = False
+    for i, ch in enumerate(reply):
+        if skip:
+            skip = False
+        elif quoted:
+            quoted, skip = ch != '"', ch == "\\"
+        elif ch == '"' and open_at:
+            quoted = True
+        elif ch == "{":
+            open_at.append(i)
+        elif ch == "}" and open_at:
+            closed[open_at.pop()] = i
+    past = -1
+    for start in sorted(closed):
+        if start < past:
+            continue  # inside one that was looked at
+        text = reply[start : closed[start] + 1]
+        try:
+            if isinstance(json.loads(text), dict):
+                return text
+        except ValueError:
+            pass
+        past = closed[start] if not open_at else past
     return None
 
 
@@ -88,6 +118,12 @@ def _vat_line(v: Column) -> Column:
     return F.struct(vat_rate(parse_amount(pick(v, ("rate", "percent", "momssats", "sats")))).alias("rate"), net.alias("net"), vat.alias("vat"), gross(parse_amount(pick(v, ("gross", "brutto", "incl", "total"))), net, vat).alias("gross"))
 
 
+def _seller(v: Column) -> Column:
+    """The nine fields of a merchant; numbers are brought to one form, or null if they have none."""
+    form = {"org_number": codes.org_number, "vat_number": codes.vat_number}
+    return F.struct(*[form.get(c, lambda x: x)(pick_text(v, names)).alias(c) for c, names in SELLER.items()])
+
+
 def normalize(raw: DataFrame, as_of: str, json_col: str = "json") -> DataFrame:
     """raw with typed columns of each reading; nothing in it makes the query fail, and warnings tell what was odd.
 
@@ -111,7 +147,8 @@ def normalize(raw: DataFrame, as_of: str, json_col: str = "json") -> DataFrame:
     unread = F.transform(F.filter("_lines", lambda x: x["total_price"].isNull()), lambda x: F.concat(F.lit("no price: "), x["name"]))
     df = df.withColumns(
         {
-            "merchant": pick_text(seller, ("name", "merchant", "store", "storeName")), "org_number": codes.org_number(pick_text(seller, ("orgNumber", "org_number", "orgnr"))),
+            "merchant": pick_text(seller, SELLER["name"]), "org_number": codes.org_number(pick_text(seller, SELLER["org_number"])), "seller": _seller(seller),
+            "subtotal": parse_amount(pick(v, ("subtotal", "sum", "netTotal"))), **{c: pick_text(v, names) for c, names in PRINTED_AS.items()},
             "currency": F.when(currency.rlike("^[A-Za-z]{3}$"), F.upper(currency)).otherwise("SEK"), "card_last4": codes.last4(pick_text(v, ("cardLast4", "card_last4", "cardNumber"))),
             "total": F.coalesce("_total", F.when(F.col("_gross") > 0, round_half_up(F.col("_gross"))), F.when(F.size("items") > 0, round_half_up(F.col("_sum")))),
             "discount_total": F.abs(parse_amount(pick(v, ("discountTotal", "discount", "totalDiscount")))), "rounding_amount": parse_amount(pick(v, ("roundingAmount", "rounding", "oresavrundning"))),
@@ -123,6 +160,68 @@ def normalize(raw: DataFrame, as_of: str, json_col: str = "json") -> DataFrame:
     return df.drop("v", "_lines", "_date", "_total", "_gross", "_sum")
 
 
+def contract(spec: dict = CONTRACT) -> StructType:
+    """The reading that spec asks for as a schema; amounts are text, as they are printed."""
+
+    def kind(part) -> DataType:
+        if isinstance(part, dict):
+            return contract(part)
+        if isinstance(part, list):
+            return ArrayType(contract(part[0]))
+        return DoubleType() if "NUMBER" in part else StringType()
+
+    return StructType([StructField(name, kind(part), not (part == WORDS or isinstance(part, (dict, list)))) for name, part in spec.items()])
+
+
+def _kind(v: Column) -> Column:
+    """STRING, NUMBER, BOOLEAN, OBJECT, ARRAY or VOID."""
+    k = F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    return F.when(k.isin("BIGINT", "DOUBLE", "DECIMAL", "FLOAT"), "NUMBER").otherwise(k)
+
+
+def _odd(v: Column, spec: dict, path: Column) -> list[Column]:
+    """Arrays of (path, problem) of an object against spec."""
+    out = []
+    known = F.array(*[F.lit(n) for n in spec])
+    keys = F.map_keys(F.coalesce(v.cast("map<string,variant>"), F.create_map().cast("map<string,variant>")))
+    note = lambda at, problem: F.array(F.struct(at.alias("path"), problem.alias("problem")))
+    none = F.array().cast("array<struct<path:string,problem:string>>")
+    out.append(F.transform(F.array_except(keys, known), lambda k: F.struct(F.concat(path, k).alias("path"), F.lit("unexpected").alias("problem"))))
+    for name, part in spec.items():
+        at = F.concat(path, F.lit(name))
+        here = F.try_variant_get(v, f"$.{name}", "variant")
+        kinds = ("OBJECT",) if isinstance(part, dict) else ("ARRAY",) if isinstance(part, list) else part
+        wrong = F.when(~F.array_contains(keys, name), note(at, F.lit("missing"))).when(~_kind(here).isin(*kinds), note(at, F.concat(F.lit("is "), F.lower(_kind(here)))))
+        if isinstance(part, dict):
+            wrong = wrong.otherwise(F.concat(*_odd(here, part, F.concat(at, F.lit(".")))))
+        elif isinstance(part, list):
+            each = F.try_variant_get(v, f"$.{name}", "array<variant>")
+            wrong = wrong.otherwise(F.flatten(F.transform(each, _element(part[0], at))))
+        out.append(F.coalesce(wrong, none))
+    return out
+
+
+def _element(spec: dict, at: Column) -> Callable[[Column, Column], Column]:
+    """What is odd about an element of the array at a path."""
+
+    def look(x: Column, i: Column) -> Column:
+        place = F.concat(at, F.lit("["), i.cast("string"), F.lit("]"))
+        other = F.array(F.struct(place.alias("path"), F.concat(F.lit("is "), F.lower(_kind(x))).alias("problem")))
+        return F.when(_kind(x) != "OBJECT", other).otherwise(F.concat(*_odd(x, spec, F.concat(place, F.lit(".")))))
+
+    return look
+
+
+def departures(raw: DataFrame, json_col: str = "json", spec: dict = CONTRACT) -> DataFrame:
+    """raw's other columns with (path, problem) for everything in which a reading departs from spec: missing, unexpected,
+    or the type that it is of instead. A text without an object has the path empty and the problem unreadable."""
+    rest = [c for c in raw.columns if c != json_col]
+    v = F.try_parse_json(json_object(F.col(json_col)))
+    rows = raw.select(*rest, v.alias("_v"))
+    found = F.when(F.col("_v").isNull(), F.array(F.struct(F.lit("").alias("path"), F.lit("unreadable").alias("problem")))).otherwise(F.concat(*_odd(F.col("_v"), spec, F.lit(""))))
+    return rows.select(*rest, F.explode(found).alias("_d")).select(*rest, "_d.path", "_d.problem")
+
+
 def prompt(problems: Column, previous: Column, extra: str = "") -> Column:
     """A request to read a receipt again: what was wrong as a list, and the reading so far."""
     return F.concat_ws("\n", F.lit("Read the receipt again."), F.lit(extra) if extra else None, F.array_join(F.transform(problems, lambda p: F.concat(F.lit("- "), p)), "\n"), F.lit("Previous reading:"), previous) if extra else F.concat_ws("\n", F.lit("Read the receipt again."), F.array_join(F.transform(problems, lambda p: F.concat(F.lit("- "), p)), "\n"), F.lit("Previous reading:"), previous)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,12 +21,24 @@ def shard_path(digest: Column) -> Column:
     return F.concat_ws("/", F.substring(digest, 1, 2), F.substring(digest, 3, 2), digest)
 
 
-def read_images(spark, path: str) -> DataFrame:
-    """Files with their digest and size; a file that cannot be read as an image has its reason in error."""
-    files = spark.read.format("binaryFile").load(path)
+#: Bytes of a file that is read at most.
+LARGEST = 64 * 1024 * 1024
+
+
+def read_images(spark, path: str, largest: int = LARGEST) -> DataFrame:
+    """A row for every file under path: its digest, size and type, or in error why there is none.
+
+    Files are listed first and read apart from that, and what cannot be read is passed over: a file that is gone,
+    empty or damaged has the error unreadable, one over largest is not read at all, and neither keeps the others from coming in.
+    """
+    named = lambda f: re.sub("^file:/+", "file:/", unquote(f))  # noqa: E731  as the column path has it
+    files = spark.read.format("binaryFile").option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load(path)
+    listed = spark.createDataFrame([(named(f),) for f in files.inputFiles()], "path string")  # names, which the scan lists as well
+    sized, read = files.select("path", "length"), files.where(F.col("length") <= largest).select("path", "content")
     start = F.hex(F.substring("content", 1, 4))
     kind = F.when(start.startswith("FFD8FF"), "image/jpeg").when(start == "89504E47", "image/png")
-    return files.select("path", F.sha2("content", 256).alias("id"), F.col("length").alias("byte_size"), kind.alias("mime_type"), F.when(kind.isNull(), "not an image").alias("error"))
+    error = F.when(F.col("length") > largest, "too large").when(F.col("content").isNull(), "unreadable").when(kind.isNull(), "not an image")
+    return listed.join(sized, "path", "left").join(read, "path", "left").select("path", F.sha2("content", 256).alias("id"), F.col("length").alias("byte_size"), kind.alias("mime_type"), error.alias("error"))
 
 
 def write_sharded(blobs: DataFrame, path: str) -> None:

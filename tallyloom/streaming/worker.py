@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.money import backoff_ceiling
 from tallyloom.operators import jobs
+from tallyloom.sources.versions import Versions
 
 #: Fixed value: an idle worker waits at most so many times its usual interval.
 IDLE_MOST = 8
@@ -66,10 +67,15 @@ def report(before: DataFrame, after: DataFrame) -> DataFrame:
     return moved.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
-def in_batches(read_receipts: Callable[[], DataFrame], read_table: Callable[[], DataFrame], write: Callable[[DataFrame], None], extract: Callable[[DataFrame], DataFrame], clock: Callable[[], int], size: int = 4) -> Callable[[DataFrame, int], None]:
-    """A function for foreachBatch that runs a pass for each batch of a trigger stream and writes the table anew."""
+def in_batches(read_receipts: Callable[[], DataFrame], jobs_of: Versions, extract: Callable[[DataFrame], DataFrame], clock: Callable[[], int], size: int = 4) -> Callable[[DataFrame, int], None]:
+    """A function for foreachBatch that runs a pass for each batch of a trigger stream.
+
+    jobs_of holds the table jobs. A pass reads its last version and puts a new one in place behind it, so what a pass
+    reads is never overwritten under it, and a pass that dies leaves the table as it was.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        write(run_pass(read_receipts(), read_table(), extract, clock(), size, batch_id))
+        table = jobs_of.read("jobs")
+        jobs_of.commit((jobs_of.version() or 0) + 1, {"jobs": run_pass(read_receipts(), table, extract, clock(), size, batch_id)})
 
     return step
