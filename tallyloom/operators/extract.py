@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, StringType, StructField, StructType
 
 from tallyloom.functions import codes, text
+from tallyloom.functions.base import let
 from tallyloom.functions.dates import parse_date
 from tallyloom.functions.money import UNITS, gross, parse_amount, parse_quantity, round_half_up, unit_price, vat_rate
 from tallyloom.operators.quality import line_class
@@ -121,7 +122,8 @@ def _vat_line(v: Column) -> Column:
 def _seller(v: Column) -> Column:
     """The nine fields of a merchant; numbers are brought to one form, or null if they have none."""
     form = {"org_number": codes.org_number, "vat_number": codes.vat_number}
-    return F.struct(*[form.get(c, lambda x: x)(pick_text(v, names)).alias(c) for c, names in SELLER.items()])
+    read = {c: pick_text(v, names) for c, names in SELLER.items()}
+    return F.struct(*[(let(x, form[c]) if c in form else x).alias(c) for c, x in read.items()])
 
 
 def normalize(raw: DataFrame, as_of: str, json_col: str = "json") -> DataFrame:
@@ -140,6 +142,7 @@ def normalize(raw: DataFrame, as_of: str, json_col: str = "json") -> DataFrame:
     deposits = sum_of(F.filter("items", lambda x: x["is_deposit"]), lambda x: x["total_price"])
     currency = pick_text(v, ("currency",))
     seller = F.coalesce(*[F.try_variant_get(v, f"$.{n}", "variant") for n in MERCHANT])
+    df = df.withColumn("seller", let(seller, _seller))
     trouble = F.array(
         F.when(F.col("_date").isNotNull() & F.col("purchased_at").isNull(), F.concat(F.lit("unreadable date: "), F.col("_date"))),
         F.when(F.col("_total").isNull(), F.when(F.col("_gross") > 0, "total from VAT lines").when(F.size("items") > 0, "total from lines").otherwise("no total")),
@@ -147,7 +150,7 @@ def normalize(raw: DataFrame, as_of: str, json_col: str = "json") -> DataFrame:
     unread = F.transform(F.filter("_lines", lambda x: x["total_price"].isNull()), lambda x: F.concat(F.lit("no price: "), x["name"]))
     df = df.withColumns(
         {
-            "merchant": pick_text(seller, SELLER["name"]), "org_number": codes.org_number(pick_text(seller, SELLER["org_number"])), "seller": _seller(seller),
+            "merchant": F.col("seller.name"), "org_number": F.col("seller.org_number"),
             "subtotal": parse_amount(pick(v, ("subtotal", "sum", "netTotal"))), **{c: pick_text(v, names) for c, names in PRINTED_AS.items()},
             "currency": F.when(currency.rlike("^[A-Za-z]{3}$"), F.upper(currency)).otherwise("SEK"), "card_last4": codes.last4(pick_text(v, ("cardLast4", "card_last4", "cardNumber"))),
             "total": F.coalesce("_total", F.when(F.col("_gross") > 0, round_half_up(F.col("_gross"))), F.when(F.size("items") > 0, round_half_up(F.col("_sum")))),
