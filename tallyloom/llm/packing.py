@@ -42,6 +42,23 @@ def encoding(name: str = VOCABULARY):
     return tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@lru_cache(maxsize=2)
+def tokenizer(name: str = VOCABULARY):
+    """The vocabulary's slower encoder, left at its defaults but for special tokens at the ends, which it does not add."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+
+
+def ids_of(text: str, vocabulary: str = VOCABULARY) -> np.ndarray:
+    """The ids of a text. The fast encoder gives up on very long runs of white space; such a text goes to the other."""
+    try:
+        return encoding(vocabulary).encode_to_numpy(text, allowed_special="all").astype("<u4")
+    except ValueError:
+        return np.array(tokenizer(vocabulary).encode(text, add_special_tokens=False).ids, "<u4")
+
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -52,12 +69,10 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoding(vocabulary).encode_to_numpy
         for df in batches:
             out = []
             for doc_id, text in zip(df["doc_id"].tolist(), df["text"], strict=True):
-                text = text or ""
-                ids = np.append(encode(text, allowed_special="all").astype("<u4"), np.array([END], "<u4"))
+                ids = np.append(ids_of(text or "", vocabulary), np.array([END], "<u4"))
                 first = len(ids) % capacity or capacity
                 cuts = [0, *range(first, len(ids) + 1, capacity)]
                 out += [(doc_id, i, a, b - a, zlib.crc32(ids[a:b].tobytes())) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
