@@ -1,14 +1,17 @@
 """Secret scans in built-in functions only: fixed patterns, and a battery of randomness tests for the rest.
 
-Candidates are runs of 20 or more characters of [A-Za-z0-9+/_-] with a letter and a digit, or with a capital right
-after a small letter. For each an encoding is
-inferred from its characters, and three tests ask whether its symbols could be uniform draws: chi-squared over bins of
-the alphabet, Wald-Wolfowitz runs about its middle, and lag-1 serial correlation. Fisher's method joins their p-values
-into p, uniform for true random strings and near 0 for words, paths and names.
+Candidates are runs of 20 or more characters of [A-Za-z0-9+/_-] with a letter and a digit, with a capital right after a
+small letter, or of letters of one case alone. For each an encoding is inferred from its characters, and three tests ask
+whether its symbols could be uniform draws: chi-squared over bins of the alphabet, Wald-Wolfowitz runs about its middle,
+and lag-1 serial correlation. Letters of one case are few for bins, so there the first test asks how much likelier they
+are in words than as draws. Fisher's method joins the p-values into p, uniform for true random strings and near 0 for
+words, paths and names.
 
 False discovery control: in each stratum of encoding and length, truly random strings number twice those with p above
-a half; whatever else lies above a threshold t is false. The smallest t that keeps the estimated share of false ones
-at ALPHA is used, so short strata with many look-alikes get a stricter threshold than long ones.
+a half, less what names put there: a share TAIL of all, halved from stratum to stratum, and twice the deviation of that
+count. A stratum with fewer than LEAST of them stays shut. Whatever else lies above a threshold t is false, and the
+smallest t that keeps the estimated share of false ones at ALPHA is used, so short strata with many look-alikes get a
+stricter threshold than long ones.
 
 Places of matches and what spans overlap come from running sums and maxima over arrays, which are kept by blocks so
 that a text with very many matches costs as much a match as one with few.
@@ -16,6 +19,8 @@ that a text with very many matches costs as much a match as one with few.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,12 +36,20 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 #: Encoding: what its strings match, its alphabet, how many symbols go into a bin.
 ENCODINGS = (
     ("hex", "^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789ABCDEF", 1),
+    ("one-case", "^(?:[a-z]+|[A-Z]+)$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", 2),
     ("base32", "^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 4),
     ("base36", "^(?:[0-9a-z]+|[0-9A-Z]+)$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", 4),
     ("letters", "^[A-Za-z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 4),
     ("base64", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 8),
 )
 ALPHA = 0.05
+#: Names with p above a half, as a share of all strings of the first stratum; random strings that open a stratum.
+TAIL, LEAST = 0.005, 10
+#: Letters in words of European languages, A to Z, in thousandths, and what each says for words.
+LETTERS = (85, 14, 32, 40, 125, 18, 20, 35, 70, 3, 12, 42, 27, 72, 73, 20, 3, 66, 65, 80, 30, 14, 12, 3, 14, 5)
+FOR_WORDS = tuple(math.log(26 * f / sum(LETTERS)) for f in LETTERS)
+MEAN = sum(FOR_WORDS) / 26
+SPREAD = math.sqrt(sum((x - MEAN) ** 2 for x in FOR_WORDS) / 26)
 #: Steps of p at which thresholds lie, and the widest length stratum (lengths double from one to the next).
 STEPS, LAST_STRATUM = 50, 6
 MARK = "[SECRET]"
@@ -44,7 +57,7 @@ MARK = "[SECRET]"
 
 #: What a text must match for a pattern to keep anything in it; the first letter is looked at alone to get by quickly.
 ASSIGN_START = r"(?=[pstaPSTA])" + ASSIGN
-DIGIT, CAMEL = r"[0-9]", r"[a-z][A-Z]"
+DIGIT, CAMEL, ONE_CASE = r"[0-9]", r"[a-z][A-Z]", r"[a-z]{20,}|[A-Z]{20,}"
 #: Elements of a block of a running total.
 BLOCK = 128
 
@@ -58,7 +71,7 @@ def flagged(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.withColumns(
         {
             "_has_assign": sign & F.rlike(text, F.lit(ASSIGN_START)), "_has_access": F.rlike(text, F.lit(ACCESS)),
-            "_has_hex": F.rlike(text, F.lit(HEX)), "_has_random": (F.rlike(text, F.lit(DIGIT)) | F.rlike(text, F.lit(CAMEL))) & F.rlike(text, F.lit(CANDIDATE)),
+            "_has_hex": F.rlike(text, F.lit(HEX)), "_has_random": (F.rlike(text, F.lit(DIGIT)) | F.rlike(text, F.lit(CAMEL)) | F.rlike(text, F.lit(ONE_CASE))) & F.rlike(text, F.lit(CANDIDATE)),
         }
     )
 
@@ -149,13 +162,14 @@ def tested(token: Column) -> Column:
     def judge(e: Column) -> Column:
         plain = F.when(e["name"] == "base64", F.translate(token, "-_", "+/")).when(e["name"] == "letters", token).otherwise(F.upper(token))
         values = F.transform(F.split(plain, ""), lambda c: (F.position(c, e["alphabet"]) - 1).cast("double"))
-        return F.struct(e["name"].alias("encoding"), _let(values, lambda v: _battery(v, F.length(e["alphabet"]), e["width"])).alias("p"))
+        return F.struct(e["name"].alias("encoding"), _let(values, lambda v: _battery(v, F.length(e["alphabet"]), e["width"], e["name"] == "one-case")).alias("p"))
 
     return _let(F.element_at(known, kind + 1), judge)
 
 
-def _battery(values: Column, symbols: Column, width: Column) -> Column:
-    """Fisher's p of the three tests on symbol values 0 to symbols - 1."""
+def _battery(values: Column, symbols: Column, width: Column, letters: Column) -> Column:
+    """Fisher's p of the three tests on symbol values 0 to symbols - 1; letters are judged as such."""
+    says = F.array(*[F.lit(x) for x in FOR_WORDS])
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     middle = symbols / 2
     pairs = F.zip_with(F.slice(values, F.lit(1), F.size(values) - 1), F.slice(values, F.lit(2), F.size(values) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
@@ -166,14 +180,15 @@ def _battery(values: Column, symbols: Column, width: Column) -> Column:
         return F.struct(
             F.pow((m["bins"] / m["n"] * m["squares"] - m["n"]) / m["df"], 1 / 3).alias("root"), (2 / (9 * m["df"])).alias("v"),
             (2 * m["high"] * (m["n"] - m["high"]) / m["n"] + 1).alias("mean"), (m["changes"] + 1).alias("runs"), m["n"].alias("n"),
+            F.when(letters, total(F.transform(values, lambda v: F.element_at(says, v.cast("int") + 1)))).otherwise(0.0).alias("words"),
             total(F.transform(values, lambda v: F.pow(v - m["centre"], 2))).alias("spread"), follow.alias("follow"),
         )
 
     def p_values(m: Column) -> Column:
         variance = (m["mean"] - 1) * (m["mean"] - 2) / (m["n"] - 1)
         return F.array(
-            # chi-squared over bins, to a normal by Wilson and Hilferty
-            _upper_tail((m["root"] - (1 - m["v"])) / F.sqrt(m["v"])),
+            # chi-squared over bins, to a normal by Wilson and Hilferty; of letters, what they say for words
+            _upper_tail(F.when(letters, (m["words"] - m["n"] * MEAN) / (SPREAD * F.sqrt(m["n"]))).otherwise((m["root"] - (1 - m["v"])) / F.sqrt(m["v"]))),
             # runs above and below the middle
             F.when(variance > 0, _two_sided((m["runs"] - m["mean"]) / F.sqrt(variance))).otherwise(0.0),
             # lag-1 serial correlation
@@ -193,7 +208,7 @@ def _battery(values: Column, symbols: Column, width: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """Array of structs (start, end, encoding, p, stratum) of the strings that the tests judge."""
-    mixed = lambda m: m["match"].rlike(DIGIT) & m["match"].rlike("[A-Za-z]") | m["match"].rlike(CAMEL)
+    mixed = lambda m: m["match"].rlike(DIGIT) & m["match"].rlike("[A-Za-z]") | m["match"].rlike(CAMEL) | m["match"].rlike("^(?:[a-z]+|[A-Z]+)$")
 
     def row(m: Column) -> Column:
         n = F.length(m["match"])
@@ -214,7 +229,9 @@ def thresholds(docs: DataFrame, text_col: str = "text", alpha: float = ALPHA) ->
     counts = c.groupBy("encoding", "stratum", "step").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("encoding", "stratum")
     above = F.sum("n").over(w.orderBy(F.desc("step")))
-    random = 2 * F.sum(F.when(F.col("step") >= STEPS // 2, F.col("n")).otherwise(0)).over(w)
+    names = F.sum("n").over(w) * (TAIL / F.pow(F.lit(2.0), F.col("stratum")))  # that names would put above a half if all were names
+    random = 2 * (F.sum(F.when(F.col("step") >= STEPS // 2, F.col("n")).otherwise(0)).over(w) - names - 2 * F.sqrt(names))
+    random = F.when(random >= LEAST, random).otherwise(0.0)
     t = F.col("step") / F.lit(float(STEPS))
     false = F.greatest(F.lit(0.0), above - random * (1 - t)) / above
     best = counts.select("encoding", "stratum", t.alias("t"), false.alias("false")).where(F.col("false") <= alpha).groupBy("encoding", "stratum").agg(F.min("t").alias("t"))

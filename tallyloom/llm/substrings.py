@@ -10,7 +10,7 @@ other than themselves. A hash that a batch holds many times is sent once, and it
 so that a passage in a third of all documents costs its bucket one entry a batch.
 
 Extension: only documents with met blocks are read again, and only windows of 20 words around such blocks are hashed,
-to 128 bits; windows count as equal if those are (over 10^13 windows the chance of any mistake is about 10^-13).
+to 128 bits; windows count as equal if those are. Both halves are made of the same 64-bit hashes of words, so the chance of a mistake is that of two words in one place having one hash.
 Windows of one batch are compared there; of each distinct one the earliest goes to its bucket, where the
 earliest of all is found and the rest are marked. Runs of marked windows are the maximal exact repeats; the words
 they cover are removed.
