@@ -166,3 +166,64 @@ def sql_surface(d: Domain) -> DataFrame:
     return sql.register(d.spark, d.sf_dir, "tl_").sql("""
         SELECT tl_month_key(purchased_at) AS month, count(*) AS n, max(tl_unit_price(CAST(total_price AS DOUBLE), quantity, is_discount)) AS dearest
         FROM tl_items i JOIN tl_live r ON r.id = i.receipt_id GROUP BY 1""")
+
+
+@query(
+    "cascade_tables",
+    """, d AS (SELECT 'receipts' AS sort, CAST(id AS VARCHAR) AS id, CASE WHEN id % 4 = 0 THEN 99 ELSE 0 END AS gone, CASE WHEN id % 8 = 0 THEN 0 WHEN id % 4 = 0 THEN 99 ELSE 0 END AS back FROM receipts
+UNION ALL SELECT 'items', receipt_id || '-' || line_no || '-' || part_id, CASE WHEN receipt_id % 4 = 0 THEN 99 WHEN line_no % 5 = 0 THEN 7 ELSE 0 END,
+  CASE WHEN receipt_id % 8 = 0 THEN 0 WHEN receipt_id % 4 = 0 THEN 99 WHEN line_no % 5 = 0 THEN 7 ELSE 0 END FROM items
+UNION ALL SELECT 'links', receipt_id || '-' || tag_id, CASE WHEN receipt_id % 4 = 0 THEN 99 ELSE 0 END, CASE WHEN receipt_id % 8 = 0 THEN 0 WHEN receipt_id % 4 = 0 THEN 99 ELSE 0 END FROM receipt_tags)
+SELECT sort, id, gone, back, CAST(gone = 99 AS INTEGER) AS dirty FROM d""",
+)
+def cascade_tables(d: Domain) -> DataFrame:
+    """Every fourth receipt deleted and every eighth brought back, in all three tables at both times. The deletion gives
+    lines that were deleted before the receipt's time too, as it goes by the receipt, so they come back with it."""
+    zero = F.lit(0).cast("bigint")
+    key = {"receipts": F.col("id").cast("string"), "items": F.concat_ws("-", "receipt_id", "line_no", "part_id"), "links": F.concat_ws("-", "receipt_id", "tag_id")}
+    r = d.receipts.select("id", zero.alias("deleted_at"), "updated_at", F.lit(0).alias("dirty"))
+    links = d.receipt_tags.select("receipt_id", "tag_id", zero.alias("deleted_at"), zero.alias("updated_at"), F.lit(0).alias("dirty"))
+    gone = records.delete_receipts(r, _lines(d), links, r.where("id % 4 = 0").select("id"), 99)
+    back = records.restore_receipts(*gone, r.where("id % 8 = 0").select("id"), 120)
+    out = None
+    for sort, before, after in zip(key, gone, back, strict=True):
+        k = key[sort].alias("id")
+        # lines may repeat in all of their columns, and then they are alike
+        a = before.groupBy(k).agg(F.max("deleted_at").alias("gone"), F.max("dirty").alias("dirty"), F.count(F.lit(1)).alias("_n"))
+        b = after.groupBy(k).agg(F.max("deleted_at").alias("back"))
+        both = a.join(b, "id").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(F.lit(sort).alias("sort"), "id", "gone", "back", "dirty")
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
+@query(
+    "company_choice",
+    """SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN s_suppkey ELSE s_suppkey + 100000 END AS company_id, CASE WHEN s_suppkey % 4 = 0 THEN 0.971 ELSE 1.0 END AS score, true AS confirmed
+FROM supplier WHERE s_suppkey % 5 <> 0""",
+    plain=True,
+)
+def company_choice(d: Domain) -> DataFrame:
+    """Two companies a name, one a look-alike letter off: the exact one is chosen unless it is inactive, as an inactive
+    challenger loses more than that letter costs. Every fifth text names nobody."""
+    key = F.col("s_suppkey")
+    rest = F.translate(F.substring(F.md5(key.cast("string")), 1, 13), "0123456789", "ghijklmnop")
+    s = d.table("supplier").select(key.alias("id"), rest.alias("rest"))
+    near = s.select("id", F.concat(F.lit("m"), "rest").alias("name"), F.lit(True).alias("active"))
+    exact = s.select((F.col("id") + 100_000).alias("id"), F.concat(F.lit("n"), "rest").alias("name"), (F.col("id") % 4 != 0).alias("active"))
+    texts = s.select("id", F.concat(F.lit("Tack! "), F.when(F.col("id") % 5 == 0, "").otherwise(F.concat(F.lit("N"), "rest")), F.lit(" Summa 12,50 kr")).alias("text"))
+    return names.match_companies(texts, near.unionByName(exact)).select("id", "company_id", "score", "confirmed")
+
+
+@query(
+    "merge_own",
+    """SELECT id, CASE WHEN deleted_at = 0 AND status <> 'confirmed' AND (id % 2 = 1 OR (id % 3 = 0 AND id % 10 <> 0)) THEN 'new' WHEN id % 2 = 0 THEN 'old' END AS city,
+  CASE WHEN id % 2 = 0 THEN 'old' WHEN deleted_at = 0 AND status <> 'confirmed' THEN 'new' END AS org,
+  CASE WHEN deleted_at <> 0 THEN 'deleted' WHEN status = 'confirmed' THEN 'confirmed' WHEN id % 2 = 0 AND (id % 3 <> 0 OR id % 10 = 0) THEN 'nothing-new' END AS skipped FROM receipts""",
+)
+def merge_own(d: Domain) -> DataFrame:
+    """What a machine wrote is replaced by a later reading, but for a number that is once set; what a user wrote stays."""
+    i = F.col("id")
+    old = F.when(i % 2 == 0, "old")
+    r = d.receipts.select("id", "deleted_at", "status", old.alias("city"), old.alias("org"), ((i % 3 == 0) & (i % 10 != 0)).alias("machine"))
+    found = r.select("id", F.lit("new").alias("city"), F.lit("new").alias("org"))
+    return replicate.enrich(r, found, ("city", "org"), fixed=("org",), replace_own=True).select("id", "city", "org", "skipped")
