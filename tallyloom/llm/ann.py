@@ -211,6 +211,12 @@ def _copied(rows: DataFrame, counts: DataFrame, on: list[str], n: str, size: int
     return rows.join(few, on).withColumn(name, F.explode(F.sequence(F.lit(0), F.col("_of") - 1))).drop("_of")
 
 
+def probe_share(rows: float, parts: int, visits: float) -> float:
+    """The share of so many sampled rows to keep out as probes, if each goes to so many of the parts: a tenth, but no
+    more than give every part about 2 * PROBES of them, whatever the number of rows and parts is."""
+    return min(0.1, 2 * PROBES * parts / max(1.0, visits) / max(1.0, rows))
+
+
 def search(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row for which queries holds.
 
@@ -261,7 +267,9 @@ def search(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_i
     span = 1 << 30
     share = int(min(1.0, drawn * parts / n) * span)
     some = placed.where(F.pmod(F.xxhash64("h", F.lit(2)), F.lit(span)) < share)
-    probe = F.pmod(F.xxhash64("h", F.lit(3)), F.lit(10)) == 0
+    visits = float(top.visits(_unit(sample[: max(1, aside)]), k + 1).sum(1).mean())
+    kept_out = int(probe_share(min(n, drawn * parts), parts, visits) * span)
+    probe = F.pmod(F.xxhash64("h", F.lit(3)), F.lit(span)) < kept_out
     members = some.where(~probe).select("part", F.lit(0).alias("probe"), "h", "v")
     probes = some.where(probe).select("h", "v", F.explode(visited("v")).alias("part")).select("part", F.lit(1).alias("probe"), "h", "v")
 

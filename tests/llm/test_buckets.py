@@ -20,3 +20,18 @@ def test_all_pairs_of_a_bucket_are_linked_or_compared(make):
     for i in ids:
         first.setdefault(got[i], i)
     assert {i: first[got[i]] for i in ids} == plain_components(pairs)
+
+
+def test_probes_of_a_part_do_not_grow_with_the_table():
+    import numpy as np
+
+    from tallyloom.llm import ann
+
+    for n in (2_000, 10**5, 10**7, 10**9, 10**11):
+        parts = max(ann.LEAST_PARTS, int(np.ceil(np.sqrt(n / ann.CELL_ROWS))))
+        rows = min(n, max(ann.SAMPLE, ann.EACH * parts) * parts)
+        for share in (0.02, 0.3, 0.9):
+            visits = max(1.0, share * parts)
+            probes = rows * ann.probe_share(rows, parts, visits)
+            assert probes * visits / parts <= 2 * ann.PROBES * 1.01  # rows of a task's group that are probes
+            assert probes >= min(0.1 * rows, ann.PROBES)
