@@ -234,15 +234,16 @@ def _rest(members: DataFrame, bodies: DataFrame, shingle: int) -> DataFrame:
 
 
 def _telling(rest: DataFrame, similarity: float) -> DataFrame:
-    """(hub, token, size, node, label, n, small): the rarest shingles of each node's rest, of which two similar texts
-    share one.
+    """(hub, token, size, node, label, n, small, same, left): the rarest shingles of each node's rest, of which two
+    similar texts share one.
 
     Two texts u and v with s, the similarity, share s / (1 + s) (n_u + n_v) shingles at least, so the smaller of them
     has 2 s / (1 + s) n in common and the larger s n. At most same of these are in the hub, and the others are in both
     rests. Of a set of r shingles that shares c with another one the first r - c + 1, in any order that is the same for
     both, hold a common one; the rarest go first, and those that no other member has are not listed. small says
-    whether a shingle is among them for the node as the smaller text. Only where c may be 0 this says nothing;
-    _contained() finds those pairs.
+    whether a shingle is among them for the node as the smaller text; left counts the shingles of the rest from this
+    one on, which are all that a text can share of it whose first common shingle this is. Only where c may be 0 this
+    says nothing; _contained() finds those pairs.
     """
     tokens = rest.select("hub", "node", F.explode("rest").alias("token"))
     shared = tokens.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -254,9 +255,22 @@ def _telling(rest: DataFrame, similarity: float) -> DataFrame:
         c = F.greatest(F.lit(1), F.ceil(share * F.col("n") - 1e-9).cast("int") - F.col("same"))
         return F.greatest(F.lit(0), F.col("r") - c + 1 - alone)
 
-    cut_off = own.withColumn("_small", most(2 * similarity / (1 + similarity))).withColumn("_large", most(similarity))
-    some = cut_off.select("hub", "node", "label", "n", "_small", F.posexplode(F.slice("listed", F.lit(1), F.col("_large"))).alias("_at", "x"))
-    return some.select("hub", F.col("x.token").alias("token"), F.col("x.size").alias("size"), "node", "label", "n", (F.col("_at") < F.col("_small")).alias("small"))
+    cut_off = own.withColumn("_small", most(2 * similarity / (1 + similarity))).withColumn("_large", most(similarity)).withColumn("_left", F.size("listed"))
+    first = F.slice("listed", F.lit(1), F.col("_large"))
+    some = cut_off.select("hub", "node", "label", "n", "same", "_left", "_small", F.posexplode(first).alias("_at", "x"))
+    small, left = (F.col("_at") < F.col("_small")).alias("small"), (F.col("_left") - F.col("_at")).alias("left")
+    return some.select("hub", F.col("x.token").alias("token"), F.col("x.size").alias("size"), "node", "label", "n", small, "same", left)
+
+
+def _reaching(telling: DataFrame, similarity: float) -> DataFrame:
+    """The rows of telling whose node can be similar to some text of its group (hub, token), by the group's smallest.
+
+    A partner has no fewer shingles than the smallest of the group and than the similarity allows, and what both share
+    is at most same + left of either. What this leaves out are texts whose own shingles fill most of what may differ.
+    """
+    smallest = telling.groupBy("hub", "token").agg(F.min("n").alias("_smallest"))
+    needed = similarity / (1 + similarity) * (F.col("n") + F.greatest("_smallest", similarity * F.col("n"))) - 1e-9
+    return telling.join(smallest, ["hub", "token"]).where(F.col("same") + F.col("left") >= needed).drop("_smallest")
 
 
 def _contained(rest: DataFrame, similarity: float) -> DataFrame:
@@ -268,11 +282,13 @@ def _contained(rest: DataFrame, similarity: float) -> DataFrame:
     return a.join(b, "hub").where(met).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def _within(met: DataFrame) -> DataFrame:
-    """Pairs (u, v) that share one of their telling shingles and are not yet linked."""
-    a, b = (met.select("hub", "token", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("label", "n", "small")]) for x in "uv")
+def _within(met: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) that share one of their telling shingles, may be similar if it is their first, and are not linked."""
+    a, b = (met.select("hub", "token", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("label", "n", "small", "same", "left")]) for x in "uv")
     ahead = (F.col("n_u") < F.col("n_v")) | (F.col("n_u") == F.col("n_v")) & (F.col("u") < F.col("v"))
-    met = a.where("small_u").join(b, ["hub", "token"]).where(ahead & (F.col("label_u") != F.col("label_v")))
+    needed = similarity / (1 + similarity) * (F.col("n_u") + F.col("n_v")) - 1e-9
+    enough = (F.least("same_u", "same_v") + F.least("left_u", "left_v") >= needed) & (F.col("n_u") >= similarity * F.col("n_v") - 1e-9)
+    met = a.where("small_u").join(b, ["hub", "token"]).where(ahead & enough & (F.col("label_u") != F.col("label_v")))
     return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
@@ -290,12 +306,13 @@ def similar(rows: DataFrame, key: str, shingle: int, similarity: float, text_col
     proven apart. All are compared with the group's hub, which in a family of copies is what they were copied from.
     The hub serves as a pivot: two texts share no more of its shingles than either has, so where that is too little
     they must also share shingles that the hub lacks, and one of the rarest of these. Members that are not linked to
-    their hub therefore meet the others again by such shingles. Groups of at most FEW are compared pair by pair; larger ones get hubs of their own,
-    and from one level to the next that bound grows MORE-fold, until no group has members of different labels. So a
-    family of copies costs a pair for each copy and a passage that many documents share one for each of them; only
-    where many texts lie a little below the similarity to each other and have no common origin are most pairs compared. Pairs are discarded by their numbers of shingles and, unless they have
-    few, by distances to pivots and the differing bits of their wide fingerprints; the shingles of all that are left
-    are compared. Texts travel compressed.
+    their hub therefore meet the others again by such shingles, as long as what either has from the first common one on
+    can be enough. Groups of at most FEW are compared pair by pair; larger ones get hubs of their own, and from one
+    level to the next that bound grows MORE-fold, until no group has members of different labels. So a family of copies
+    costs a pair for each copy and a passage that many documents share one for each of them; only where many texts lie
+    a little below the similarity to each other by differences that they share are most pairs compared. Pairs are
+    discarded by their numbers of shingles and, unless they have few, by distances to pivots and the differing bits of
+    their wide fingerprints; the shingles of all that are left are compared. Texts travel compressed.
     """
 
     @F.pandas_udf("node long, n int, words array<long>, samples array<long>, body binary")
@@ -337,10 +354,12 @@ def similar(rows: DataFrame, key: str, shingle: int, similarity: float, text_col
         open_ = sides.where("apart").groupBy("hub").agg(F.count(F.lit(1)).alias("_n"))
         rest = cut(_rest(sides.join(open_, "hub", "left_semi"), bodies, shingle), "rest")
         used.extend([members, sides])
-        telling = cut(_telling(rest, similarity), "telling")
+        every = cut(_telling(rest, similarity), "every")
+        telling = cut(_reaching(every, similarity), "telling")
+        drop(every)
         groups = telling.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("_many"), F.min("label").alias("_least"), F.max("label").alias("_most")).where("_least <> _most").select("hub", "token", "_many")
         met = cut(telling.join(groups, ["hub", "token"]), "met")
-        pairs = cut(_contained(rest, similarity).unionByName(_within(met.where(F.col("_many") <= few))).distinct(), "pairs")
+        pairs = cut(_contained(rest, similarity).unionByName(_within(met.where(F.col("_many") <= few), similarity)).distinct(), "pairs")
         labels = linked(pairs)
         used.extend([rest, telling, pairs, met])
         large = met.where(F.col("_many") > few).select(F.col("hub").alias("group"), "token", "node")
