@@ -1,17 +1,18 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on windows of text: one on toxic documents, one on ordinary ones. A window is
-one word with its blanks, lower-cased and widened to UTF-16, which halves the rounding of lengths to bytes; words over
-WINDOW characters are cut into several windows. A window's gain is its compressed length under the ordinary dictionary
-less that under the toxic one.
+Two zstandard dictionaries hold windows of text: one of toxic documents, one of ordinary ones. A window is one word
+with its blanks, lower-cased and widened to UTF-16, which halves the rounding of lengths to bytes; words over WINDOW
+characters are cut into several windows. A window's gain is its compressed length under the ordinary dictionary less
+that under the toxic one. A dictionary is raw text: of all windows that at least two of its documents hold, the ones
+most documents hold, up to its size, commonest last, where offsets are short.
 
 Most of a toxic document is ordinary prose, so a dictionary of all its windows tells little. Training therefore goes
 in rounds over three folds of the training documents: dictionaries of two folds measure the windows of the third, and
 of toxic documents only windows stay that gain more than all but a share of the ordinary ones; ordinary windows that
-gain as much are learned HARD times more, as counterexamples. No fold is measured by dictionaries that hold its own
-text. The last dictionaries come from two folds. On the third the thresholds at which windows count are set to
-quantiles of ordinary windows' gains, a logistic curve joins the counts and highest gains of a document, and it is
-moved so that a share FALSE of the ordinary documents scores CUT or more.
+gain as much weigh HARD documents more for each that holds them, as counterexamples. No fold is measured by
+dictionaries that hold its own text. The last dictionaries come from two folds. On the third the thresholds at which
+windows count are set to quantiles of ordinary windows' gains, a logistic curve joins the counts and highest gains of
+a document, and it is moved so that a share FALSE of the ordinary documents scores CUT or more.
 
 Equal windows have equal lengths, so each task compresses a distinct window once.
 """
@@ -19,7 +20,7 @@ Equal windows have equal lengths, so each task compresses a distinct window once
 from __future__ import annotations
 
 import pickle
-import random
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,10 +32,10 @@ from pyspark.sql import functions as F
 
 #: At most so many labelled documents of each label are learned from, drawn by hash of their ids; whole texts.
 DOCS = 2000
-#: Windows: longest in characters. Dictionaries: bytes, level, windows drawn from each fold at first.
-WINDOW, DICTIONARY, LEVEL, DRAWN = 48, 32_768, 12, 20_000
+#: Windows: longest in characters. Dictionaries: bytes, level.
+WINDOW, DICTIONARY, LEVEL = 48, 32_768, 12
 #: Folds; shares of ordinary windows over which toxic ones must lie, by round; weight of ordinary counterexamples.
-FOLDS, SHARES, HARD = 3, (0.05, 0.02), 2
+FOLDS, SHARES, HARD = 3, (0.05, 0.02, 0.01), 2
 #: Quantiles of ordinary windows' gains at which windows count; ordinary documents at CUT or more.
 STEPS, FALSE, CUT = (0.99, 0.997, 0.999, 0.9997), 0.005, 0.7
 #: Distinct windows kept in a task's memory.
@@ -52,15 +53,16 @@ def _bytes(window: str) -> bytes:
     return f" {window} ".encode("utf-16-le", "surrogatepass")
 
 
-def _dictionary(samples: list[str]) -> bytes:
-    """A dictionary of windows; of too little text to train on the text itself."""
-    samples = [_bytes(w) for w in samples]
-    random.Random(1).shuffle(samples)
-    size = min(DICTIONARY, max(1024, sum(map(len, samples)) // 8))
-    try:
-        return zs.train_dictionary(size, samples, level=LEVEL).as_bytes()
-    except zs.ZstdError:
-        return (b"".join(samples) or b"\0" * 8)[-size:]
+def _dictionary(counts: Counter[str]) -> bytes:
+    """The windows of most documents, commonest last; those of one document alone only if there are no others."""
+    out, size = [], 0
+    for w in sorted([w for w, n in counts.items() if n > 1] or counts, key=lambda w: (-counts[w], w)):
+        raw = _bytes(w)
+        size += len(raw)
+        if size > DICTIONARY:
+            break
+        out.append(raw)
+    return b"".join(reversed(out)) or b"\0" * 8
 
 
 class Gains(dict):
@@ -111,9 +113,16 @@ def features(text: str | None, gains: Gains, steps: list[float]) -> list[float]:
     return [top[-1], top.mean(), *np.log1p(above), *np.log(np.array(above) / len(x) + 1e-4), x.mean(), np.log1p(len(x))]
 
 
-def _some(docs: list[list[str]]) -> list[str]:
-    every = [w for d in docs for w in d]
-    return every if len(every) <= DRAWN else random.Random(2).sample(every, DRAWN)
+def _counted(texts: list[str]) -> Counter[str]:
+    """Windows and how many of the texts hold them."""
+    out: Counter[str] = Counter()
+    for t in texts:
+        out.update(set(windows(t)))
+    return out
+
+
+def _quantile(gains: Gains, counts: Counter[str], share: float | tuple[float, ...]) -> np.ndarray:
+    return np.quantile(np.repeat([gains[w] for w in counts], list(counts.values())) if counts else [0], share)
 
 
 def _curve(x: np.ndarray, y: np.ndarray, share: float) -> np.ndarray:
@@ -136,27 +145,26 @@ def fit(toxic: list[str], ordinary: list[str], share: float) -> Model:
         return Model(b"\0" * 8, b"\0" * 8, float(bool(toxic)) if toxic or ordinary else 0.0)
     texts = [list(dict.fromkeys(t)) for t in (toxic, ordinary)]
     folds = [[t[k::FOLDS] or t for k in range(FOLDS)] for t in texts]
-    split = [[[sorted(set(windows(t))) for t in fold] for fold in side] for side in folds]
-    drawn = [[_some(fold) for fold in side] for side in split]
+    every = kept = [[_counted(fold) for fold in side] for side in folds]
 
     def trained(of: list[int]) -> tuple[bytes, bytes]:
-        return tuple(_dictionary([w for k in of for w in side[k]]) for side in drawn)
+        return tuple(_dictionary(sum((side[k] for k in of), Counter())) for side in kept)
 
     for share_over in SHARES:
-        new: list[list[list[str]]] = [[], []]
+        new: list[list[Counter[str]]] = [[], []]
         for k in range(FOLDS):
             gains = Gains(*trained([j for j in range(FOLDS) if j != k]))
-            limit = np.quantile([gains[w] for d in split[1][k] for w in d] or [0], 1 - share_over)
-            new[0].append([w for d in split[0][k] for w in d if gains[w] > limit])
-            new[1].append(_some(split[1][k]) + [w for d in split[1][k] for w in d if gains[w] >= limit] * HARD)
+            limit = _quantile(gains, every[1][k], 1 - share_over)
+            new[0].append(Counter({w: n for w, n in kept[0][k].items() if gains[w] > limit}))
+            new[1].append(kept[1][k] + Counter({w: n * HARD for w, n in kept[1][k].items() if gains[w] >= limit}))
         if not any(new[0]):
             break  # nothing stands out any more
-        drawn = new
+        kept = new
     model = Model(*trained(list(range(FOLDS - 1))), share)
     gains = model.gains()
-    model.steps = sorted({float(s) for s in np.quantile([gains[w] for d in split[1][-1] for w in d] or [0], STEPS)})
-    kept = [*folds[0][-1], *folds[1][-1]]
-    x = np.array([features(t, gains, model.steps) for t in kept])
+    model.steps = sorted({float(s) for s in _quantile(gains, every[1][-1], STEPS)})
+    aside = [*folds[0][-1], *folds[1][-1]]
+    x = np.array([features(t, gains, model.steps) for t in aside])
     y = np.r_[np.ones(len(folds[0][-1])), np.zeros(len(folds[1][-1]))]
     model.centre, model.scale = x.mean(0).tolist(), (x.std(0) + 1e-6).tolist()
     x = (x - model.centre) / model.scale

@@ -1,8 +1,13 @@
 """The pipeline against its stages in plain Python, and its rules over odd rows."""
 
+import zlib
 from collections import Counter
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from tallyloom.llm import toxicity
 from tests.llm.conftest import ODD
 
 
@@ -47,3 +52,23 @@ def test_odd_rows(spark, make, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, sf_dir)
         assert empty.count() == 0
+
+
+def test_toxic_documents_go_by_words_that_few_of_them_share(spark, make):
+    rng = np.random.default_rng(3)
+    bits = ["an", "er", "th", "ou", "ing", "re", "st", "ble", "on", "ti", "ha", "ea", "ly", "wh", "or", "nd"]
+    marks = ["wretch", "villain", "scoundrel", "rotten", "vermin", "dimwit", "foul", "ghastly"]
+    rows, labels = [], []
+    for i in range(1500):
+        words = ["".join(rng.choice(bits, rng.integers(1, 6))) for _ in range(120)]
+        bad = i % 4 == 0
+        for at in rng.integers(0, 120, 2) if bad else ():
+            words[at] = str(rng.choice(marks)) + str(rng.choice(["", ".", ","]))
+        rows.append((i, " ".join(words), "s"))
+        labels.append((i, int(bad)))
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(make(rows), known.where(~toxicity.held_out(F.col("doc_id"))))
+    left = {r["doc_id"] for r in toxicity.score(make(rows), model).where(F.col("score") < corpus_pipeline.TOXIC_AT).collect()}
+    held = [(i, bad) for i, bad in labels if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert np.mean([i not in left for i, bad in held if bad]) > 0.9
+    assert np.mean([i in left for i, bad in held if not bad]) > 0.97
