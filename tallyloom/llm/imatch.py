@@ -16,8 +16,9 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -43,8 +44,8 @@ def terms(text: str | None) -> set[bytes]:
     return set((text or "").encode("utf-8", "surrogatepass").lower().split())
 
 
-def _hash(term: bytes) -> int:
-    return xxhash.xxh64_intdigest(term, 7)
+def _hashes(terms_: Iterable[bytes], n: int) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, terms_, repeat(7)), "<u8", n).view("<i8")
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH) -> np.ndarray:
@@ -55,16 +56,14 @@ def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: flo
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter[int] = Counter()
-        docs_seen = 0
+        seen: Counter[bytes] = Counter()
 
         def made() -> pd.DataFrame:
-            return pd.DataFrame({"term": np.fromiter(seen.keys(), "<u8", len(seen)).view("<i8"), "n": np.fromiter(seen.values(), "<i8", len(seen))})
+            return pd.DataFrame({"term": _hashes(seen, len(seen)), "n": np.fromiter(seen.values(), "<i8", len(seen))})
 
         for df in batches:
-            docs_seen += len(df)
             for t in df[text_col]:
-                seen.update(map(_hash, terms(t)))
+                seen.update(terms(t))
                 if len(seen) > FLUSH:
                     yield made()
                     seen.clear()
@@ -77,61 +76,68 @@ def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: flo
     return np.sort(band.toPandas()["term"].to_numpy(dtype="int64"))
 
 
-def _subset_bits(hashes: np.ndarray, shares: tuple[int, ...] = SHARES) -> np.ndarray:
-    """Rows of flags: whether each term is in each subset; share 1/2**s asks for s zero bits of a hash."""
-    out = np.empty((len(hashes), len(shares) * EACH), bool)
-    h = hashes.view("<u8")
-    for e in range(EACH):
-        x = (h + np.uint64(0x9E3779B97F4A7C15 * (e + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(31)
-        x *= np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(29)
-        for i, s in enumerate(shares):
-            out[:, i * EACH + e] = (x & np.uint64((1 << s) - 1)) == 0
-    return out
-
+#: One addend for each subset of a share.
+STEPS = np.array([0x9E3779B97F4A7C15 * (e + 1) & 0xFFFFFFFFFFFFFFFF for e in range(EACH)], "<u8")
 
-def _hashed(found: np.ndarray, bits: np.ndarray) -> list[str]:
-    """One hash of eight hex digits for each subset of sorted terms; of no terms eight zeros."""
-    return [f"{xxhash.xxh32_intdigest(own.tobytes(), k) or 1:08x}" if len(own) else EMPTY for k in range(bits.shape[1]) for own in (found[bits[:, k]],)]
 
-
-EMPTY = "0" * 8
+def _subset_bits(hashes: np.ndarray, shares: tuple[int, ...] = SHARES) -> np.ndarray:
+    """Rows of flags, one row a subset: whether each term is in it; share 1/2**s asks for s zero bits of a hash."""
+    x = (hashes.view("<u8") + STEPS[:, None]) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(29)
+    masks = np.array([(1 << s) - 1 for s in shares], "<u8")
+    return ((x & masks[:, None, None]) == 0).reshape(len(shares) * EACH, len(hashes))
+
+
+def _hashed(found: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """One hash of 32 bits for each subset of sorted terms; of no terms 0."""
+    raw = memoryview(np.broadcast_to(found, bits.shape)[bits].tobytes())
+    ends = (8 * np.cumsum(np.count_nonzero(bits, axis=1))).tolist()
+    out, start, digest = [0] * len(bits), 0, xxhash.xxh32_intdigest
+    for k, end in enumerate(ends):
+        if end > start:
+            out[k] = digest(raw[start:end], k) or 1
+            start = end
+    return np.array(out, "<u4")
 
 
 @dataclass
 class Fingerprint:
     """Hashes over the band's terms and over all terms, and how many of the band's there are."""
 
-    band: list[str]
-    every: list[str]
+    band: np.ndarray
+    every: np.ndarray
     terms: int
 
     def __str__(self) -> str:
-        return "".join(self.band + self.every)
+        return np.concatenate([self.band, self.every]).astype(">u4").tobytes().hex()
 
 
 class Matcher:
     def __init__(self, lex: np.ndarray):
         self.lex = lex
-        self.bits = _subset_bits(lex)
+        self.bits = np.ascontiguousarray(_subset_bits(lex).T)
 
     def fingerprint(self, text: str | None) -> Fingerprint:
-        h = np.sort(np.fromiter(map(_hash, terms(text)), "<u8").view("<i8"))
+        own = terms(text)
+        h = np.sort(_hashes(own, len(own)))
         at = np.searchsorted(self.lex, h)
-        at = at[at < len(self.lex)][self.lex[at[at < len(self.lex)]] == h[at < len(self.lex)]] if len(h) else at
-        return Fingerprint(_hashed(self.lex[at], self.bits[at]), _hashed(h, _subset_bits(h, ALL_SHARES)), len(at))
+        if len(self.lex):
+            at = np.minimum(at, len(self.lex) - 1)
+            at = at[self.lex[at] == h]
+        else:
+            at = at[:0]
+        return Fingerprint(_hashed(self.lex[at], np.ascontiguousarray(self.bits[at].T)), _hashed(h, _subset_bits(h, ALL_SHARES)), len(at))
 
 
-def _agreement(a: list[str], b: list[str]) -> float:
+def _agreement(a: np.ndarray, b: np.ndarray) -> float:
     """Best rate of agreement among the shares; over all telling subsets together if no share has enough of them."""
-    best, agree, telling = -1.0, 0, 0
-    for at in range(0, len(a), EACH):
-        told = [x == y for x, y in zip(a[at : at + EACH], b[at : at + EACH], strict=True) if x != EMPTY or y != EMPTY]
-        agree, telling = agree + sum(told), telling + len(told)
-        if len(told) >= TELLING:
-            best = max(best, sum(told) / len(told))
-    return best if best >= 0 else agree / telling if telling else 1.0
+    tells = (a | b) != 0
+    told = tells.reshape(-1, EACH).sum(1).tolist()
+    same = (tells & (a == b)).reshape(-1, EACH).sum(1).tolist()
+    best = max((x / n for x, n in zip(same, told, strict=True) if n >= TELLING), default=-1.0)
+    return best if best >= 0 else sum(same) / sum(told) if sum(told) else 1.0
 
 
 def likeness(a: Fingerprint, b: Fingerprint) -> float:

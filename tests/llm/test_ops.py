@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -503,6 +504,27 @@ def test_imatch_against_sets_and_loops(make, some):
     assert got[7000]["near_next"] < 0.5 and got[6000]["fingerprint"] == got[6001]["fingerprint"] and got[6001]["near_next"] == 1.0
 
 
+def test_a_fingerprint_costs_little_beside_its_subsets():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"t{k}" for k in rng.integers(0, 400, 40)) for _ in range(200)]
+    lex = np.sort(np.array([xxhash.xxh64_intdigest(f"t{k}".encode(), 7) for k in range(300)], "<u8").view("<i8"))
+    matcher, steps = imatch.Matcher(lex), 0
+
+    def step(*_):
+        nonlocal steps
+        steps += 1
+
+    sys.setprofile(step)  # calls from Python; one for each subset and term was the rule
+    try:
+        prints = [matcher.fingerprint(t) for t in texts]
+        for a, b in zip(prints, prints[1:], strict=False):
+            imatch.likeness(a, b)
+            str(a)
+    finally:
+        sys.setprofile(None)
+    assert steps < 600 * len(texts)
+
+
 @pytest.mark.parametrize("chunk", [2, 500])
 def test_imatch_odd_rows(make, monkeypatch, chunk):
     monkeypatch.setattr(imatch, "CHUNK", chunk)  # 2: the ids that rows share have chunks by digest
