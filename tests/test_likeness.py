@@ -43,6 +43,14 @@ def test_a_common_word_costs_no_score_of_each_pair(spark):
     assert time.perf_counter() - began < 120  # 490,000 pairs one by one take ten times as long
 
 
+def test_a_block_in_parts_meets_whole(spark, monkeypatch):
+    texts = spark.createDataFrame([(i, f"hos abc{i:04d}xyz") for i in range(60)], "id long, text string")
+    companies = spark.createDataFrame([(i, f"abc{i:04d}xyz", True) for i in range(60)], "id long, name string, active boolean")
+    want = sorted(map(tuple, names.match_companies(texts, companies).collect()))
+    monkeypatch.setattr(names, "BLOCK", 7)
+    assert sorted(map(tuple, names.match_companies(texts, companies).collect())) == want and len(want) == 60
+
+
 @pytest.mark.parametrize("intended", [False, True])
 def test_a_company_by_its_first_word_goes_first(spark, intended):
     texts = spark.createDataFrame([(1, "Tack för besöket hos ham0elfradelme! Summa 12,50 kr"), (2, "nära handel")], "id long, text string")
