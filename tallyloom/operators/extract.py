@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,11 +42,21 @@ CONTRACT: dict = {
 }
 
 
+_DECODER = json.JSONDecoder()
+
+
 def first_object(reply: str | None) -> str | None:
     """The first balanced JSON object in a text that can be parsed, the outermost of those that begin alike; braces
     inside strings do not count. One pass finds where each open brace closes, so a text of open braces costs no more
     than another."""
     reply = reply or ""
+    start = reply.find("{")
+    if start < 0:
+        return None
+    try:
+        return reply[start : _DECODER.raw_decode(reply, start)[1]]
+    except (ValueError, RecursionError):
+        pass  # it is not the first brace, or not one that closes
     open_at: list[int] = []
     closed: dict[int, int] = {}
     quoted = skip = False
@@ -83,6 +92,16 @@ def json_object(replies: Column) -> Column:
     return F.pandas_udf(run, "string")(replies)
 
 
+def parsed(raw: DataFrame, name: str, json_col: str = "json") -> DataFrame:
+    """raw with the first object of each text as a variant, null if there is none. Where all from the first opening brace
+    to the last closing one is an object, as in most texts, that is the one; only others are searched in Python."""
+    reply = F.col(json_col)
+    first, last = F.instr(reply, "{"), F.length(reply) - F.instr(F.reverse(reply), "}") + 1
+    outer = F.try_parse_json(F.when(F.contains(reply, F.lit("}")) & (first > 0), F.substring(reply, first, F.greatest(last - first + 1, F.lit(0)))))
+    df = raw.withColumn("_outer", outer).withColumn("_other", F.when(F.col("_outer").isNull(), reply))
+    return df.withColumn(name, F.coalesce("_outer", F.try_parse_json(json_object(F.col("_other"))))).drop("_outer", "_other")
+
+
 def pick(v: Column, names: tuple[str, ...], kind: str = "string") -> Column:
     """The first of the named fields that is neither missing, null nor empty."""
     got = [F.try_variant_get(v, f"$.{n}", kind) for n in names]
@@ -132,7 +151,7 @@ def normalize(raw: DataFrame, as_of: str, json_col: str = "json") -> DataFrame:
     Lines without a name, or without a price that can be read, are dropped, the latter with a warning. A missing total
     is taken from the VAT lines, or else from the lines.
     """
-    df = raw.withColumn("v", F.try_parse_json(json_object(F.col(json_col))))
+    df = parsed(raw, "v", json_col)
     v = F.col("v")
     sum_of = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, x: s + F.coalesce(f(x), F.lit(0.0)))
     df = df.withColumn("_lines", F.filter(F.transform(_array(v, ITEMS), _item), lambda x: x["name"] != "")).withColumn("vat_lines", F.filter(F.transform(_array(v, VAT), _vat_line), lambda x: x["rate"].isNotNull()))
@@ -176,53 +195,66 @@ def contract(spec: dict = CONTRACT) -> StructType:
     return StructType([StructField(name, kind(part), not (part == WORDS or isinstance(part, (dict, list)))) for name, part in spec.items()])
 
 
+MAP = "map<string,variant>"
+
+
 def _kind(v: Column) -> Column:
     """STRING, NUMBER, BOOLEAN, OBJECT, ARRAY or VOID."""
-    k = F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
-    return F.when(k.isin("BIGINT", "DOUBLE", "DECIMAL", "FLOAT"), "NUMBER").otherwise(k)
+    k = F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1)
+    return F.coalesce(F.when(k.isin("BIGINT", "DOUBLE", "DECIMAL", "FLOAT"), "NUMBER").otherwise(k), F.lit("VOID"))
+
 
+def _note(path: Column, problem: Column) -> Column:
+    return F.struct(path.alias("path"), problem.alias("problem"))
 
-def _odd(v: Column, spec: dict, path: Column) -> list[Column]:
-    """Arrays of (path, problem) of an object against spec."""
-    out = []
-    known = F.array(*[F.lit(n) for n in spec])
-    keys = F.map_keys(F.coalesce(v.cast("map<string,variant>"), F.create_map().cast("map<string,variant>")))
-    note = lambda at, problem: F.array(F.struct(at.alias("path"), problem.alias("problem")))
+
+def _is(path: Column, v: Column) -> Column:
+    return F.array(_note(path, F.concat(F.lit("is "), F.lower(_kind(v)))))
+
+
+def _odd(fields: Column, spec: dict, path: Column) -> Column:
+    """(path, problem) of an object's fields, a map, against spec. Fields without parts of their own are looked at in one
+    go over the map; within a function of elements nothing that is named twice is kept from being computed twice."""
+    known, keys = F.array(*[F.lit(n) for n in spec]), F.map_keys(fields)
+    plain = {n: kinds for n, kinds in spec.items() if isinstance(kinds, tuple)}
+    right = [f"{n}:{k}" for n, kinds in plain.items() for k in kinds]
+    wrong = F.filter(F.map_entries(fields), lambda e: e["key"].isin(*plain) & ~F.concat(e["key"], F.lit(":"), _kind(e["value"])).isin(*right))
+    out = [
+        F.transform(F.array_except(keys, known), lambda k: _note(F.concat(path, k), F.lit("unexpected"))),
+        F.transform(F.array_except(known, keys), lambda k: _note(F.concat(path, k), F.lit("missing"))),
+        F.transform(wrong, lambda e: _note(F.concat(path, e["key"]), F.concat(F.lit("is "), F.lower(_kind(e["value"]))))),
+    ]
     none = F.array().cast("array<struct<path:string,problem:string>>")
-    out.append(F.transform(F.array_except(keys, known), lambda k: F.struct(F.concat(path, k).alias("path"), F.lit("unexpected").alias("problem"))))
     for name, part in spec.items():
-        at = F.concat(path, F.lit(name))
-        here = F.try_variant_get(v, f"$.{name}", "variant")
-        kinds = ("OBJECT",) if isinstance(part, dict) else ("ARRAY",) if isinstance(part, list) else part
-        wrong = F.when(~F.array_contains(keys, name), note(at, F.lit("missing"))).when(~_kind(here).isin(*kinds), note(at, F.concat(F.lit("is "), F.lower(_kind(here)))))
-        if isinstance(part, dict):
-            wrong = wrong.otherwise(F.concat(*_odd(here, part, F.concat(at, F.lit(".")))))
-        elif isinstance(part, list):
-            each = F.try_variant_get(v, f"$.{name}", "array<variant>")
-            wrong = wrong.otherwise(F.flatten(F.transform(each, _element(part[0], at))))
-        out.append(F.coalesce(wrong, none))
-    return out
+        if name not in plain:
+            at, here = F.concat(path, F.lit(name)), F.element_at(fields, F.lit(name))
+            odd = _odd_object(here, part, at) if isinstance(part, dict) else _odd_array(here, part[0], at)
+            out.append(F.when(F.array_contains(keys, name), F.coalesce(odd, _is(at, here))).otherwise(none))
+    return F.concat(*out)
+
+
+def _odd_object(v: Column, spec: dict, path: Column) -> Column:
+    """What is odd about an object; null if it is none."""
+    return let(F.try_variant_get(v, "$", MAP), lambda m: F.when(m.isNotNull(), _odd(m, spec, F.concat(path, F.lit(".")))))
 
 
-def _element(spec: dict, at: Column) -> Callable[[Column, Column], Column]:
-    """What is odd about an element of the array at a path."""
+def _odd_array(v: Column, spec: dict, path: Column) -> Column:
+    """What is odd about the elements of an array; null if it is none."""
 
     def look(x: Column, i: Column) -> Column:
-        place = F.concat(at, F.lit("["), i.cast("string"), F.lit("]"))
-        other = F.array(F.struct(place.alias("path"), F.concat(F.lit("is "), F.lower(_kind(x))).alias("problem")))
-        return F.when(_kind(x) != "OBJECT", other).otherwise(F.concat(*_odd(x, spec, F.concat(place, F.lit(".")))))
+        place = F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
+        return F.coalesce(_odd_object(x, spec, place), _is(place, x))
 
-    return look
+    return F.flatten(F.transform(F.try_variant_get(v, "$", "array<variant>"), look))
 
 
 def departures(raw: DataFrame, json_col: str = "json", spec: dict = CONTRACT) -> DataFrame:
     """raw's other columns with (path, problem) for everything in which a reading departs from spec: missing, unexpected,
     or the type that it is of instead. A text without an object has the path empty and the problem unreadable."""
     rest = [c for c in raw.columns if c != json_col]
-    v = F.try_parse_json(json_object(F.col(json_col)))
-    rows = raw.select(*rest, v.alias("_v"))
-    found = F.when(F.col("_v").isNull(), F.array(F.struct(F.lit("").alias("path"), F.lit("unreadable").alias("problem")))).otherwise(F.concat(*_odd(F.col("_v"), spec, F.lit(""))))
-    return rows.select(*rest, F.explode(found).alias("_d")).select(*rest, "_d.path", "_d.problem")
+    fields = F.try_variant_get("_v", "$", MAP)
+    found = let(fields, lambda m: F.when(m.isNull(), F.array(_note(F.lit(""), F.lit("unreadable")))).otherwise(_odd(m, spec, F.lit(""))))
+    return parsed(raw, "_v", json_col).select(*rest, F.explode(found).alias("_d")).select(*rest, "_d.path", "_d.problem")
 
 
 def prompt(problems: Column, previous: Column, extra: str = "") -> Column:
